@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontamination, language_id, line_dedup, near_dup, packing, quality, token_counts, warc
+from lodestone.llm import chat_format, decontamination, language_id, line_dedup, near_dup, packing, pii, quality, token_counts, warc
 from lodestone.llm.common import table
 
 
@@ -43,6 +43,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: Keys the surrogates of the registered query; a real corpus is given a secret one.
+PII_KEY = "lodestone-example-key"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs)
@@ -144,6 +152,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_near_dup": op2_near_dup,
         "op3_packing": op3_packing,
+        "op4_pii": op4_pii,
         "op5_token_counts": op5_token_counts,
         "op6_warc": op6_warc,
         "op7_decontamination": op7_decontamination,
