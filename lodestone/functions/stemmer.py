@@ -80,11 +80,11 @@ def stem(word: str) -> str:
     return word[:-1] if _ending(word, rv, ("ь",)) else word
 
 
-@F.pandas_udf("array<string>")
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
-
-
 def stems(words: Column) -> Column:
     """The stems of a column of token arrays, in order."""
-    return _stems(words)
+
+    @F.pandas_udf("array<string>")
+    def of(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+    return of(words)
