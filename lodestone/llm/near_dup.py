@@ -8,11 +8,13 @@
 3. A candidate's signatures are compared batch by batch. After each batch the posterior of
    the similarity (uniform prior) bounds what can still reach the threshold: a pair whose
    probability of doing so is below ``MISS`` is pruned. Survivors are verified on full sets.
-4. Verified links are joined to components. Buckets that still hold several components are
-   compared again: each class outside the component of the bucket's smallest id against the
-   classes of other components, the most alike first, in rounds of growing budgets, until
-   no bucket has an untested surviving pair between two components. So a large group of
-   near copies costs about as many pairs as it has members, and no link is lost to a cap.
+4. Verified links are joined to components. In buckets that still hold several components,
+   the classes outside the component of the bucket's smallest id are compared with all
+   others, in blocks of bounded size, and of the surviving pairs each block returns a
+   spanning forest over components. The components that these join form groups, and in each
+   group all classes outside the largest component are verified against all others on full
+   sets, again in blocks that return a forest. So a large group of near copies costs about
+   as many rows as it has members, and no link is lost to a cap.
 
 Links, components and candidates are tables all the way; nothing is collected.
 """
@@ -198,44 +200,86 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _residual(members: DataFrame, threshold: float, budget: int) -> DataFrame:
-    """Surviving pairs between components of a bucket, the ``budget`` best of each outsider.
+def _blocked(members: DataFrame, group: list[str], extra: list[str], test, schema: str) -> DataFrame:
+    """``test`` on every outsider of a group against the group's members, in blocks of bounded size.
 
-    ``members`` has ``band, key, rep, component, lead, sig, n_shingles``; an outsider is a
-    member whose component isn't ``lead``. Both sides are dealt into blocks, so that no task
-    holds a bucket. ``more`` tells that an outsider of the block had more than its budget.
+    ``members`` has the group's columns, ``rep, component, lead`` and ``extra``; an outsider
+    is a member whose component isn't ``lead``. A group is dealt into blocks of outsiders
+    (side 0) and of members (side 1), and a task holds one of each.
     """
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.count(F.when(F.col("component") != F.col("lead"), 1)).alias("out"))
-    m = members.join(sizes.where("out > 0 and n > 2"), ["band", "key"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("out") / BLOCK).cast("int")
+    sizes = members.groupBy(*group).agg(F.count("*").alias("n"), F.count(F.when(F.col("component") != F.col("lead"), 1)).alias("out"))
+    m = members.join(sizes.where("out > 0"), group)
+    rows, outs = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("out") / BLOCK).cast("int")
     deal = F.xxhash64("rep")
-    cols = ["band", "key", "i", "j", "side", "rep", "component", "n_shingles", "sig"]
-    left = m.where("component <> lead").withColumn("side", F.lit(0)).withColumn("i", F.pmod(deal, blocks[1]).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks[0] - 1)))
-    right = m.withColumn("side", F.lit(1)).withColumn("j", F.pmod(deal, blocks[0]).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks[1] - 1)))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        own, all_ = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        sig = np.frombuffer(b"".join(all_["sig"]), "<u4").reshape(len(all_), BANDS * ROWS)
-        comp, rep, n = (all_[c].to_numpy() for c in ("component", "rep", "n_shingles"))
-        out, more = [], False
-        for r in own.itertuples(index=False):
-            at = np.flatnonzero((comp != r.component) & (np.minimum(n, r.n_shingles) >= threshold * np.maximum(n, r.n_shingles) - 1e-9))
+    cols = [*group, "i", "j", "side", "rep", "component", *extra]
+    left = m.where("component <> lead").withColumn("side", F.lit(0)).withColumn("i", F.pmod(deal, outs).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), rows - 1)))
+    right = m.withColumn("side", F.lit(1)).withColumn("j", F.pmod(deal, rows).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), outs - 1)))
+    return left.select(*cols).unionByName(right.select(*cols)).groupBy(*group, "i", "j").applyInPandas(test, schema)
+
+
+def _forest(pdf: pd.DataFrame, found) -> pd.DataFrame:
+    """A spanning forest, over components, of the (outsider, member) pairs that ``found`` gives for each outsider.
+
+    Once two components are joined, further pairs between them add nothing and aren't asked for.
+    """
+    pdf = pdf.sort_values("rep")
+    own, rest = pdf[pdf["side"] == 0].reset_index(drop=True), pdf[pdf["side"] == 1].reset_index(drop=True)
+    comps, index = np.unique(np.concatenate([own["component"], rest["component"]]), return_inverse=True)
+    a, b = index[: len(own)], index[len(own) :]
+    label, out = np.arange(len(comps)), []
+    if len(rest):
+        test = found(own, rest)
+        for r in range(len(own)):
+            at = np.flatnonzero(label[b] != label[a[r]])
             if not len(at):
                 continue
-            x = np.broadcast_to(np.frombuffer(r.sig, "<u4"), (len(at), BANDS * ROWS))
-            ok, matches = survives(x, sig[at], threshold)
-            at, matches = at[ok], matches[ok]
-            if len(at) > budget:
-                more = True
-                at = at[np.lexsort((rep[at], -matches))[:budget]]
-            out += [(min(r.rep, int(rep[i])), max(r.rep, int(rep[i]))) for i in at]
-        got = pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
-        if more:
-            got = pd.concat([got, pd.DataFrame([(None, None)], columns=["a", "b"])])
-        return got.astype({"a": "Int64", "b": "Int64"})
+            hit = test(r, at)
+            for x in hit[np.sort(np.unique(label[b[hit]], return_index=True)[1])]:
+                out.append((int(own["rep"][r]), int(rest["rep"][x])))
+                label[label == label[b[x]]] = label[a[r]]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _suspects(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes of different components of a bucket whose signatures survive: a forest of each block."""
+
+    def found(own: pd.DataFrame, rest: pd.DataFrame):
+        sig = np.frombuffer(b"".join(rest["sig"]), "<u4").reshape(len(rest), BANDS * ROWS)
+        n = rest["n_shingles"].to_numpy()
+
+        def test(r: int, at: np.ndarray) -> np.ndarray:
+            k = own["n_shingles"][r]
+            at = at[np.minimum(n[at], k) >= threshold * np.maximum(n[at], k) - 1e-9]
+            x = np.broadcast_to(np.frombuffer(own["sig"][r], "<u4"), (len(at), BANDS * ROWS))
+            return at[survives(x, sig[at], threshold)[0]]
+
+        return test
 
-    return left.select(*cols).unionByName(right.select(*cols)).groupBy("band", "key", "i", "j").applyInPandas(best, "a long, b long")
+    return _blocked(members, ["band", "key"], ["n_shingles", "sig"], lambda pdf: _forest(pdf, found), "a long, b long")
+
+
+def _late_links(members: DataFrame, percent: int) -> DataFrame:
+    """Verified links between components of a suspect group: a forest of each block, on full sets."""
+
+    def found(own: pd.DataFrame, rest: pd.DataFrame):
+        sizes = rest["s"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(rest)), sizes)
+        values = np.concatenate([np.asarray(x, np.int64) for x in rest["s"]])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+
+        def test(r: int, at: np.ndarray) -> np.ndarray:
+            mine = np.asarray(own["s"][r], np.int64)
+            lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+            n = hi - lo
+            # the places lo..hi-1 of every shingle, one after another
+            places = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both = np.bincount(owner[places], minlength=len(rest))[at]
+            return at[100 * both >= percent * (len(mine) + sizes[at] - both)]
+
+        return test
+
+    return _blocked(members, ["grp"], ["s"], lambda pdf: _forest(pdf, found), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,24 +316,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = written(own.join(needed, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", full("t").alias("s")), "sets")
 
     edges = written(_verified(alive, sets, percent), "links")
-    tested, budget = alive, 1
-    while True:
-        comps = components(edges)
-        placed = shared.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        placed = placed.join(comps.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left").withColumn("lead", F.coalesce("lead_c", "lead"))
-        found = written(_residual(placed.select("band", "key", "rep", "component", "lead").join(sigs, "rep"), threshold, budget), "residual")
-        fresh = written(found.where("a is not null").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = not found.where("a is null").isEmpty()
-        dropped(found)
-        if not fresh.isEmpty():
-            links = written(_verified(fresh, sets, percent), "links")
-            edges, tested = edges.unionByName(links), tested.unionByName(fresh)
-        elif not more:
-            break
-        if not more:
-            comps = components(edges)
-            break
-        budget *= 8
+    comps = written(components(edges), "components")
+
+    def of(df: DataFrame, col: str, name: str) -> DataFrame:
+        """The component of a class as another column; a class without links is its own."""
+        joined = df.join(comps.select(F.col("node").alias(col), F.col("component").alias("__c")), col, "left")
+        return joined.withColumn(name, F.coalesce("__c", col)).drop("__c")
+
+    # a bucket of two has been compared; a larger one with several components may hold more links
+    placed = of(of(shared.where("n > 2"), "rep", "component"), "lead", "lead_c").drop("lead").withColumnRenamed("lead_c", "lead")
+    mixed_buckets = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
+    doubtful = placed.join(mixed_buckets, ["band", "key"]).select("band", "key", "rep", "component", "lead").join(sigs, "rep")
+    suspects = written(_suspects(doubtful, threshold), "suspects")
+    if not suspects.isEmpty():
+        # groups of components that survivors join: all of a group's members meet, in blocks
+        between = of(of(suspects, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        groups = written(components(between), "groups").select(F.col("node").alias("component"), F.col("component").alias("grp"))
+        groups = groups.unionByName(groups.select(F.col("grp").alias("component"), "grp")).distinct()
+        inside = of(sets, "rep", "component").join(groups, "component")
+        most = inside.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("lead"))
+        late = written(_late_links(inside.join(most, "grp"), percent), "links")
+        if not late.isEmpty():
+            comps = components(edges.unionByName(late))
 
     place = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     # an id whose rows differ in text belongs to each of its texts' classes; ids are unique in a corpus

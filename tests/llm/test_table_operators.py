@@ -70,7 +70,7 @@ def test_near_duplicates_are_brute_force(spark, k):
     assert got == brute_components(rows, k, 80)
 
 
-def test_residual_rounds_find_links_that_stars_miss(spark, monkeypatch):
+def test_late_links_that_stars_miss(spark, monkeypatch):
     # one band's bucket with everything, and blocks of three: all that isn't linked to the least id comes later
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     monkeypatch.setattr(near_dup, "band_keys", lambda sig: np.zeros(near_dup.BANDS, np.int64))
