@@ -9,11 +9,11 @@ and one per passing window.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import let
+
 N = 10
 #: Up to so many distinct test windows are broadcast (about 25 MB); more are joined by shuffling.
 BROADCAST_WINDOWS = 200_000
@@ -24,11 +24,6 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with ``value`` worked out once a row however often lambdas read it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
 

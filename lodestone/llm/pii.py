@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import let
 from lodestone.llm.common import dropped, written
-from lodestone.llm.decontamination import let
 
 # Words before a name by gender, and given names that mark a name by themselves.
 TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Mister", "Sir", "г-н"]
@@ -29,18 +29,22 @@ CYRILLIC = ["ба", "бе", "бо", "ва", "ве", "во", "га", "го", "д
 
 _CAP = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: first characters of the words that mark a name
+_FIRST = "[" + "".join(sorted({w[0] for w in [*TITLES_M, *TITLES_F, *GIVEN_M, *GIVEN_F]})) + "]"
 _ANY = lambda *words: "(?:" + "|".join(words) + ")"
 #: type and pattern, in the order in which they are tried at a place; none has a capturing group
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?:(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"'])[^\s\"']{6,}|(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}))",
+    "secret": r"(?:(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"'])[^\s\"']{6,}|(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?:(?<![\w.])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|(?<![\w.])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "name": rf"(?<![\p{{L}}]){_ANY(*TITLES_M, *TITLES_F)}\.? {_CAP}(?: {_CAP}){{0,2}}|(?<![\p{{L}}]){_ANY(*GIVEN_M, *GIVEN_F)} {_CAP}",
+    "name": rf"(?={_FIRST})(?<!\p{{L}})(?:{_ANY(*TITLES_M, *TITLES_F)}\.? {_CAP}(?: {_CAP}){{0,2}}|{_ANY(*GIVEN_M, *GIVEN_F)} {_CAP})",
 }
+#: What every entity holds, quick to look for: texts without any of it aren't searched for entities.
+GATE = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[=:]\s{{0,3}}[\"']|[0-9A-Fa-f]{{32}}|AKIA|gh[pousr]_|sk-|(?={_FIRST})(?<!\p{{L}}){_ANY(*TITLES_M, *TITLES_F, *GIVEN_M, *GIVEN_F)}\.? \p{{Lu}}"
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = rf"^{_ANY(*TITLES_M, *TITLES_F)}\.?$"
 _EMPTY = "array<struct<lead:string,kind:string,raw:string>>"
@@ -227,7 +231,7 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     lacks it can't tell a surrogate's entity by hashing candidates.
     """
     docs = docs.drop("n_entities")
-    found = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
+    found = F.coalesce(F.col(text_col).rlike(GATE) & F.col(text_col).rlike(PATTERN), F.lit(False))
     clean = docs.where(~found).withColumn("n_entities", F.lit(0).cast("long"))
     # the row key is fixed once the table is written
     held = docs.where(found).withColumn("__row", F.expr("uuid()")).withColumn("__x", pieces(F.col(text_col))).drop(text_col)
