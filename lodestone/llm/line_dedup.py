@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WHITESPACE, small_batches
+from lodestone.llm.common import WHITESPACE, small_batches, written
 
 #: Words of a block below which it stays: a shared heading or phrase is no copied passage.
 MIN_WORDS = 40
@@ -109,7 +109,9 @@ def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc = F.struct("doc_id", "text_hash")
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.max(doc).alias("last"))
     first = first.select("h1", "h2", F.struct("first.doc_id", "first.text_hash").alias("lead"), F.col("first.pos").alias("lead_pos"), "last").where(F.col("lead") != F.col("last"))
-    shared = lines.join(first.drop("last"), ["h1", "h2"]).where(doc != F.col("lead"))
+    # as a table of its own the join's sides are plain exchanges, and a hot line's partition can be split
+    first = written(first.drop("last"), "first-lines")
+    shared = lines.join(first, ["h1", "h2"]).where(doc != F.col("lead"))
     pairs = shared.groupBy("doc_id", "text_hash", "lead").agg(F.collect_set(F.struct("pos", "lead_pos")).alias("x"))
 
     @F.pandas_udf("array<int>")
