@@ -1,4 +1,4 @@
-"""Line deduplication by pairwise alignment of documents.
+"""Line deduplication by pairwise alignment of documents, and by shared passages.
 
 Every line (its n-th occurrence in its document) is hashed. For each hash the first
 document that holds it is found, and every later document that holds it is paired with
@@ -8,11 +8,19 @@ pair the shared lines are unique on both sides, and patience diff aligns them: t
 run of lines that is in order in both. Aligned lines that are neighbours in the later
 document (blank lines between them don't count) are a block; blocks of at least
 ``min_words`` words are deleted from it.
+
+One partner can't give all that a document shares with others: the longest common order drops
+passages that are moved, and a line that occurs more often in one of the two matches another
+place. So whole passages are looked up as well, among all earlier documents: from each line on,
+and back from each line, the shortest run of lines that has ``min_words`` words is hashed, and
+is deleted from every document but the first that holds it. Lines of a run have to be neighbours
+in both documents (blank lines don't count). A shared passage of ``min_words`` words or more is
+the union of such runs, so none is left, wherever and however often it stands.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +33,8 @@ from lodestone.llm.common import WHITESPACE, small_batches, written
 
 #: Words of a block below which it stays: a shared heading or phrase is no copied passage.
 MIN_WORDS = 40
-KEY = "h1 long, h2 int, doc_id long, text_hash long, pos int"
+#: ``till`` is the last line of a passage, and -1 for a line by itself.
+KEY = "h1 long, h2 int, doc_id long, text_hash long, pos int, till int"
 
 
 def line_keys(text: str) -> list[tuple[int, int, int]]:
@@ -43,6 +52,36 @@ def line_keys(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def passage_keys(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(first hash, second hash, first line, last line) of the shortest runs of ``min_words`` words.
+
+    There is one from each line on and one back from each line; blank lines are left out.
+    """
+    import xxhash
+
+    digests, at, ends = [], [], [0]
+    for i, line in enumerate(text.split("\n")):
+        line = line.strip(WHITESPACE)
+        if line:
+            raw = line.encode("utf-8", "surrogatepass")
+            digests.append(xxhash.xxh3_128_digest(raw))
+            at.append(i)
+            ends.append(ends[-1] + len(raw.split()))
+    spans = set()
+    for i in range(len(at)):
+        j = bisect_left(ends, ends[i] + min_words)
+        if j < len(ends):
+            spans.add((i, j))
+        j = bisect_right(ends, ends[i + 1] - min_words) - 1
+        if j >= 0:
+            spans.add((j, i + 1))
+    out = []
+    for i, j in sorted(spans):
+        h = xxhash.xxh3_128_intdigest(b"".join(digests[i:j]))
+        out.append(((h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31), at[i], at[j - 1]))
+    return out
+
+
 def patience(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The places in ``right`` that are aligned: of lines unique on both sides, a longest common order.
 
@@ -66,20 +105,25 @@ def patience(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return right[out[::-1]]
 
 
-def without_blocks(text: str, places, min_words: int = MIN_WORDS) -> tuple[str, int, int]:
-    """The text without aligned blocks of enough words; lines and words deleted."""
+def without_blocks(text: str, places, min_words: int = MIN_WORDS, passages=()) -> tuple[str, int, int]:
+    """The text without aligned blocks of enough words and without passages; lines and words deleted.
+
+    ``passages`` has the first and last lines of what is deleted in any case. It doesn't lengthen
+    a block, so that a short aligned line beside a passage stays.
+    """
     lines, aligned = text.split("\n"), set(places)
+    sure = {i for first, last in passages for i in range(first, last + 1)}
     gone: set[int] = set()
-    run, words, cut = [], 0, 0
+    run, words = [], 0
 
     def close():
-        nonlocal cut
         if words >= min_words:
             gone.update(run)
-            cut += words
 
     for i, line in enumerate(lines):
         n = len(line.encode("utf-8", "surrogatepass").split())
+        if n and i in sure:
+            gone.add(i)
         if i in aligned:
             run.append(i)
             words += n
@@ -87,21 +131,27 @@ def without_blocks(text: str, places, min_words: int = MIN_WORDS) -> tuple[str,
             close()
             run, words = [], 0
     close()
+    cut = sum(len(lines[i].encode("utf-8", "surrogatepass").split()) for i in gone)
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), cut
 
 
-def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per later document with any: ``places`` of the lines aligned with an earlier document."""
+def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Per later document with any: ``places`` of the lines aligned with the first document that holds them.
+
+    ``passages`` has the first and last lines (``pos``, ``till``) of the shortest runs of
+    ``min_words`` words that stand in any earlier document.
+    """
     small_batches(docs.sparkSession)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for doc, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for h1, h2, i in line_keys(text):
-                    for c, v in zip(cols, (h1, h2, doc, h, i), strict=True):
+                keys = [(*x, -1) for x in line_keys(text)] + passage_keys(text, min_words)
+                for h1, h2, i, till in keys:
+                    for c, v in zip(cols, (h1, h2, doc, h, i, till), strict=True):
                         c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in KEY.split(", ")])
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(text_col).alias("th"), text_col)
@@ -112,35 +162,41 @@ def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # as a table of its own the join's sides are plain exchanges, and a hot line's partition can be split
     first = written(first.drop("last"), "first-lines")
     shared = lines.join(first, ["h1", "h2"]).where(doc != F.col("lead"))
-    pairs = shared.groupBy("doc_id", "text_hash", "lead").agg(F.collect_set(F.struct("pos", "lead_pos")).alias("x"))
+    line = F.col("till") < 0
+    pairs = shared.groupBy("doc_id", "text_hash", "lead").agg(
+        F.collect_set(F.when(line, F.struct("pos", "lead_pos"))).alias("x"),
+        F.collect_set(F.when(~line, F.struct("pos", "till"))).alias("y"),
+    )
 
     @F.pandas_udf("array<int>")
     def places(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([patience(a, b) for a, b in zip(x, y, strict=True)])
+        return pd.Series([patience(a, b) if len(a) else a for a, b in zip(x, y, strict=True)])
 
-    aligned = pairs.select("doc_id", "text_hash", places(F.col("x.lead_pos"), F.col("x.pos")).alias("p"))
-    return aligned.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("p")).alias("places"))
+    aligned = pairs.select("doc_id", "text_hash", places(F.col("x.lead_pos"), F.col("x.pos")).alias("p"), "y")
+    return aligned.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("p")).alias("places"), F.flatten(F.collect_list("y")).alias("passages"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with their columns, the text without the aligned blocks, and what was deleted.
+    """All rows with their columns, the text without the aligned blocks and passages, and what was deleted.
 
     ``n_removed_lines`` and ``n_removed_words`` are added. The later document is that with
     the larger id (nulls come first; among equal ids the texts' hashes decide). Rows that
     repeat both id and text are one document: all of them lose the same blocks, but none
     because of each other. Null texts stay null, empty ones empty, and lose nothing.
     """
-    marks = aligned_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("places").alias("__places"))
+    marks = aligned_lines(docs, id_col, text_col, min_words)
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("places").alias("__places"), F.col("passages.pos").alias("__pos"), F.col("passages.till").alias("__till"))
     same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th"))
     joined = docs.join(marks, same, "left")
 
     @F.pandas_udf("text string, lines long, words long")
-    def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0) if p is None or t is None else without_blocks(t, p, min_words) for t, p in zip(texts, places, strict=True)]
+    def cut(texts: pd.Series, places: pd.Series, pos: pd.Series, till: pd.Series) -> pd.DataFrame:
+        every = zip(texts, places, pos, till, strict=True)
+        rows = [(None, 0, 0) if p is None or t is None else without_blocks(t, p, min_words, zip(a, b, strict=True)) for t, p, a, b in every]
         return pd.DataFrame(rows, columns=["text", "lines", "words"])
 
     # texts of documents that share nothing don't go to Python
-    c = cut(F.when(F.col("__places").isNotNull(), F.col(text_col)), F.col("__places"))
+    c = cut(F.when(F.col("__places").isNotNull(), F.col(text_col)), F.col("__places"), F.col("__pos"), F.col("__till"))
     out = joined.withColumn("__c", c).withColumn(text_col, F.coalesce(F.col("__c.text"), F.col(text_col)))
     names = [x for x in docs.columns if x not in ("n_removed_lines", "n_removed_words")]
     return out.select(*names, F.col("__c.lines").alias("n_removed_lines"), F.col("__c.words").alias("n_removed_words"))

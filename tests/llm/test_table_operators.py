@@ -322,6 +322,41 @@ def test_line_dedup_leaves_lines_of_no_other_document(spark):
     assert changed
 
 
+def surviving(rows, after, min_words):
+    """Runs of lines of enough words that an earlier text holds and that still stand in a later one's result."""
+    own = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in rows}
+    runs = lambda v: {tuple(v[i:j]) for i in range(len(v)) for j in range(i + 1, len(v) + 1) if sum(len(x.split()) for x in v[i:j]) >= min_words}
+    held = {d: runs(v) for d, v in own.items()}
+    left = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in after.items()}
+    # runs of the result that are no longer neighbours in the text aren't passages of it
+    return [(e, d) for d in own for e in own if e < d and held[e] & held[d] & runs(left[d])]
+
+
+def passage(name, n_lines=3, n_words=20):
+    return [" ".join(f"{name}{i}w{j}" for j in range(n_words)) for i in range(n_lines)]
+
+
+def test_passages_in_another_order_than_the_first_holder(spark):
+    p, q = passage("p"), passage("q")
+    rows = [(1, "\n".join([*p, "between one", *q])), (2, "\n".join(["two", *q])), (3, "\n".join([*q, "own three", *p]))]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "two", 3: "own three"}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_shared_passage_survives(spark, seed):
+    rng = random.Random(seed)
+    pool = [passage(f"s{k}x", rng.randint(1, 4), rng.choice([12, 25, 45])) for k in range(8)]
+    rows = []
+    for d in range(30):
+        parts = [x for k in range(rng.randint(0, 4)) for x in [*rng.choice(pool), rng.choice(["Read more", "", f"own {d} {k}"])]]
+        rows.append((d, "\n".join(parts)))
+    after = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
+    assert not surviving(rows, after, line_dedup.MIN_WORDS)
+    held = {x for t in after.values() for x in t.split("\n")}
+    assert all(x in held for _, t in rows for x in t.split("\n") if x)  # every line is left somewhere
+
+
 # ---------------------------------------------------------------- surrogates
 
 MENTIONS = [
