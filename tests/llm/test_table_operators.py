@@ -343,6 +343,14 @@ def test_passages_in_another_order_than_the_first_holder(spark):
     assert got == {1: rows[0][1], 2: "two", 3: "own three"}
 
 
+def test_passages_with_lines_that_occur_more_often_elsewhere(spark):
+    p = passage("p", 2, 30)
+    whole = [p[0], "Read more", p[1]]
+    rows = [(1, "\n".join(["one", *whole])), (2, "\n".join(["two", "Read more", "own", *whole, "end"])), (3, "\n".join([*whole, "own three", *whole]))]
+    got = {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_words) for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("two\nRead more\nown\nend", 3, 62), 3: ("own three", 6, 124)}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_no_shared_passage_survives(spark, seed):
     rng = random.Random(seed)
