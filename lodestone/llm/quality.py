@@ -1,9 +1,13 @@
 """Quality rules on tokeniser fertility.
 
 Text that a public vocabulary cuts into unusually short pieces, that falls back to bytes,
-or whose tokens repeat too much or too little is unlike prose of its script. The bands are
+or whose tokens repeat too much or too little is unlike prose of its script. The fixed bands are
 parameters per script (or per language where a language column is given), wide enough for
-any natural text of that script.
+any natural text of that script; text without letters has a band of its own.
+
+Within them, bands are fitted to the corpus: per language (or script) and length, from the
+quartiles over all rows, since both measures depend on both. They are right as long as less
+than a quarter of a language's texts of a length are junk of one kind.
 """
 
 from __future__ import annotations
@@ -12,20 +16,25 @@ import math
 from array import array
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WHITESPACE, small_batches
 from lodestone.llm.tokens import PieceCache
 
-#: script or language: least and most characters per token, most byte-fallback share, least token entropy in bits
-#: for texts of at least MIN_TOKENS tokens. Entropy is over the text's token ids.
+#: script or language: least and most characters per token, most byte-fallback share, least and most token entropy in
+#: bits for texts of at least MIN_TOKENS tokens. Entropy is over the text's token ids. ``none`` is text without letters.
 BANDS = {
-    "latin": (1.2, 12.0, 0.20, 2.0),
-    "cyrillic": (1.0, 10.0, 0.20, 2.0),
-    "other": (0.25, 10.0, 0.95, 1.5),
+    "latin": (1.4, 12.0, 0.20, 2.0, 11.5),
+    "cyrillic": (1.0, 10.0, 0.20, 2.0, 11.5),
+    "other": (0.25, 10.0, 0.95, 1.5, 12.5),
+    "none": (1.4, 12.0, 0.20, 2.0, 11.5),
 }
 MIN_TOKENS = 32
+#: Fitted bands: interquartile ranges beyond the quartiles, least texts of a group, and per measure the
+#: histogram's step and the least interquartile range taken.
+SPREAD, MIN_TEXTS = 3, 30
+STEPS = {"chars_per_token": (0.005, 0.05), "token_entropy": (0.01, 0.1)}
 SYMBOLS = "#*$%&|<>"
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(8)], dtype=np.uint64)
 _CACHES: dict = {}
@@ -33,7 +42,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def script_of(text: str) -> str:
-    """The script of most letters: ``latin``, ``cyrillic`` or ``other`` (also without letters).
+    """The script of most letters: ``latin``, ``cyrillic`` or ``other``; ``none`` without letters.
 
     Letters are counted by code point range: U+0250 to U+1FFF and U+2C00 upwards, without
     the CJK punctuation block, stand for the letters of all further scripts.
@@ -43,7 +52,7 @@ def script_of(text: str) -> str:
     latin = int(((low - 97 < 26) | ((c - 0xC0 < 0x190) & (c != 0xD7) & (c != 0xF7))).sum())
     rest = 0 if text.isascii() else int(((c - 0x250 < 0x1DB0) | ((c >= 0x2C00) & (c - 0x3000 >= 0x40))).sum())
     if latin >= rest:
-        return "latin" if latin else "other"
+        return "latin" if latin else "none"
     return "cyrillic" if int((c - 0x400 < 0x100).sum()) * 2 >= latin + rest else "other"
 
 
@@ -99,7 +108,7 @@ class _Fertility:
 def fertility(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
     """Add the base counts and the fertility measures of each whole text in one pass.
 
-    Null and empty texts have zeros and the script ``other``. Other columns are kept;
+    Null and empty texts have zeros and the script ``none``. Other columns are kept;
     columns that already have one of the new names are replaced. No shuffle.
     """
     small_batches(docs.sparkSession)
@@ -123,14 +132,53 @@ def fertility(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_b
     return out.select(*[c for c in out.columns if c != "__m"], "__m.*")
 
 
-def judged(measured: DataFrame, bands: dict[str, tuple] = BANDS, lang_col: str | None = None, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+def _failed(min_words: int, repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+
+
+def _grouped(measured: DataFrame, lang_col: str | None) -> DataFrame:
+    """``__key``, the language or script (null without letters), and ``__size``, the power of two of the tokens."""
+    key = F.col("script") if lang_col is None else F.coalesce(F.col(lang_col), F.col("script"))
+    size = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
+    return measured.withColumn("__key", F.when(F.col("script") != "none", key)).withColumn("__size", size)
+
+
+def fitted(measured: DataFrame, lang_col: str | None = None, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+    """Bands from the quartiles of all texts that pass the base rules: ``key, size, measure, low, high``.
+
+    Groups are language (or script) by length in powers of two; characters per token have a
+    band over all lengths too, with size -1. Groups of less than ``MIN_TEXTS`` texts have none.
+    Texts with the same measures are one text, so that copies don't make a band. Quartiles are
+    those of histograms, which are all that is shuffled after that.
+    """
+    rows = _grouped(measured, lang_col).where(~_failed(min_words, repeat_percent) & (F.col("n_tokens") > 0) & F.col("__key").isNotNull())
+    rows = rows.select(F.col("__key").alias("key"), F.col("__size").alias("size"), "n_words", "word_chars", "n_tokens", *STEPS).distinct()
+
+    def value(size: Column, measure: str) -> Column:
+        return F.struct(size.alias("size"), F.lit(measure).alias("measure"), F.floor(F.col(measure) / STEPS[measure][0]).cast("int").alias("bucket"))
+
+    chars, size = "chars_per_token", F.col("size")
+    held = F.array(value(size, chars), value(F.lit(-1), chars), F.when(F.col("n_tokens") >= MIN_TOKENS, value(size, "token_entropy")))
+    counts = rows.select("key", F.explode(held).alias("v")).where("v is not null").groupBy("key", "v.size", "v.measure", "v.bucket").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("key", "size", "measure")
+    run = counts.withColumn("cum", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group)).where(F.col("total") >= MIN_TEXTS)
+    first = [F.min(F.when(4 * F.col("cum") >= q * F.col("total"), F.col("bucket"))).alias(f"q{q}") for q in (1, 3)]
+    step, least = (F.when(F.col("measure") == chars, STEPS[chars][i]).otherwise(STEPS["token_entropy"][i]) for i in (0, 1))
+    width = F.greatest((F.col("q3") + 1 - F.col("q1")) * step, least) * SPREAD
+    return run.groupBy("key", "size", "measure").agg(*first).select("key", "size", "measure", (F.col("q1") * step - width).alias("low"), ((F.col("q3") + 1) * step + width).alias("high"))
+
+
+def judged(measured: DataFrame, bands: dict[str, tuple] = BANDS, lang_col: str | None = None, min_words: int = 20, repeat_percent: int = 30, fits: DataFrame | None = None) -> DataFrame:
     """Add ``base_failed``, ``reason`` (null if kept) and ``kept`` to :func:`fertility`'s rows.
 
     The band of a row is that of its language, if ``lang_col`` is given and ``bands`` has it,
     else that of its script. Chars per token and byte share count for every text that has
     tokens, entropy only from ``MIN_TOKENS`` tokens on. The first broken rule is the reason.
+
+    ``fits`` are the bands of :func:`fitted`; a text has to be in those too. Of the bands of
+    characters per token at its length and at all lengths the wider ends count.
     """
-    key = F.col("script") if lang_col is None else F.when(F.col(lang_col).isin(*bands), F.col(lang_col)).otherwise(F.col("script"))
+    key = F.col("script") if lang_col is None else F.when(F.col(lang_col).isin(*bands) & (F.col("script") != "none"), F.col(lang_col)).otherwise(F.col("script"))
 
     def bound(i: int):
         out = F.lit(float(bands["other"][i]))
@@ -138,13 +186,26 @@ def judged(measured: DataFrame, bands: dict[str, tuple] = BANDS, lang_col: str |
             out = F.when(key == name, F.lit(float(band[i]))).otherwise(out)
         return out
 
+    lows, highs = [bound(0), bound(3)], [bound(1), bound(4)]
+    rows = measured
+    if fits is not None:
+        rows = _grouped(measured, lang_col)
+        for name, where in (("__c", "measure = 'chars_per_token' and size >= 0"), ("__e", "measure = 'token_entropy'"), ("__a", "measure = 'chars_per_token' and size < 0")):
+            own = fits.where(where).select(F.col("key").alias("__key"), F.col("size").alias("__size"), F.struct("low", "high").alias(name))
+            rows = rows.join(own.drop("__size") if name == "__a" else own, ["__key"] if name == "__a" else ["__key", "__size"], "left")
+        # greatest and least leave out nulls, which are groups without a band
+        lows = [F.greatest(lows[0], F.least("__c.low", "__a.low")), F.greatest(lows[1], F.col("__e.low"))]
+        highs = [F.least(highs[0], F.greatest("__c.high", "__a.high")), F.least(highs[1], F.col("__e.high"))]
+
     n = F.col("n_tokens")
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    base = _failed(min_words, repeat_percent)
     reason = (
         F.when(base, "base")
-        .when((n > 0) & (F.col("chars_per_token") < bound(0)), "low_chars_per_token")
-        .when((n > 0) & (F.col("chars_per_token") > bound(1)), "high_chars_per_token")
+        .when((n > 0) & (F.col("chars_per_token") < lows[0]), "low_chars_per_token")
+        .when((n > 0) & (F.col("chars_per_token") > highs[0]), "high_chars_per_token")
         .when(F.col("byte_share") > bound(2), "byte_fallback")
-        .when((n >= MIN_TOKENS) & (F.col("token_entropy") < bound(3)), "low_entropy")
+        .when((n >= MIN_TOKENS) & (F.col("token_entropy") < lows[1]), "low_entropy")
+        .when((n >= MIN_TOKENS) & (F.col("token_entropy") > highs[1]), "high_entropy")
     )
-    return measured.withColumn("base_failed", base).withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
+    out = rows.withColumn("base_failed", base).withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
+    return out.select(*measured.columns, "base_failed", "reason", "kept")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format, decontamination, language_id, line_dedup, near_dup, packing, pii, quality, token_counts, warc
-from lodestone.llm.common import table
+from lodestone.llm.common import table, written
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,9 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.judged(quality.fertility(docs), lang_col="lang").drop("text", "lang")
+    # measured once; the bands need all rows before the first is judged
+    measured = written(quality.fertility(docs).drop("text"), "fertility")
+    return quality.judged(measured, lang_col="lang", fits=quality.fitted(measured, "lang")).drop("lang")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,42 @@ def test_fertility_bands(spark):
     assert rows[1].token_entropy == pytest.approx(float(-(p * np.log2(p)).sum()))
 
 
+def test_letterless_text_and_high_entropy_have_bands(spark):
+    digits = " ".join(str(1000 + 37 * i) for i in range(60))
+    rows = {r.doc_id: r for r in quality.judged(quality.fertility(texts(spark, [(1, digits, "en", "")]))).collect()}
+    assert (rows[1].script, rows[1].reason) == ("none", "low_chars_per_token")
+    narrow = quality.BANDS | {"none": (0.1, 12.0, 0.2, 0.0, 1.0)}
+    assert quality.judged(quality.fertility(texts(spark, [(1, digits, "en", "")])), narrow).first().reason == "high_entropy"
+
+
+def test_fitted_bands_find_what_is_unlike_its_language(spark):
+    rng = random.Random(8)
+    words = [r.text.split() for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'").collect()]
+    words = sorted({w for t in words for w in t if w.isalpha()})
+    clean = lambda: " ".join(rng.choice(words) for _ in range(150))
+    junk = [
+        " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(150)),
+        " ".join(w.upper() + rng.choice([".!!", "!!"]) for w in clean().split()),
+        " ".join(rng.choice(words[:8]) for _ in range(150)),
+        " ".join(w + rng.choice(["%%%", "&&&", "***"]) for w in clean().split()),
+    ]
+    df = texts(spark, [(i, clean(), "en", "") for i in range(120)] + [(1000 + i, t, "en", "") for i, t in enumerate(junk)] + [(2000, clean(), "xx", "")])
+    measured = quality.fertility(df)
+    old = quality.judged(measured, lang_col="lang").where("doc_id >= 1000 and kept").count()
+    rows = {r.doc_id: r for r in quality.judged(measured, lang_col="lang", fits=quality.fitted(measured, "lang")).collect()}
+    assert old >= 3 and len(rows) == 125
+    assert not any(rows[1000 + i].kept for i in range(4)) and sum(rows[i].kept for i in range(120)) >= 117
+    assert rows[2000].kept  # a language with too few texts has its script's band
+
+
+def test_quality_query_rejects_labelled_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in registry.op8_quality_rules(spark, sf).collect() if not r.base_failed]
+    junk, clean = ([r.kept for r in rows if good.get(r.doc_id) == x] for x in (0, 1))
+    assert np.mean(junk) < 0.7 and np.mean(clean) > 0.98
+
+
 def test_language_id_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
