@@ -17,36 +17,61 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import let
 from lodestone.llm.common import dropped, written
+from lodestone.llm.names import GIVEN_F, GIVEN_M, TITLES, TITLES_F, TITLES_M
 
-# Words before a name by gender, and given names that mark a name by themselves.
-TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Mister", "Sir", "г-н"]
-TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Madam", "г-жа"]
-GIVEN_M = ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Hans", "Jürgen", "Pierre", "Jean", "José", "Carlos", "Juan", "Иван", "Сергей", "Алексей"]
-GIVEN_F = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Anna", "Ursula", "Sabine", "Marie", "Sophie", "María", "Carmen", "Lucía", "Анна", "Мария", "Ольга"]
 # Syllables of surrogate names by script.
 LATIN = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "ra", "re", "ro", "sa", "se", "so", "ta", "te", "to", "va", "ve", "vo", "za", "ze"]
 CYRILLIC = ["ба", "бе", "бо", "ва", "ве", "во", "га", "го", "да", "де", "до", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "ра", "ре", "ро", "са", "се", "со", "та", "те", "то"]
 
 _CAP = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: first characters of the words that mark a name
-_FIRST = "[" + "".join(sorted({w[0] for w in [*TITLES_M, *TITLES_F, *GIVEN_M, *GIVEN_F]})) + "]"
-_ANY = lambda *words: "(?:" + "|".join(words) + ")"
+
+
+def _any(words: list[str]) -> str:
+    """A pattern of any of the words, longest first: a tree by character, so that long lists cost no more than short ones."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        branches = [c + pattern(at[c]) for c in sorted(at) if c]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in at else "(?:" + "|".join(branches) + ")"
+        return body + "?" if "" in at else body
+
+    return pattern(tree)
+
+
+_TITLES = _any([*TITLES, *TITLES_M, *TITLES_F])
+_GIVEN = rf"{_any([*GIVEN_M, *GIVEN_F])}(?:-\p{{Lu}}\p{{L}}+)?"
+#: calling codes of E.164: of one, two and three digits
+_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+#: national forms: North America; pairs (France); Spain; an area code with its 0 (Germany, United Kingdom)
+_NATIONAL = "|".join([
+    r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    r"0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4}|[0-9]{8})",
+    r"[6-9][0-9]{2}(?:(?: [0-9]{3}){2}|(?:-[0-9]{3}){2}|(?: [0-9]{2}){3}|(?:-[0-9]{2}){3})",
+    r"(?=(?:[ ()/-]{0,3}[0-9]){8,13}(?![0-9]))(?:\(0[1-9][0-9]{1,4}\)|0[1-9][0-9]{1,4})(?: ?[/-] ?| )[0-9]{2,8}(?:[ -][0-9]{2,5}){0,3}",
+])
 #: type and pattern, in the order in which they are tried at a place; none has a capturing group
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?:(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"'])[^\s\"']{6,}|(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
+    "card": r"(?<![0-9])(?:(?:[0-9]{4}[ -]?){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:(?<![\w.])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|(?<![\w.])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "name": rf"(?={_FIRST})(?<!\p{{L}})(?:{_ANY(*TITLES_M, *TITLES_F)}\.? {_CAP}(?: {_CAP}){{0,2}}|{_ANY(*GIVEN_M, *GIVEN_F)} {_CAP})",
+    "phone": rf"(?:(?<![\w.])(?:(?=\+(?:[ .()/-]{{0,3}}[0-9]){{8,15}}(?![0-9]))\+[0-9]{{1,3}}(?:[ .-]?\(?[0-9]{{1,4}}\)?|[/-][0-9]{{1,4}}){{2,7}}|\+[0-9]{{1,3}}(?:[ .-]?\(?[0-9]{{2,4}}\)?){{2,4}}|00{_CODE}[ .-](?=(?:[ .()-]{{0,3}}[0-9]){{7,13}}(?![0-9]))\(?[0-9]{{1,4}}\)?(?:[ .-]?[0-9]{{1,4}}){{1,6}}|{_NATIONAL}))(?![0-9])",
+    "name": rf"(?<!\p{{L}})(?:(?:{_TITLES}\.? ){{1,3}}{_CAP}(?: {_CAP}){{0,2}}|{_GIVEN} {_CAP})",
 }
 #: What every entity holds, quick to look for: texts without any of it aren't searched for entities.
-GATE = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[=:]\s{{0,3}}[\"']|[0-9A-Fa-f]{{32}}|AKIA|gh[pousr]_|sk-|(?={_FIRST})(?<!\p{{L}}){_ANY(*TITLES_M, *TITLES_F, *GIVEN_M, *GIVEN_F)}\.? \p{{Lu}}"
+GATE = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[=:]\s{{0,3}}[\"']|[0-9A-Fa-f]{{32}}|AKIA|gh[pousr]_|sk-|0[1-9][ -][0-9]{{2}}|(?<!\p{{L}})(?:{_TITLES}\.?|{_GIVEN}) \p{{Lu}}"
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_TITLE = rf"^{_ANY(*TITLES_M, *TITLES_F)}\.?$"
+_LEADING = rf"^(?:{_TITLES}\.? )+"
 _EMPTY = "array<struct<lead:string,kind:string,raw:string>>"
 
 
@@ -64,13 +89,12 @@ def _kind(entity: Column) -> Column:
 
 
 def _name_pieces(lead: Column, entity: Column) -> Column:
-    """A name's words: titles go to the next word's lead; given names have the name's gender."""
-    words = F.split(entity, " ")
-    first = F.get(words, F.lit(0))
-    titled = first.rlike(_TITLE)
-    female = F.regexp_replace(first, r"\.$", "").isin(*TITLES_F, *GIVEN_F)
-    own = F.when(titled, F.slice(words, F.lit(2), F.size(words) - 1)).otherwise(words)
-    before = F.when(titled, F.concat(lead, first, F.lit(" "))).otherwise(lead)
+    """A name's words: titles go to the next word's lead; given names have the gender of the titles, else their own."""
+    titles = F.regexp_extract(entity, _LEADING, 0)
+    own = F.split(F.substring(entity, F.length(titles) + 1, F.length(entity)), " ")
+    known = F.regexp_extract(F.get(own, F.lit(0)), r"^[^-]+", 0)
+    female = titles.rlike(rf"(?<!\p{{L}}){_any(TITLES_F)}\.? ") | (~titles.rlike(rf"(?<!\p{{L}}){_any(TITLES_M)}\.? ") & known.isin(*GIVEN_F) & ~known.isin(*GIVEN_M))
+    before = F.concat(lead, titles)
     given = F.when(female, F.lit("given_f")).otherwise(F.lit("given_m"))
     return F.transform(
         own,
@@ -109,7 +133,8 @@ def normal(kind: Column, raw: Column) -> Column:
     """What makes two mentions the same entity."""
     digits = _digits(raw)
     return (
-        F.when(kind == "phone", F.substring(digits, -10, 10))
+        # without the country's code and the 0 that stands for it
+        F.when(kind == "phone", F.regexp_replace(_digits(F.regexp_replace(raw, rf"^(?:\+|00(?={_CODE}[ .-])){_CODE}", "")), "^0", ""))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind.isin("email", "given_m", "given_f", "family"), F.lower(raw))

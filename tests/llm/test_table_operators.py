@@ -408,6 +408,33 @@ def test_surrogates_keep_types_and_coreference(spark):
     assert pii.pseudonymised(docs(spark, MENTIONS).limit(0), "k").count() == 0
 
 
+FORMS = [
+    "06 12 34 56 78", "01.42.68.53.00", "030 1234567", "+49 (0)30 1234567", "+33 6 12 34 56 78", "612 345 678", "912 34 56 78", "089/1234567", "(030) 1234567",
+    "0033 6 12 34 56 78", "020 7946 0958", "07911 123456", "3782 822463 10005", "3782-822463-10005", "0612345678", "+34 612 34 56 78", "+44 20 7946 0958", "+12345",
+]
+NAMES = ["Dr. Meier", "Prof. Dr. Weber", "Don Quijote", "Doña Inés", "Herr Dr. Hans Meier", "Wolfgang Schmidt", "Céline Dupont", "Hans-Peter Krause", "Álvaro García", "Emily Watson", "Lady Ashton"]
+
+
+def test_national_phones_cards_and_further_names(spark):
+    rows = [(i, f"see {x}, or not") for i, x in enumerate([*FORMS, *NAMES])]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.pseudonymised(docs(spark, rows), "k").collect()}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    for i, x in enumerate(FORMS):
+        text, n = got[i]
+        assert n == 1 and re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", rows[i][1]), x
+        assert digits(text)[-6:] != digits(x)[-6:], x
+    # the same number with and without its country's code is one entity
+    end = lambda x, n: digits(got[FORMS.index(x)][0])[-n:]
+    assert end("06 12 34 56 78", 9) == end("+33 6 12 34 56 78", 9) == end("0033 6 12 34 56 78", 9)
+    assert end("030 1234567", 9) == end("+49 (0)30 1234567", 9)
+    for i, x in enumerate(NAMES, len(FORMS)):
+        family = x.split()[-1]
+        assert got[i][1] and family not in got[i][0], x
+    assert got[len(FORMS) + 1][0].startswith("see Prof. Dr. ")
+    clean = ["on 01.02.2024 12:30 or 01-02-2024 10", "x = 5 + 1 2 3", "pages 010-020, 2024 12 31", "1.234.567", "The Meier", "Emily said", "3782 82246 3"]
+    assert all(r.n_entities == 0 for r in pii.pseudonymised(docs(spark, list(enumerate(clean))), "k").collect())
+
+
 def test_surrogates_are_injective_under_collisions(spark):
     # all digits but one are taken: only a permutation without fixed points is left, and no entity may be hit
     norms = [("ssn", f"00000000{i}") for i in range(1, 8)] + [("family", f"name{i}") for i in range(3000)]
