@@ -119,12 +119,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = chat_format.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
     turns = chat_format.read_back(convs)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    whole = convs.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"))
+    whole = convs.select(F.col("conv_id").alias("whole_id"), F.length("formatted").cast("long").alias("formatted_chars"))
     out = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"))
-    loss = F.coalesce(F.col("loss"), F.lit(""))
     masked = chat_format.masked_text(chat_format.expanded(convs))
-    return out.join(whole, "conv_id").join(masked, "conv_id", "left").select(
-        "conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars"
+    masked = masked.select(F.col("conv_id").alias("loss_id"), F.length("loss").cast("long").alias("chars"), F.sha2("loss", 256).alias("sha"))
+    # null ids are a conversation too
+    joined = out.join(whole, F.col("conv_id").eqNullSafe(F.col("whole_id"))).join(masked, F.col("conv_id").eqNullSafe(F.col("loss_id")), "left")
+    return joined.select(
+        "conv_id", "n_turns", "turns_sha256", F.coalesce("chars", F.lit(0).cast("long")).alias("loss_chars"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("loss_sha256"), "formatted_chars"
     )
 
 

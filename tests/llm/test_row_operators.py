@@ -279,3 +279,13 @@ def test_chat_query_digests(spark):
     t = "\\### Assistant: </turn> ok"
     assert r.turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(t), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_chat_query_keeps_the_conversation_without_id(spark, tmp_path):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yo"), (1, 0, "user", "a"), (None, 2, "assistant", "<|end|>")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in registry.op10_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, 1, -7}
+    r, said, loss = got[None], "user\nhi\nassistant\nyo\nassistant\n<|end|>\n", "yo<|end|>"
+    assert (r.n_turns, r.turns_sha256, r.loss_chars) == (3, hashlib.sha256(said.encode()).hexdigest(), len(loss))
+    assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[1].loss_sha256 == hashlib.sha256(b"").hexdigest()
