@@ -27,8 +27,8 @@ def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return near_dup.deduplicated(docs, k=5, percent=80)
+    """Keep one row of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return near_dup.deduplicated(docs, k=5, percent=80, by_row=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,7 +347,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' own columns, one row of each group of near duplicates (the smallest id)."""
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows that repeat neither id and text, with ``__row``: unique, and in order of ids (null ids last)."""
+    rows = docs.dropDuplicates([id_col, text_col])
+    rows = rows.orderBy(F.col(id_col).cast("long").asc_nulls_last(), F.xxhash64(text_col))
+    # fixed once the table is written
+    return written(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """The documents' own columns without those whose id isn't the smallest of its near duplicates.
+
+    Rows that repeat a kept id or have none all stay, unless ``by_row`` is set: then each row is a
+    document of its own, one row of each group is left, and of rows that repeat both id and text
+    one. Where ids are unique and none is null both give the same.
+    """
+    if by_row:
+        ids = docs.groupBy(id_col).agg(F.count("*").alias("n"))
+        if not ids.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
+            return deduplicated(keyed_rows(docs, id_col, text_col), k, percent, "__row", text_col).drop("__row")
     gone = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left_anti")

@@ -122,6 +122,23 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == docs(spark, rows).columns and kept.count() == 7
 
 
+def test_near_dedup_stage_leaves_one_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    other = "one two three four five six seven eight nine ten"
+    rows = [(7, base), (7, base), (7, base + " extra"), (3, other), (None, other), (None, other), (None, "a text of no other row is kept as well"), (8, other.upper()), (9, "quite another text under an id of its own"), (9, "and this one has got the same id but other words"), (10, None), (10, None), (11, "")]
+    df = docs(spark, rows)
+    kept = cp.near_deduplicated(spark, df, SMALL)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    firsts = {t for _, t in got}
+    assert len(got) == 7 and (3, other) in got and sum(d == 9 for d, _ in got) == 2 and sum(d == 7 for d, _ in got) == 1
+    assert (10, None) in got and (11, "") in got and rows[6] in got and len(firsts) == 7
+    unique = docs(spark, near_rows())
+    assert {r.doc_id for r in near_dup.deduplicated(unique, 2, by_row=True).collect()} == {r.doc_id for r in near_dup.deduplicated(unique, 2).collect()}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000 + i, 1000) for i in range(1, 50)]
     got = {r.node: r.component for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
