@@ -8,28 +8,44 @@ encoded since. Counts are the library's own on every text (see :mod:`.tokens`).
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches
 from lodestone.llm.tokens import PieceCache
 
-TABLE_ENTRIES, TABLE_DOCS = 20_000, 256
+#: Entries of the table, and pre-tokens that a task counts at a time.
+TABLE_ENTRIES, TASK_ENTRIES = 20_000, 200_000
 _CACHES: dict = {}
 
 
-def frequent_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", entries: int = TABLE_ENTRIES, sample_docs: int = TABLE_DOCS) -> dict[str, int]:
-    """Token lengths of the most frequent pre-tokens of a few texts.
+def frequent_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", entries: int = TABLE_ENTRIES) -> dict[str, int]:
+    """Token lengths of the most frequent pre-tokens of all texts.
 
-    Any table gives the same counts; this one only saves encoding. So a sample of at most
-    ``sample_docs`` texts of up to 100,000 characters will do, and at most ``entries`` are kept.
+    Each task counts in a table of at most ``TASK_ENTRIES``, which loses its rarer half when it
+    is full, and gives its ``entries`` most frequent ones; these are added up. Any table gives
+    the same token counts; this one only saves encoding.
     """
-    texts = docs.select(F.col(text_col).alias("t")).where(F.length("t").between(1, 100_000)).limit(sample_docs).collect()
-    met = Counter(p for r in texts for p in r.t.split(" ") if len(p) <= 16)
+    small_batches(docs.sparkSession)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                met.update(p for p in t.split(" ") if 0 < len(p) <= 16)
+                if len(met) > TASK_ENTRIES:
+                    met = Counter(dict(met.most_common(TASK_ENTRIES // 2)))
+        most = met.most_common(entries)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["p", "n"])
+
+    parts = docs.select(F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(counted, "p string, n long")
+    most = parts.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(entries).collect()
     cache = PieceCache(tokenizer, len)
-    return {p: cache[p] for p, _ in met.most_common(entries) if p and PieceCache.MARK not in p}
+    return {r.p: cache[r.p] for r in most if PieceCache.MARK not in r.p}
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", table: dict[str, int] | None = None, out: str = "n_tokens") -> DataFrame:

@@ -54,6 +54,14 @@ def test_counts_with_clashing_column_nulls_and_long_texts(spark):
     assert token_counts.count_tokens(df.limit(0)).count() == 0
 
 
+def test_frequent_pre_tokens_are_those_of_the_whole_corpus(spark):
+    df = texts(spark, [(i, "alpha beta " * 3 if i < 300 else "gamma delta " * 9, "x", "") for i in range(600)] + [(900, None, None, None)]).coalesce(1)
+    lib = sentencepiece("piece_bpe_32k.model")
+    got = token_counts.frequent_lengths(df, entries=2)
+    assert got.keys() == {"gamma", "delta"}
+    assert token_counts.frequent_lengths(df).keys() == {"alpha", "beta", "gamma", "delta"} and got["gamma"] == len(lib.encode("gamma"))
+
+
 def test_counts_query_is_brute_force(spark):
     lib = sentencepiece("piece_bpe_32k.model")
     want = {r.doc_id: (len((r.text or "").encode()), len(lib.encode(r.text or ""))) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
