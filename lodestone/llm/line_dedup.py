@@ -1,21 +1,20 @@
-"""Line deduplication by pairwise alignment of documents, and by shared passages.
-
-Every line (its n-th occurrence in its document) is hashed. For each hash the first
-document that holds it is found, and every later document that holds it is paired with
-that one: a line of any frequency gives as many pairs as it has occurrences, so neither
-rare nor frequent lines need a cap, and the rarest lines give the fewest pairs. Within a
-pair the shared lines are unique on both sides, and patience diff aligns them: the longest
-run of lines that is in order in both. Aligned lines that are neighbours in the later
-document (blank lines between them don't count) are a block; blocks of at least
-``min_words`` words are deleted from it.
-
-One partner can't give all that a document shares with others: the longest common order drops
-passages that are moved, and a line that occurs more often in one of the two matches another
-place. So whole passages are looked up as well, among all earlier documents: from each line on,
-and back from each line, the shortest run of lines that has ``min_words`` words is hashed, and
-is deleted from every document but the first that holds it. Lines of a run have to be neighbours
-in both documents (blank lines don't count). A shared passage of ``min_words`` words or more is
-the union of such runs, so none is left, wherever and however often it stands.
+"""Line deduplication by pairwise alignment of documents.
+
+A single line may stand in a third of all documents, so the lines' hashes are taken where they
+are rare: from each line on, and back from each line, the shortest run of neighbouring lines
+(blank ones don't count) that has ``min_words`` words is hashed; a long line is a run by itself.
+Documents that share such a hash overlap. For each hash the first document that holds it is
+the partner of every later one, so a run of any frequency gives as many rows as it has
+occurrences, and none needs a cap.
+
+Within a pair the shared runs are joined to blocks, maximal in both documents, and patience
+diff aligns them: blocks that overlap no other one in either document are anchors, their
+longest common order is kept, and between two anchors what is unique there is aligned in turn.
+Blocks outside that order are moved or repeated passages, and are aligned each by itself.
+Aligned blocks are deleted from the later document.
+
+Since a passage of ``min_words`` words or more that an earlier document holds is a union of
+runs, each with a first holder, all of it is aligned with one partner or another.
 """
 
 from __future__ import annotations
@@ -23,52 +22,33 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WHITESPACE, small_batches, written
+from lodestone.llm.common import WHITESPACE, dropped, small_batches, written
 
 #: Words of a block below which it stays: a shared heading or phrase is no copied passage.
 MIN_WORDS = 40
-#: ``till`` is the last line of a passage, and -1 for a line by itself.
-KEY = "h1 long, h2 int, doc_id long, text_hash long, pos int, till int"
+#: A run's hash in two parts, its document, and its place and length in lines that aren't blank.
+KEY = "h1 long, h2 int, doc_id long, text_hash long, at int, n int"
+SPANS = "array<struct<at:int,n:int,moved:boolean>>"
 
 
-def line_keys(text: str) -> list[tuple[int, int, int]]:
-    """(first hash, second hash, place) of the lines that aren't blank, by occurrence."""
+def run_keys(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(first hash, second hash, place, lines) of the shortest runs of ``min_words`` words."""
     import xxhash
 
-    seen: dict[str, int] = {}
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        line = line.strip(WHITESPACE)
-        if line:
-            n = seen[line] = seen.get(line, 0) + 1
-            h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"), seed=n)
-            out.append(((h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31), i))
-    return out
-
-
-def passage_keys(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(first hash, second hash, first line, last line) of the shortest runs of ``min_words`` words.
-
-    There is one from each line on and one back from each line; blank lines are left out.
-    """
-    import xxhash
-
-    digests, at, ends = [], [], [0]
-    for i, line in enumerate(text.split("\n")):
+    digests, ends = [], [0]
+    for line in text.split("\n"):
         line = line.strip(WHITESPACE)
         if line:
             raw = line.encode("utf-8", "surrogatepass")
             digests.append(xxhash.xxh3_128_digest(raw))
-            at.append(i)
             ends.append(ends[-1] + len(raw.split()))
     spans = set()
-    for i in range(len(at)):
+    for i in range(len(digests)):
         j = bisect_left(ends, ends[i] + min_words)
         if j < len(ends):
             spans.add((i, j))
@@ -78,125 +58,152 @@ def passage_keys(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int,
     out = []
     for i, j in sorted(spans):
         h = xxhash.xxh3_128_intdigest(b"".join(digests[i:j]))
-        out.append(((h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31), at[i], at[j - 1]))
+        out.append(((h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31), i, j - i))
     return out
 
 
-def patience(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The places in ``right`` that are aligned: of lines unique on both sides, a longest common order.
+Block = tuple[int, int, int]
 
-    ``left`` and ``right`` have the places of the same lines in either document. Of several
-    longest ones it is that which patience sorting ends with, the same in every run.
-    """
-    order = np.argsort(right, kind="stable")
-    left, right = left[order], right[order]
-    if (np.diff(left) > 0).all():
-        return right
-    tops, at, before = [], [], np.full(len(left), -1)
-    for i, x in enumerate(left.tolist()):
+
+def blocks(runs: list[Block]) -> list[Block]:
+    """(place, place in the partner, lines) of maximal blocks: runs on one diagonal that meet or touch are one."""
+    out: list[list[int]] = []
+    for d, at, n in sorted((at - other, at, n) for at, other, n in runs):
+        if out and out[-1][0] == d and at <= out[-1][1] + out[-1][2]:
+            out[-1][2] = max(out[-1][2], at + n - out[-1][1])
+        else:
+            out.append([d, at, n])
+    return sorted((at, at - d, n) for d, at, n in out)
+
+
+def _lone(spans: list[tuple[int, int]]) -> list[bool]:
+    """Which of the (place, length) spans overlap no other one."""
+    order = sorted(range(len(spans)), key=spans.__getitem__)
+    out, reach, last = [True] * len(spans), -1, -1
+    for k in order:
+        at, n = spans[k]
+        if at < reach:
+            out[k] = out[last] = False
+        if at + n > reach:
+            reach, last = at + n, k
+    return out
+
+
+def _longest_order(own: list[Block]) -> list[Block]:
+    """A longest common order of blocks that come by place and overlap nowhere."""
+    tops, at, before = [], [], [-1] * len(own)
+    for i, (_, x, _) in enumerate(own):
         k = bisect_left(tops, x)
         before[i] = at[k - 1] if k else -1
-        tops[k : k + 1] = [x]
-        at[k : k + 1] = [i]
-    i, out = at[-1], []
+        tops[k : k + 1], at[k : k + 1] = [x], [i]
+    i, out = at[-1] if at else -1, []
     while i >= 0:
-        out.append(i)
+        out.append(own[i])
         i = before[i]
-    return right[out[::-1]]
-
-
-def without_blocks(text: str, places, min_words: int = MIN_WORDS, passages=()) -> tuple[str, int, int]:
-    """The text without aligned blocks of enough words and without passages; lines and words deleted.
-
-    ``passages`` has the first and last lines of what is deleted in any case. It doesn't lengthen
-    a block, so that a short aligned line beside a passage stays.
-    """
-    lines, aligned = text.split("\n"), set(places)
-    sure = {i for first, last in passages for i in range(first, last + 1)}
-    gone: set[int] = set()
-    run, words = [], 0
-
-    def close():
-        if words >= min_words:
-            gone.update(run)
-
-    for i, line in enumerate(lines):
-        n = len(line.encode("utf-8", "surrogatepass").split())
-        if n and i in sure:
-            gone.add(i)
-        if i in aligned:
-            run.append(i)
-            words += n
-        elif n:
-            close()
-            run, words = [], 0
-    close()
-    cut = sum(len(lines[i].encode("utf-8", "surrogatepass").split()) for i in gone)
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), cut
-
-
-def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per later document with any: ``places`` of the lines aligned with the first document that holds them.
-
-    ``passages`` has the first and last lines (``pos``, ``till``) of the shortest runs of
-    ``min_words`` words that stand in any earlier document.
+    return out[::-1]
+
+
+def patience(found: list[Block]) -> tuple[list[Block], list[Block]]:
+    """Of blocks by place: those in the common order, and the others, which are moved or repeated."""
+    kept: set[Block] = set()
+    gaps = [found]
+    while gaps:
+        own = gaps.pop()
+        lone = zip(own, _lone([(b[0], b[2]) for b in own]), _lone([(b[1], b[2]) for b in own]), strict=True)
+        anchors = _longest_order([b for b, x, y in lone if x and y])
+        if not anchors:
+            continue
+        kept.update(anchors)
+        # what lies between two anchors on both sides is aligned by itself
+        starts, inside = [a[0] for a in anchors], [[] for _ in range(len(anchors) + 1)]
+        for b in own:
+            k = bisect_right(starts, b[0])
+            low, high = anchors[k - 1] if k else (0, 0, 0), anchors[k] if k < len(anchors) else None
+            after = low[0] + low[2] <= b[0] and low[1] + low[2] <= b[1]
+            if after and (high is None or (b[0] + b[2] <= high[0] and b[1] + b[2] <= high[1])):
+                inside[k].append(b)
+        gaps += [x for x in inside if x]
+    return [b for b in found if b in kept], [b for b in found if b not in kept]
+
+
+def without_blocks(text: str, spans) -> tuple[str, int, int, int]:
+    """The text without (place, lines, moved) blocks; lines and words deleted, and lines of moved blocks only."""
+    lines = text.split("\n")
+    at = [i for i, x in enumerate(lines) if x.strip(WHITESPACE)]
+    straight, moved = set(), set()
+    for first, n, off in spans:
+        (moved if off else straight).update(at[first : first + n])
+    gone = straight | moved
+    words = sum(len(lines[i].encode("utf-8", "surrogatepass").split()) for i in gone)
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), words, len(moved - straight)
+
+
+def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Per later document with any: ``spans``, its blocks aligned with earlier documents.
+
+    ``at`` and ``n`` are places and lengths in lines that aren't blank; ``moved`` blocks are
+    outside the common order of their pair.
     """
     small_batches(docs.sparkSession)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in KEY.split(", ")]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for b in batches:
-            cols = [[], [], [], [], [], []]
+            rows = []
             for doc, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys = [(*x, -1) for x in line_keys(text)] + passage_keys(text, min_words)
-                for h1, h2, i, till in keys:
-                    for c, v in zip(cols, (h1, h2, doc, h, i, till), strict=True):
-                        c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in KEY.split(", ")])
+                rows += [(h1, h2, doc, h, at, n) for h1, h2, at, n in run_keys(text, min_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=names)
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(text_col).alias("th"), text_col)
-    lines = texts.mapInArrow(keyed, KEY)
+    runs = written(texts.mapInArrow(keyed, KEY), "runs")
     doc = F.struct("doc_id", "text_hash")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.max(doc).alias("last"))
-    first = first.select("h1", "h2", F.struct("first.doc_id", "first.text_hash").alias("lead"), F.col("first.pos").alias("lead_pos"), "last").where(F.col("lead") != F.col("last"))
-    # as a table of its own the join's sides are plain exchanges, and a hot line's partition can be split
-    first = written(first.drop("last"), "first-lines")
-    shared = lines.join(first, ["h1", "h2"]).where(doc != F.col("lead"))
-    line = F.col("till") < 0
-    pairs = shared.groupBy("doc_id", "text_hash", "lead").agg(
-        F.collect_set(F.when(line, F.struct("pos", "lead_pos"))).alias("x"),
-        F.collect_set(F.when(~line, F.struct("pos", "till"))).alias("y"),
-    )
-
-    @F.pandas_udf("array<int>")
-    def places(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([patience(a, b) if len(a) else a for a, b in zip(x, y, strict=True)])
-
-    aligned = pairs.select("doc_id", "text_hash", places(F.col("x.lead_pos"), F.col("x.pos")).alias("p"), "y")
-    return aligned.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("p")).alias("places"), F.flatten(F.collect_list("y")).alias("passages"))
+    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.max(doc).alias("last"))
+    first = first.select("h1", "h2", F.struct("first.doc_id", "first.text_hash").alias("lead"), F.col("first.at").alias("lead_at"), "last").where(F.col("lead") != F.col("last"))
+    # as a table of its own the join's sides are plain exchanges, and a hot run's partition can be split
+    first = written(first.drop("last"), "first-runs")
+    shared = runs.join(first, ["h1", "h2"]).where(doc != F.col("lead"))
+    pairs = shared.groupBy("doc_id", "text_hash", "lead").agg(F.collect_set(F.struct("at", "lead_at", "n")).alias("x"))
+
+    @F.pandas_udf(SPANS)
+    def spans(at: pd.Series, other: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for a, b, c in zip(at, other, n, strict=True):
+            straight, moved = patience(blocks(list(zip(a.tolist(), b.tolist(), c.tolist(), strict=True))))
+            out.append([{"at": x, "n": k, "moved": off} for own, off in ((straight, False), (moved, True)) for x, _, k in own])
+        return pd.Series(out)
+
+    found = pairs.select("doc_id", "text_hash", spans("x.at", "x.lead_at", "x.n").alias("s"))
+    out = written(found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("s")).alias("spans")), "aligned")
+    dropped(runs)
+    dropped(first)
+    return out
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with their columns, the text without the aligned blocks and passages, and what was deleted.
-
-    ``n_removed_lines`` and ``n_removed_words`` are added. The later document is that with
-    the larger id (nulls come first; among equal ids the texts' hashes decide). Rows that
-    repeat both id and text are one document: all of them lose the same blocks, but none
-    because of each other. Null texts stay null, empty ones empty, and lose nothing.
+    """All rows with their columns, the text without the blocks that are aligned with earlier documents.
+
+    ``n_removed_lines``, ``n_removed_words`` and ``n_moved_lines`` (of the lines removed, those
+    that only moved blocks hold) are added; columns of these names are replaced. The later
+    document is that with the larger id (nulls come first; among equal ids the texts' hashes
+    decide). Rows that repeat both id and text are one document: all of them lose the same
+    blocks, but none because of each other. Passages that repeat inside one document only stay.
+    Null texts stay null, empty ones empty, and lose nothing; a text may be of any length. No
+    rows give no rows.
     """
-    marks = aligned_lines(docs, id_col, text_col, min_words)
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("places").alias("__places"), F.col("passages.pos").alias("__pos"), F.col("passages.till").alias("__till"))
+    counts = ["n_removed_lines", "n_removed_words", "n_moved_lines"]
+    marks = aligned(docs, id_col, text_col, min_words)
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("spans.at").alias("__at"), F.col("spans.n").alias("__n"), F.col("spans.moved").alias("__m"))
     same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th"))
     joined = docs.join(marks, same, "left")
 
-    @F.pandas_udf("text string, lines long, words long")
-    def cut(texts: pd.Series, places: pd.Series, pos: pd.Series, till: pd.Series) -> pd.DataFrame:
-        every = zip(texts, places, pos, till, strict=True)
-        rows = [(None, 0, 0) if p is None or t is None else without_blocks(t, p, min_words, zip(a, b, strict=True)) for t, p, a, b in every]
-        return pd.DataFrame(rows, columns=["text", "lines", "words"])
+    @F.pandas_udf("text string, lines long, words long, moved long")
+    def cut(texts: pd.Series, at: pd.Series, n: pd.Series, moved: pd.Series) -> pd.DataFrame:
+        rows = [(None, 0, 0, 0) if t is None or a is None else without_blocks(t, zip(a, b, c, strict=True)) for t, a, b, c in zip(texts, at, n, moved, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "lines", "words", "moved"])
 
     # texts of documents that share nothing don't go to Python
-    c = cut(F.when(F.col("__places").isNotNull(), F.col(text_col)), F.col("__places"), F.col("__pos"), F.col("__till"))
+    c = cut(F.when(F.col("__at").isNotNull(), F.col(text_col)), F.col("__at"), F.col("__n"), F.col("__m"))
     out = joined.withColumn("__c", c).withColumn(text_col, F.coalesce(F.col("__c.text"), F.col(text_col)))
-    names = [x for x in docs.columns if x not in ("n_removed_lines", "n_removed_words")]
-    return out.select(*names, F.col("__c.lines").alias("n_removed_lines"), F.col("__c.words").alias("n_removed_words"))
+    names = [x for x in docs.columns if x not in counts]
+    return out.select(*names, *[F.col(f"__c.{x}").alias(y) for x, y in zip(("lines", "words", "moved"), counts, strict=True)])
