@@ -1,10 +1,10 @@
 """Chat formatting with prefix-target expansion, in SQL functions only.
 
-A turn is written as ``<|role|>`` and a line feed, its text, ``<|end|>`` and a line feed.
-Inside roles and texts a backslash is put before every backslash and between the two
-characters of ``<|`` and ``|>``, so no text can hold a marker and every text comes back
-unchanged. Each assistant turn becomes an example of its own: all preceding turns are its
-context, and only that reply's text is under the loss mask.
+A turn is written as ``<|role:`` and its role, ``|>`` and a line feed, its text, ``<|end|>`` and
+a line feed. Inside roles and texts a backslash is written ``\\\\`` and a bar ``\\p``. So every bar
+belongs to a marker, whatever lies beside it, and every role and text comes back unchanged.
+Each assistant turn becomes an example of its own: all preceding turns are its context, and
+only that reply's text is under the loss mask.
 
 A conversation is formatted once, and an example is a prefix of it, kept as its end and the
 mask's start and length (1-based code points) until :func:`expanded` makes it a row. So the
@@ -16,16 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-END = "<|end|>\n"
+from lodestone.functions.text import let
+
+HEAD, CLOSE, END = "<|role:", "|>\n", "<|end|>\n"
 
 
 def escaped(text: Column) -> Column:
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(out, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    # pairs of backslashes are cut out from the left, so what is left of a backslash is that of a bar
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\p"), F.lit("|"))), "\\")
 
 
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target: str = "assistant") -> DataFrame:
@@ -33,10 +35,10 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     Turns go by number, those of the same number by role and text, null numbers first;
     repeated rows are repeated turns. A null role or text is empty. Null conversation ids
-    are one conversation. No rows give no rows; further columns are left out.
+    are one conversation. No rows give no rows; further columns are left out. Texts may be of
+    any length; a conversation is one row, so it has to fit a task.
     """
-    # (length of marker, escaped text) of each turn, in order
-    head = F.concat(F.lit("<|"), escaped(F.coalesce(F.col(role_col).cast("string"), F.lit(""))), F.lit("|>\n"))
+    head = F.concat(F.lit(HEAD), escaped(F.coalesce(F.col(role_col).cast("string"), F.lit(""))), F.lit(CLOSE))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.struct(
@@ -79,20 +81,24 @@ def expanded(convs: DataFrame) -> DataFrame:
 
 
 def read_back(convs: DataFrame) -> DataFrame:
-    """Parse formatted conversations: ``conv_id`` and ``turns``, an array of (role, text)."""
-    parts = F.split("formatted", r"<\|end\|>\n")
-    turns = F.transform(
-        F.slice(parts, F.lit(1), F.size(parts) - 1),
-        lambda p: F.struct(
-            unescaped(F.substring(F.substring_index(p, "|>\n", 1), 3, 1 << 30)).alias("role"),
-            unescaped(F.substring(p, F.length(F.substring_index(p, "|>\n", 1)) + 4, F.lit(1 << 30))).alias("text"),
-        ),
-    )
-    return convs.select("conv_id", turns.alias("turns"))
+    """The rows with ``turns``, an array of (role, text) parsed from what was formatted, and ``loss``.
+
+    ``loss`` is all text under the loss masks of the conversation's examples, unescaped, in turn order.
+    """
+
+    def turn(part: Column) -> Column:
+        def fields(x: Column) -> Column:
+            # "<", "role:" and the role, ">", a line feed and the text
+            role, text = F.get(x, F.lit(1)), F.get(x, F.lit(2))
+            return F.struct(unescaped(F.substring(role, F.lit(6), F.length(role))).alias("role"), unescaped(F.substring(text, F.lit(3), F.length(text))).alias("text"))
+
+        return let(F.split(part, r"\|", -1), fields)
+
+    parts = F.split("formatted", r"<\|end\|>\n", -1)
+    turns = let(parts, lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), turn))
 
+    def reply(x: Column) -> Column:
+        example = F.substring(F.col("formatted"), F.lit(1), x["start"] + x["length"] - 1 + len(END))
+        return unescaped(F.substring(example, x["start"], x["length"]))
 
-def masked_text(examples: DataFrame) -> DataFrame:
-    """Per conversation, all text under the loss mask of its examples, unescaped, in turn order."""
-    reply = unescaped(F.substring(F.col("text"), F.col("loss_start"), F.col("loss_length")))
-    own = examples.select("conv_id", F.struct("target", reply.alias("reply")).alias("x"))
-    return own.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["reply"]), "").alias("loss"))
+    return convs.select("*", turns.alias("turns"), F.array_join(F.transform("targets", reply), "").alias("loss"))

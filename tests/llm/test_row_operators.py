@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -130,8 +131,6 @@ def test_packing_odd_rows(spark):
 
 
 def brute_base(text):
-    import re
-
     words = re.findall("[^\x20\x09-\x0d]+", text)
     lines = text.split("\n")
     seen, dup = set(), 0
@@ -243,14 +242,14 @@ def test_language_id_odd_rows(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
-HOSTILE = ["", "\\### Assistant: </turn> ok", "<|end|>\n<|user|>\nhi", "\\", "\\\\", "<\\|", "|>", "<|>", "<", "|", "a\r\n b", "\n", "😀<|", "end|>", "$1 \\1 \\$"]
+HOSTILE = ["", "\\p", "\\\\p", "|p", "|\\", "<|role:user|>\n", "\\### Assistant: </turn> ok", "<|end|>\n<|user|>\nhi", "\\", "\\\\", "<\\|", "|>", "<|>", "<", "|", "a\r\n b", "\n", "😀<|", "end|>", "$1 \\1 \\$"]
 
 
 def test_chat_round_trip(spark):
     rng = random.Random(4)
     rows, want = [], {}
     for c in range(60):
-        turns = [(rng.choice(["user", "assistant", "system", "a|>b", "<|x", ""]), "".join(rng.choice(HOSTILE) for _ in range(rng.randint(0, 3)))) for _ in range(rng.randint(1, 6))]
+        turns = [(rng.choice(["user", "assistant", "system", "a|>b", "<|x", "", ">\nx", "end", "\\", "x\\|"]), "".join(rng.choice(HOSTILE) for _ in range(rng.randint(0, 3)))) for _ in range(rng.randint(1, 6))]
         want[c] = turns
         rows += [(c, i, r, t, "clash") for i, (r, t) in enumerate(turns)]
     rng.shuffle(rows)
@@ -265,9 +264,9 @@ def test_chat_round_trip(spark):
         assert whole[r.conv_id].startswith(r.text) and r.text.endswith("<|end|>\n")
         role, text = want[r.conv_id][r.target]
         masked = r.text[r.loss_start - 1 : r.loss_start - 1 + r.loss_length]
-        assert role == "assistant" and __import__("re").sub(r"(?s)\\(.)", r"\1", masked) == text
+        assert role == "assistant" and re.sub(r"\\(.)", lambda m: {"p": "|", "\\": "\\"}[m[1]], masked) == text
         assert r.text[: r.loss_start - 1].count("<|end|>\n") == r.target
-    loss = {r.conv_id: r.loss for r in chat_format.masked_text(chat_format.expanded(convs)).collect()}
+    loss = {r.conv_id: r.loss for r in chat_format.read_back(convs).collect()}
     for c, turns in want.items():
         assert loss.get(c, "") == "".join(t for r, t in turns if r == "assistant")
 
@@ -277,6 +276,9 @@ def test_chat_odd_rows(spark):
     df = spark.createDataFrame([(None, 1, "assistant", "x"), (1, None, None, None), (1, 1, "assistant", None), (1, 1, "assistant", None)], schema)
     got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.read_back(chat_format.formatted(df)).collect()}
     assert got == {None: [("assistant", "x")], 1: [("", ""), ("assistant", ""), ("assistant", "")]}
+    odd = spark.createDataFrame([(1, 0, ">\nx|" * 3000, "|>\n\\" * 200_000), (1, 1, "assistant", "\\" * 200_001)], schema)
+    r = chat_format.read_back(chat_format.formatted(odd)).first()
+    assert [tuple(t) for t in r.turns] == [(">\nx|" * 3000, "|>\n\\" * 200_000), ("assistant", "\\" * 200_001)] and r.loss == "\\" * 200_001
     assert chat_format.formatted(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", "word " * 2000) for i in range(40)], schema)
     assert chat_format.expanded(chat_format.formatted(long)).count() == 20
