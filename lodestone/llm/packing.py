@@ -1,11 +1,13 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
-Each task cuts its documents' ids into full windows and one rest, cuts rests into units,
-and gathers units until they fill ``WINDOWS`` windows. Differencing then merges partial
-partitions, the largest imbalance first, heavy windows of one against light windows of the
-other, which leaves windows of nearly equal length. When one is over capacity the count of
-windows rises by one and the differencing starts again. Nothing is shuffled: what a task
-holds is a few hundred thousand ids, whatever the input's size.
+Each task cuts its documents' ids into full windows and one rest, and gathers rests until
+they fill ``WINDOWS`` windows. Differencing then merges partial partitions, the largest
+imbalance first, heavy windows of one against light windows of the other, which leaves
+windows of nearly equal length. When one is over capacity the count of windows rises by one
+and the differencing starts again, as long as no more than ``PADDING`` of the capacity stays
+empty; then what is over capacity is cut off, and the largest surplus goes where most room is.
+So most rests stay whole. Nothing is shuffled: what a task holds is a few hundred thousand
+ids and one document, whatever the input's size.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import small_batches
 from lodestone.llm.tokens import ByteLevelIds
 
-CAPACITY, WINDOWS, UNIT = 2048, 64, 256
+CAPACITY, WINDOWS, PADDING = 2048, 64, 0.02
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -57,24 +59,56 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
     return sets + [[] for _ in range(k - len(sets))]
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """The fewest near-equal windows, from the total's floor up, of which none is over capacity."""
-    k = max(1, -(-sum(sizes) // capacity))
+def windows(sizes: list[int], capacity: int = CAPACITY, padding: float = PADDING) -> list[list[tuple[int, int, int]]]:
+    """Near-equal windows of (item, start, length) pieces, none over capacity.
+
+    The count of windows begins at the total's floor and rises while a window is over capacity
+    and at most ``padding`` of all windows would stay empty. At the last count the surplus is cut.
+    """
+    total = sum(sizes)
+    k = max(1, -(-total // capacity))
+    most = max(k, int(total / (capacity * (1 - padding))))
     while True:
         sets = differenced(sizes, k)
-        if max((sum(sizes[i] for i in s) for s in sets), default=0) <= capacity:
-            return sets
+        sums = [sum(sizes[i] for i in s) for s in sets]
+        if max(sums) <= capacity or k >= most:
+            break
         k += 1
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", end_id: int = 1, capacity: int = CAPACITY, unit: int = UNIT, with_ids: bool = False) -> DataFrame:
+    out = [[(i, 0, sizes[i]) for i in s] for s in sets]
+    room = [(n - capacity, j) for j, n in enumerate(sums) if n < capacity]
+    heapq.heapify(room)
+    over = []
+    for j, n in enumerate(sums):
+        while n > capacity:
+            # the end of the longest piece
+            at = max(range(len(out[j])), key=lambda x: out[j][x][2])
+            i, start, length = out[j].pop(at)
+            cut = min(n - capacity, length)
+            if cut < length:
+                out[j].insert(at, (i, start, length - cut))
+            over.append((-cut, i, start + length - cut))
+            n -= cut
+    heapq.heapify(over)
+    while over:
+        cut, i, start = heapq.heappop(over)
+        free, j = heapq.heappop(room)
+        n = min(-cut, -free)
+        out[j].append((i, start, n))
+        if n < -cut:
+            heapq.heappush(over, (cut + n, i, start + n))
+        if n < -free:
+            heapq.heappush(room, (free + n, j))
+    return out
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: its place in its document and in its sequence, and its ids' checksum.
 
     ``with_ids`` adds the ids themselves (``array<int>``). Null and empty texts are the one
     ``end_id``; repeated rows are packed each; a null id stays null; no rows give no rows;
-    further columns are left out. ``sequence_id`` is unique in the result: the task's number
-    in its high bits. A sequence is shorter than ``capacity`` only if it is one of the
-    near-equal windows, whose slack is what capacity the count of windows has over.
+    further columns are left out; texts may be of any length. ``sequence_id`` is unique in the
+    result: the task's number in its high bits. A sequence is shorter than ``capacity`` only if
+    it is one of the near-equal windows.
     """
     small_batches(docs.sparkSession)
 
@@ -91,9 +125,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             nonlocal sequence, held
             for own in windows([len(x[2]) for x in waiting], capacity):
                 offset = 0
-                for i in sorted(own):
-                    emit(*waiting[i], offset)
-                    offset += len(waiting[i][2])
+                for i, at, n in sorted(own):
+                    doc, start, ids, total = waiting[i]
+                    emit(doc, start + at, ids[at : at + n], total, offset)
+                    offset += n
                 sequence += bool(own)
             waiting.clear()
             held = 0
@@ -114,8 +149,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 for at in range(0, full, capacity):
                     emit(doc, at, ids[at : at + capacity], total, 0)
                     sequence += 1
-                for at in range(full, total, unit):
-                    waiting.append((doc, at, ids[at : at + unit], total))
+                if full < total:
+                    waiting.append((doc, full, ids[full:].copy(), total))
                 held += total - full
                 # a total just below a whole count of windows leaves little slack
                 if held >= WINDOWS * capacity and (-held % capacity <= capacity // 8 or held >= 2 * WINDOWS * capacity):

@@ -86,15 +86,19 @@ class ByteLevelIds:
 
     The rank file has the vocabulary of the ``tokenizers`` file; ``tiktoken`` returns the
     same ids several times as fast (tested). Texts that hold an added token's string go to
-    ``tokenizers``, which takes it for that token.
+    ``tokenizers``, which takes it for that token, as do those with a run of ``LONG_SPACE``
+    white space characters, at which ``tiktoken`` runs out of stack.
     """
 
+    LONG_SPACE = 50_000
+
     def __init__(self, name: str):
         self.library, self.ranks = tokenizer(f"{name}.json"), ranked(f"{name}.tiktoken")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.spaces = re.compile(rf"\s{{{self.LONG_SPACE}}}")
 
     def ids(self, text: str) -> list[int]:
-        if any(a in text for a in self.added):
+        if any(a in text for a in self.added) or (len(text) >= self.LONG_SPACE and self.spaces.search(text)):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.ranks.encode_ordinary(text)
 

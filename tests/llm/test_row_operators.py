@@ -88,7 +88,24 @@ def test_differencing_by_hand():
     assert sums == [14, 16]
     assert packing.windows([], 10) == [[]]
     assert sorted(map(len, packing.windows([10, 10, 10], 10))) == [1, 1, 1]
-    assert len(packing.windows([6, 6, 6], 10)) == 3  # two windows would hold 12
+    assert len(packing.windows([6, 6, 6], 10, 0.5)) == 3  # two windows would hold 12
+    # without leave to pad, the surplus of two is cut off and moved
+    assert sorted(sorted(x) for x in packing.windows([6, 6, 6], 10, 0)) == [[(0, 0, 6), (2, 4, 2)], [(1, 0, 6), (2, 0, 4)]]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_windows_hold_every_id_once(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 5, 2047, 2048, rng.randint(1, 2047)]) for _ in range(rng.randint(1, 250))]
+    own = packing.windows(sizes)
+    assert all(sum(n for _, _, n in w) <= packing.CAPACITY for w in own)
+    assert len(own) <= max(-(-sum(sizes) // packing.CAPACITY), sum(sizes) / (0.98 * packing.CAPACITY))
+    at = {i: 0 for i in range(len(sizes))}
+    for i, start, n in sorted(x for w in own for x in w):
+        assert start == at[i] and n > 0
+        at[i] += n
+    assert at == dict(enumerate(sizes))
+    assert sum(map(len, own)) <= len(sizes) + 2 * len(own)
 
 
 def check_packing(rows, want, capacity=2048):
@@ -126,6 +143,9 @@ def test_packing_odd_rows(spark):
     check_packing(packing.pack(df).collect(), want)
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.pack(texts(spark, [(None, "x", "", ""), (None, "x", "", "")])).count() == 2
+    for space in (" " * 1_000_000, "a" + "\n" * 1_200_000, "b" * 300_000):
+        t = texts(spark, [(1, space, "x", "")])
+        check_packing(packing.pack(t).collect(), {1: [*lib.encode(space, add_special_tokens=False).ids, 1]})
     ids = packing.pack(df.where("doc_id = 3"), with_ids=True).first().ids
     assert ids == want[3]
 
