@@ -28,7 +28,9 @@ LEAST_BYTES = 100
 ROTATE_BYTES, RANGE_BYTES, BLOCK = 256 << 20, 32 << 20, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:lodestone:page:"
-RECORD = "file string, offset long, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary, valid boolean"
+#: Most tasks of a reading stage; beyond, a task reads several ranges.
+TASKS = 20_000
+RECORD = "file string, offset long, length long, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary, valid boolean"
 
 
 def store(uri: str):
@@ -72,7 +74,8 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     one with the smallest id is the response and the others revisit it. Ids that are null
     are never referred to: where all are null, all are responses; rows that repeat the
     smallest id are responses too. Columns of other names are left out. The archive's files
-    are those of the manifest: what a lost task leaves behind isn't in it.
+    are those of the manifest: what a lost task leaves behind isn't in it. No rows give no
+    files; a page has to fit a task.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -168,7 +171,7 @@ def records_in(source, size: int, start: int, end: int) -> Iterator[tuple[int, d
             member = _member(source, size, at + found)
             record = member and parsed(member[0])
             if record:
-                yield at + found, record
+                yield at + found, record | {"length": member[1] - at - found}
                 at, jumped = member[1], True
                 break
             found = buf.find(MAGIC, found + 1)
@@ -180,11 +183,14 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
     """The records of archives (``file`` and ``bytes`` rows), by byte ranges dealt over tasks.
 
     Response payloads are checked against their digest (``valid``). ``payloads=False`` leaves
-    them out after the check. Files without records and empty files give no rows.
+    them out after the check. Files without records and empty files give no rows; bytes that
+    are no record are passed over (:func:`skipped` counts them). A record has to fit a task.
     """
     small_batches(spark)
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("file", "start")
+    # a number of its own: ranges are short rows of much work, which adaptive execution would put into one task
+    tasks = files.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / range_bytes))).first()[0]
+    ranges = ranges.repartition(int(min(max(1, tasks or 0), TASKS)), "file", "start")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
@@ -198,7 +204,7 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
                     for offset, r in records_in(source, size, start, min(size, start + range_bytes)):
                         f = r["fields"]
                         body = r["payload"] if payloads else None
-                        rows.append((file, offset, r["kind"], f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), r["n"], r["digest"], body, r["valid"]))
+                        rows.append((file, offset, r["length"], r["kind"], f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), r["n"], r["digest"], body, r["valid"]))
                         held += len(body or b"")
                         if len(rows) >= 1024 or held >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
@@ -209,6 +215,12 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
     return ranges.mapInArrow(scanned, RECORD)
 
 
+def skipped(files: DataFrame, records: DataFrame) -> DataFrame:
+    """``file``, ``bytes`` and ``skipped``: the bytes of each file that lie in no record that was read."""
+    read_ = records.groupBy("file").agg(F.sum("length").alias("__n"))
+    return files.join(read_, "file", "left").select("file", "bytes", (F.col("bytes") - F.coalesce("__n", F.lit(0))).alias("skipped"))
+
+
 def page_id(urn: str):
     """The page id in a record id that :func:`write` gave, as a column; null if there is none."""
     return F.expr(f"try_cast(regexp_extract({urn}, '^<{_URN}(-?[0-9]+)>$', 1) as bigint)")
