@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 WHITESPACE = " \t\n\r\x0b\x0c"
 #: Rows and bytes of one Arrow batch. Texts can be long, so both are kept small.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local temp folder only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temp folder, on a local master only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        path = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return path.rstrip("/")
 
 

@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import dropped, small_batches, written
@@ -37,8 +37,10 @@ from lodestone.llm.common import dropped, small_batches, written
 BANDS, ROWS = 32, 5
 #: Signature entries compared between two looks at the posterior, and the miss probability at each look.
 BATCH, MISS = 32, 1e-6
-#: Members of one side of a block of a bucket.
-BLOCK = 2048
+#: Members of one side of a block of a bucket, and shingles of one side of a block of full sets (16 MB; a larger set is a block by itself).
+BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
+#: Rounds of :func:`components`; each halves what is left at least, so that more is an error.
+ROUNDS = 60
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20240229)
 _ODD = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -91,13 +93,6 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype("<u4")
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    out = np.zeros(BANDS, np.uint64)
-    for r in range(ROWS):
-        out = mixed(out * np.uint64(31) + sig.reshape(BANDS, ROWS)[:, r].astype(np.uint64))
-    return out.view(np.int64)
-
-
 @lru_cache
 def least_matches(threshold: float) -> tuple[tuple[int, int], ...]:
     """(entries compared, fewest matches not pruned) for each look.
@@ -143,11 +138,9 @@ def _signed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def keys(sigs: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(np.frombuffer(s, "<u4")) for s in sigs])
-
-    return classes.select("rep", F.posexplode(keys("sig")).alias("band", "key"))
+    size = 4 * ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("sig"), b * size + 1, F.lit(size))))
+    return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
 def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -174,11 +167,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * either).select("a", "b")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, limit: int = ROUNDS) -> DataFrame:
     """(node, component): each node of undirected (a, b) edges and the smallest node it reaches.
 
     Alternates large stars and small stars, which leaves every node linked to its
-    component's smallest after a logarithmic number of rounds.
+    component's smallest after a logarithmic number of rounds. An error is raised if ``limit``
+    rounds aren't enough: no result is ever taken from links that still change.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
@@ -197,19 +191,30 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    else:
+        raise RuntimeError(f"components still change after {limit} rounds")
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._lodestone_path = edges._lodestone_path
+    return out
 
 
-def _blocked(members: DataFrame, group: list[str], extra: list[str], test, schema: str) -> DataFrame:
+def _blocked(members: DataFrame, group: list[str], extra: list[str], test, schema: str, by_size: bool = False) -> DataFrame:
     """``test`` on every outsider of a group against the group's members, in blocks of bounded size.
 
-    ``members`` has the group's columns, ``rep, component, lead`` and ``extra``; an outsider
-    is a member whose component isn't ``lead``. A group is dealt into blocks of outsiders
-    (side 0) and of members (side 1), and a task holds one of each.
+    ``members`` has the group's columns, ``rep, component, lead, n_shingles`` and ``extra``; an
+    outsider is a member whose component isn't ``lead``. A group is dealt into blocks of
+    outsiders (side 0) and of members (side 1), and a task holds one of each: about ``BLOCK``
+    rows, and where ``by_size`` about ``BLOCK_SHINGLES`` shingles.
     """
-    sizes = members.groupBy(*group).agg(F.count("*").alias("n"), F.count(F.when(F.col("component") != F.col("lead"), 1)).alias("out"))
+    outside = F.col("component") != F.col("lead")
+    sizes = members.groupBy(*group).agg(F.count("*").alias("n"), F.count(F.when(outside, 1)).alias("out"), F.sum("n_shingles").alias("weight"), F.sum(F.when(outside, F.col("n_shingles"))).alias("out_weight"))
     m = members.join(sizes.where("out > 0"), group)
-    rows, outs = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("out") / BLOCK).cast("int")
+
+    def blocks(rows: str, shingles: str) -> Column:
+        by_rows, by_shingles = F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)
+        return (F.least(F.greatest(by_rows, by_shingles), F.col(rows)) if by_size else by_rows).cast("int")
+
+    rows, outs = blocks("n", "weight"), blocks("out", "out_weight")
     deal = F.xxhash64("rep")
     cols = [*group, "i", "j", "side", "rep", "component", *extra]
     left = m.where("component <> lead").withColumn("side", F.lit(0)).withColumn("i", F.pmod(deal, outs).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), rows - 1)))
@@ -279,7 +284,7 @@ def _late_links(members: DataFrame, percent: int) -> DataFrame:
 
         return test
 
-    return _blocked(members, ["grp"], ["s"], lambda pdf: _forest(pdf, found), "a long, b long")
+    return _blocked(members, ["grp"], ["s"], lambda pdf: _forest(pdf, found), "a long, b long", by_size=True)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +294,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Null texts and texts without words have the empty set and are linked with nothing. Rows
     of the same id are one node each time they occur: each row is returned, with the id's
     component. Rows whose id is null are returned, unlinked and kept. Columns of other names
-    are left out; an empty table gives an empty table.
+    are left out; an empty table gives an empty table. Texts may be of any length; a text's set
+    has to fit a task.
     """
     small_batches(docs.sparkSession)
     threshold = percent / 100
@@ -316,7 +322,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = written(own.join(needed, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", full("t").alias("s")), "sets")
 
     edges = written(_verified(alive, sets, percent), "links")
-    comps = written(components(edges), "components")
+    dropped(alive)
+    linked_ = components(edges)
+    comps = written(linked_, "components")
+    dropped(linked_)
 
     def of(df: DataFrame, col: str, name: str) -> DataFrame:
         """The component of a class as another column; a class without links is its own."""
@@ -331,15 +340,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if not suspects.isEmpty():
         # groups of components that survivors join: all of a group's members meet, in blocks
         between = of(of(suspects, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        groups = written(components(between), "groups").select(F.col("node").alias("component"), F.col("component").alias("grp"))
+        joined = components(between)
+        groups = joined.select(F.col("node").alias("component"), F.col("component").alias("grp"))
         groups = groups.unionByName(groups.select(F.col("grp").alias("component"), "grp")).distinct()
-        inside = of(sets, "rep", "component").join(groups, "component")
+        inside = of(sets.withColumn("n_shingles", F.size("s")), "rep", "component").join(groups, "component")
         most = inside.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("lead"))
         late = written(_late_links(inside.join(most, "grp"), percent), "links")
+        dropped(joined)
         if not late.isEmpty():
+            dropped(comps)
             comps = components(edges.unionByName(late))
+        dropped(late)
 
-    place = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
+    place = written(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("c")), "places")
+    for done in (classes, shared, sets, edges, suspects, comps):
+        dropped(done)
     # an id whose rows differ in text belongs to each of its texts' classes; ids are unique in a corpus
     out = signed.join(place, ["hi", "lo"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 import pytest
-from lodestone.llm import decontamination, line_dedup, near_dup, pii, registry, warc
+from lodestone.llm import common, decontamination, line_dedup, near_dup, pii, registry, warc
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,10 +70,11 @@ def test_near_duplicates_are_brute_force(spark, k):
     assert got == brute_components(rows, k, 80)
 
 
-def test_late_links_that_stars_miss(spark, monkeypatch):
+@pytest.mark.parametrize("block,shingles", [(3, 1 << 20), (100, 130)])
+def test_late_links_that_stars_miss(spark, monkeypatch, block, shingles):
     # one band's bucket with everything, and blocks of three: all that isn't linked to the least id comes later
-    monkeypatch.setattr(near_dup, "BLOCK", 3)
-    monkeypatch.setattr(near_dup, "band_keys", lambda sig: np.zeros(near_dup.BANDS, np.int64))
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", shingles)
     rng = random.Random(9)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(4)]
     rows = []
@@ -144,6 +145,30 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.component for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 50))
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        near_dup.components(spark.createDataFrame(edges, "a long, b long"), limit=2)
+
+
+def test_near_duplicates_leave_only_what_the_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = near_dup.near_duplicates(docs(spark, near_rows()), 2)
+    assert sorted(x.name.split("-")[1] for x in tmp_path.iterdir()) == ["places", "signed"] and out.count() == len(near_rows())
+
+
+def test_shared_folder_is_local_on_a_local_master_only():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "a1"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Context.master = "local[2]"
+    assert common.shared_dir(Session) == common.shared_dir(Session) and common.shared_dir(Session).startswith("file:///")
 
 
 # ---------------------------------------------------------------- decontamination
