@@ -3,9 +3,10 @@
 A text is the mean of the embeddings of its hashed byte 2- to 4-grams. Embeddings and the
 softmax are trained together by stochastic gradient descent in numpy on a bounded sample
 (``per_language`` rows of each label for training and as many for calibration). On the
-calibration rows a temperature is fitted, and the rejection threshold is the least score
-that keeps the error among accepted rows within ``target_error``, but never one that would
-reject more than ``max_loss`` of the rows that are labelled right.
+calibration rows a temperature is fitted, so that scores are probabilities. A text is
+rejected where the label is more likely wrong than right (``LEAST``), and below the least
+score that keeps the error among accepted calibration rows within ``target_error``.
+:func:`risk` reports error against coverage on any labelled rows.
 
 Since the softmax is linear, a bucket's embedding times the softmax's weights is one row
 of class scores; prediction over whole texts needs this table only.
@@ -27,10 +28,19 @@ from lodestone.llm.common import small_batches
 BITS, DIM, ORDERS = 14, 16, (2, 3, 4)
 #: Bound of the training sample: rows per label, for training and for calibration each.
 PER_LANGUAGE = 400
+#: Most labels, and most kinds of subwords that a sampled text sends to the driver (its most frequent ones).
+LABELS, KINDS = 400, 4096
+#: Calibrated probability of the label below which a text is rejected in any case.
+LEAST = 0.5
 UNDETERMINED = "und"
 _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 _PLAIN = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    # the pattern takes numbers such as ² and Ⅳ as well, which aren't letters
+    return any(c.isalpha() for m in _LETTER.finditer(text) for c in m[0])
 
 
 def buckets(text: str) -> np.ndarray:
@@ -65,7 +75,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Label and calibrated probability; ``und`` and 0 for null texts and texts without a letter."""
-        if text is None or not self.labels or not _LETTER.search(text):
+        if text is None or not self.labels or not has_letter(text):
             return UNDETERMINED, 0.0
         p = self.scores(buckets(text))
         best = int(p.argmax())
@@ -107,8 +117,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate:
     return Model(labels, (emb.astype(np.float64) @ w), bias.astype(np.float64))
 
 
-def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], target_error: float = 0.01, max_loss: float = 0.001) -> Model:
+def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], target_error: float = 0.01, least: float = LEAST) -> Model:
     """Fit temperature and rejection threshold on rows that the training has not seen."""
+    model.threshold = least
     rows = [r for r in rows if r[0] in model.labels and r[2].sum()]
     if not rows:
         return model
@@ -128,14 +139,17 @@ def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], targ
     errors = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(errors <= target_error)
     wanted = 0.0 if len(good) and good[-1] == len(order) - 1 else float(score[order[good[-1]]]) if len(good) else 1.0
-    most = float(np.quantile(score[right], max_loss, method="lower")) if right.any() else 0.0
-    model.threshold = min(wanted, most)
+    model.threshold = max(least, wanted)
     return model
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, part: str, per_language: int) -> list[tuple]:
-    """At most ``per_language`` rows of each label, in a hash order of their ids, as bucket counts."""
+    """At most ``per_language`` rows of each of the ``LABELS`` most frequent labels, in a hash order of their ids, as bucket counts."""
     few = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.xxhash64(F.lit(part), F.col(id_col)).alias("o"))
+    # a bound on the hash order, from counts, leaves about four times the rows wanted of each label; the window sees no more
+    counts = few.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(LABELS)
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
+    few = few.join(F.broadcast(counts), "y").where(F.col("o").cast("double") <= F.lit(-9.223372036854775e18) + share * F.lit(1.8446744073709552e19))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("o", "i"))).where(F.col("r") <= per_language)
     ids = few.select(F.col("i").alias("__i"))
     texts = docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(ids["__i"]), "left_semi").select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
@@ -148,6 +162,9 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, part: s
                 # the whole text, and a few of its words, so that short texts are known too
                 for part in [t, " ".join(words[len(words) // 2 :][:8])]:
                     kinds, counts = np.unique(buckets(part), return_counts=True)
+                    if len(kinds) > KINDS:
+                        most = np.sort(np.argsort(-counts, kind="stable")[:KINDS])
+                        kinds, counts = kinds[most], counts[most]
                     if len(kinds):
                         out.append((y, kinds.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["y", "k", "c"])
@@ -171,7 +188,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     Null texts, texts without a letter, and all texts under a model that was fitted on no
     rows are ``und`` with score 0 and rejected. Other texts are rejected when their score is
-    below the calibrated threshold. Other columns are kept; no shuffle.
+    below the calibrated threshold. Other columns are kept; repeated rows have equal results;
+    texts may be of any length; no rows give no rows; no shuffle.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -187,6 +205,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return out.select(*[c for c in out.columns if c != "__p"], "__p.*")
 
 
+def risk(identified: DataFrame, label_col: str = "lang", thresholds: tuple[float, ...] = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
+    """``threshold, coverage, error``: of rows with a label, the share accepted at a threshold and the share of these that is wrong."""
+    rows = identified.where(F.col(label_col).isNotNull()).select("score", (F.col("lang_pred") != F.col(label_col)).alias("wrong"), F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
+    taken = F.col("score") >= F.col("threshold")
+    return rows.groupBy("threshold").agg(F.avg(taken.cast("double")).alias("coverage"), F.avg(F.when(taken, F.col("wrong").cast("double"))).alias("error"))
+
+
 def fold(id_col: str = "doc_id"):
     """The fold of a row: crc32 of its id's text, modulo 3. Fold 1 is never learnt from."""
     return F.crc32(F.col(id_col).cast("string")) % 3

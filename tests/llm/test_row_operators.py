@@ -245,6 +245,21 @@ def test_language_id_held_out_accuracy(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
     assert np.mean([r.rejected for r in rows]) < 0.02
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train_on(df)
+    # unfolded: the mean of embeddings' class scores, word by word of a plain loop
+    for r in df.orderBy("doc_id").limit(5).collect():
+        z = np.mean([model.table[b] for b in language_id.buckets(r.text)], axis=0) + model.bias
+        e = np.exp((z - z.max()) / model.temperature)
+        assert model.predict(r.text) == (model.labels[int(e.argmax())], pytest.approx(float(e.max() / e.sum())))
+    # what is in no language of the corpus is rejected, what is in one isn't
+    strange = ["мы шли домой по старой дороге и пели песни", "你好世界这是一个测试文本", "qx7 zzv kkw rrt pqj xxv " * 5, "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ" * 3]
+    asked = texts(spark, [(i, t, None, "") for i, t in enumerate(strange)])
+    assert all(r.rejected for r in language_id.identify(asked, model).collect())
+    held = language_id.identify(df.where(language_id.fold() == 1), model)
+    assert np.mean([r.rejected for r in held.collect()]) < 0.01
+    curve = {r.threshold: (r.coverage, r.error) for r in language_id.risk(held).collect()}
+    assert curve[0.0][0] == 1 and curve[0.99][0] <= curve[0.5][0] and curve[0.9][1] <= 0.01
 
 
 def test_language_id_odd_rows(spark):
@@ -253,7 +268,7 @@ def test_language_id_odd_rows(spark):
     rows = [(i, " ".join(rng.sample(lang[c].split(), 1) * 5), c, "") for i in range(60) for c in lang]
     df = texts(spark, rows)
     model = language_id.train(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"))
-    asked = texts(spark, [(1, None, None, ""), (2, "", "x", ""), (3, "12 34 !", "x", ""), (4, "baba bobo", None, ""), (4, "baba bobo", None, ""), (None, "tutu titi " * 50_000, "", "")])
+    asked = texts(spark, [(1, None, None, ""), (2, "", "x", ""), (3, "12 34 ! ² ½ ① Ⅳ", "x", ""), (4, "baba bobo", None, ""), (4, "baba bobo", None, ""), (None, "tutu titi " * 50_000, "", "")])
     got = language_id.identify(asked.withColumn("score", F.lit("clash")), model).collect()
     assert [r.lang_pred for r in sorted(got, key=lambda r: (r.doc_id or 9, r.text or ""))] == ["und", "und", "und", "aa", "aa", "zz"]
     assert all(r.score == 0 and r.rejected for r in got if r.lang_pred == "und")
