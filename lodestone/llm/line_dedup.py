@@ -195,7 +195,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     marks = aligned(docs, id_col, text_col, min_words)
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("spans.at").alias("__at"), F.col("spans.n").alias("__n"), F.col("spans.moved").alias("__m"))
     same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th"))
-    joined = docs.join(marks, same, "left")
+    # by one plan at every size: the marks grow with the corpus
+    joined = docs.join(marks.hint("merge"), same, "left")
 
     @F.pandas_udf("text string, lines long, words long, moved long")
     def cut(texts: pd.Series, at: pd.Series, n: pd.Series, moved: pd.Series) -> pd.DataFrame:
