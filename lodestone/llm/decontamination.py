@@ -1,10 +1,10 @@
 """Benchmark decontamination in SQL functions only.
 
-The test items' windows are hashed into a bit set of bounded size that travels with the
-plan. Documents are scanned once: every window of a document is hashed and tested, and of
-the few that pass, the words themselves are joined with the test windows, which verifies
-every hit. Neither words nor texts of documents are shuffled, only one row per document
-and one per passing window.
+The test items' normalised windows are a broadcast hash table; a bit set of their hashes, sized
+to their number, travels with the plan. Documents are scanned once: every window of a document
+is hashed and tested, and of the few that pass, the words themselves are looked up in the table,
+which verifies every hit. Neither words nor texts of documents are shuffled, only one row per
+document and one per window that hits.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let
+from lodestone.llm.common import written
 
 N = 10
 #: Up to so many distinct test windows are broadcast (about 25 MB); more are joined by shuffling.
 BROADCAST_WINDOWS = 200_000
-#: Bits per window, and the most words of 64 bits in the bit set (128 KB).
-BITS_EACH, MOST_WORDS = 64, 1 << 14
+#: Bits per window, and the most words of 64 bits in the bit set (1 MB: 8 bits for each of a million windows).
+BITS_EACH, MOST_WORDS = 64, 1 << 17
 #: Words of a text before A-Z are lowered; lowering them moves no edge of a word.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,13 +70,13 @@ def _bit_set(windows: DataFrame, count: int) -> tuple[Column, int]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """Per document: ``n_words``, ``hits`` (1-based places of hit words, ascending) and ``items``.
+    """Per row of ``docs``: ``n_words``, ``hits`` (1-based places of hit words, ascending) and ``items``.
 
-    Repeated rows of the same id and text give one row, rows of the same id (null too) and
-    different texts one each; ``text_hash`` tells these apart. Null texts have no words. An
-    empty benchmark hits nothing. Further columns are left out.
+    Repeated rows and rows of the same id (null too) give one row each; ``text_hash`` tells
+    texts apart. Null and empty texts have no words; texts may be of any length. An empty
+    benchmark hits nothing, an empty table gives no rows. Further columns are left out.
     """
-    windows = test_windows(benchmark, n=n).persist()
+    windows = written(test_windows(benchmark, n=n), "windows")
     sizes = windows.groupBy("len").count().collect()  # at most n rows
     count = sum(r["count"] for r in sizes)
     w_type = "array<struct<at:int,len:int,window:string>>"
@@ -102,14 +103,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         scanned = F.struct(F.size(words(F.col(text_col))).alias("n_words"), empty.alias("found"))
     # one row for the document itself, one for each window that passed
     own = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("window")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), scanned.alias("x"))
-    rows = rows.select("doc_id", "text_hash", F.col("x.n_words").alias("n_words"), F.inline(F.concat(own, "x.found")))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), scanned.alias("x"))
+    rows = rows.select("__row", "doc_id", "text_hash", F.col("x.n_words").alias("n_words"), F.inline(F.concat(own, "x.found")))
     tests = windows.select("window", "len", "items")
     if count <= BROADCAST_WINDOWS:
         tests = F.broadcast(tests)
     rows = rows.join(tests, ["window", "len"], "left").where((F.col("len") == 0) | F.col("items").isNotNull())
     hit = F.when(F.col("items").isNotNull(), F.struct("at", "len"))
-    per = rows.groupBy("doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(hit).alias("hit"), F.collect_set("items").alias("items"))
+    per = rows.groupBy("__row", "doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(hit).alias("hit"), F.collect_set("items").alias("items"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))))
     return per.select("doc_id", "text_hash", "n_words", places.alias("hits"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
 
@@ -118,9 +119,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, how: str = "documents"
     """The documents' own columns without contaminated documents, or without their hit words.
 
     ``how="documents"`` drops every row that has a hit; ``how="spans"`` keeps all rows and
-    cuts the hit words, with what lies between two of them, out of their texts.
+    cuts the hit words, with what lies between two of them, out of their texts. Null and
+    empty texts stay as they are; repeated rows are treated alike.
     """
-    marks = scan(docs, benchmark, id_col, text_col, n).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hits").alias("__hits"))
+    marks = scan(docs, benchmark, id_col, text_col, n).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__hash"])
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
     if how == "documents":
         return docs.join(marks, same, "left_anti")

@@ -223,6 +223,7 @@ def test_decontaminated_documents_and_spans(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "solo")], "item_id long, text string")
     rows = [(1, "Start A b c d e f, g h i j k end."), (1, "Start A b c d e f, g h i j k end."), (None, "x solo y"), (3, "clean text"), (4, None), (5, "")]
     df = docs(spark, rows)
+    assert sorted((r.doc_id, len(r.hits)) for r in decontamination.scan(df.where("doc_id is not null"), bench).collect()) == [(1, 11), (1, 11), (3, 0), (4, 0), (5, 0)]
     kept = decontamination.decontaminated(df, bench)
     assert kept.columns == df.columns and sorted(kept.toPandas().doc_id) == [3, 4, 5]
     spans = {(r.doc_id, r.text) for r in decontamination.decontaminated(df, bench, "spans").collect()}
