@@ -1,9 +1,11 @@
 """Quality rules on tokeniser fertility.
 
-Text that a public vocabulary cuts into unusually short pieces, that falls back to bytes,
-or whose tokens repeat too much or too little is unlike prose of its script. The fixed bands are
-parameters per script (or per language where a language column is given), wide enough for
-any natural text of that script; text without letters has a band of its own.
+Text that public vocabularies cut into unusually short or long pieces, that falls back to
+bytes, or whose tokens repeat too much or too little is unlike prose of its script. Two
+vocabularies measure characters per token: pieces with byte fallback, whose fallback and
+entropy count too, and a byte-level one of many languages. The fixed bands are parameters per
+script (or per language where a language column is given), wide enough for any natural text
+of that script; text without letters has a band of its own.
 
 Within them, bands are fitted to the corpus: per language (or script) and length, from the
 quartiles over all rows, since both measures depend on both. They are right as long as less
@@ -13,14 +15,16 @@ than a quarter of a language's texts of a length are junk of one kind.
 from __future__ import annotations
 
 import math
+import re
 from array import array
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WHITESPACE, small_batches
-from lodestone.llm.tokens import PieceCache
+from lodestone.llm.tokens import PieceCache, ranked
 
 #: script or language: least and most characters per token, most byte-fallback share, least and most token entropy in
 #: bits for texts of at least MIN_TOKENS tokens. Entropy is over the text's token ids. ``none`` is text without letters.
@@ -34,11 +38,13 @@ MIN_TOKENS = 32
 #: Fitted bands: interquartile ranges beyond the quartiles, least texts of a group, and per measure the
 #: histogram's step and the least interquartile range taken.
 SPREAD, MIN_TEXTS = 3, 30
-STEPS = {"chars_per_token": (0.005, 0.05), "token_entropy": (0.01, 0.1)}
+STEPS = {"chars_per_token": (0.005, 0.05), "chars_per_token_b": (0.005, 0.05), "token_entropy": (0.01, 0.1)}
+#: Rows of fitted bands up to which they are broadcast.
+BROADCAST_FITS = 50_000
 SYMBOLS = "#*$%&|<>"
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(8)], dtype=np.uint64)
 _CACHES: dict = {}
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, chars_per_token_b double, byte_share double, token_entropy double, script string"
 
 
 def script_of(text: str) -> str:
@@ -105,11 +111,20 @@ class _Fertility:
         return n, float(fallback / n), float(math.log2(n) - (c * np.log2(c)).sum() / n)
 
 
-def fertility(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
+def ranks_count(text: str, name: str, part: int = 25_000, space: int = 50_000) -> int:
+    """Tokens of a text in a rank file; texts with very long runs of white space, which the library can't hold, in parts."""
+    ranks = ranked(name)
+    if len(text) >= space and re.search(rf"\s{{{space}}}", text):
+        return sum(len(ranks.encode_ordinary(text[i : i + part])) for i in range(0, len(text), part))
+    return len(ranks.encode_ordinary(text))
+
+
+def fertility(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """Add the base counts and the fertility measures of each whole text in one pass.
 
     Null and empty texts have zeros and the script ``none``. Other columns are kept;
-    columns that already have one of the new names are replaced. No shuffle.
+    columns that already have one of the new names are replaced. Texts may be of any length;
+    repeated rows have equal results; no rows give no rows. No shuffle.
     """
     small_batches(docs.sparkSession)
 
@@ -122,8 +137,8 @@ def fertility(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_b
         rows = []
         for t in texts:
             t = t or ""
-            base, (n, share, bits) = base_counts(t), _CACHES[tokenizer].of(t)
-            rows.append((*base, n, len(t) / n if n else 0.0, share, bits, script_of(t)))
+            base, (n, share, bits), m = base_counts(t), _CACHES[tokenizer].of(t), ranks_count(t, ranks)
+            rows.append((*base, n, len(t) / n if n else 0.0, len(t) / m if m else 0.0, share, bits, script_of(t)))
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pd.DataFrame(rows, columns=names)
 
@@ -157,13 +172,13 @@ def fitted(measured: DataFrame, lang_col: str | None = None, min_words: int = 20
     def value(size: Column, measure: str) -> Column:
         return F.struct(size.alias("size"), F.lit(measure).alias("measure"), F.floor(F.col(measure) / STEPS[measure][0]).cast("int").alias("bucket"))
 
-    chars, size = "chars_per_token", F.col("size")
-    held = F.array(value(size, chars), value(F.lit(-1), chars), F.when(F.col("n_tokens") >= MIN_TOKENS, value(size, "token_entropy")))
+    size, chars = F.col("size"), [m for m in STEPS if m != "token_entropy"]
+    held = F.array(*[value(x, m) for m in chars for x in (size, F.lit(-1))], F.when(F.col("n_tokens") >= MIN_TOKENS, value(size, "token_entropy")))
     counts = rows.select("key", F.explode(held).alias("v")).where("v is not null").groupBy("key", "v.size", "v.measure", "v.bucket").agg(F.count("*").alias("n"))
     group = Window.partitionBy("key", "size", "measure")
     run = counts.withColumn("cum", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group)).where(F.col("total") >= MIN_TEXTS)
     first = [F.min(F.when(4 * F.col("cum") >= q * F.col("total"), F.col("bucket"))).alias(f"q{q}") for q in (1, 3)]
-    step, least = (F.when(F.col("measure") == chars, STEPS[chars][i]).otherwise(STEPS["token_entropy"][i]) for i in (0, 1))
+    step, least = (F.when(F.col("measure") == "token_entropy", STEPS["token_entropy"][i]).otherwise(STEPS["chars_per_token"][i]) for i in (0, 1))
     width = F.greatest((F.col("q3") + 1 - F.col("q1")) * step, least) * SPREAD
     return run.groupBy("key", "size", "measure").agg(*first).select("key", "size", "measure", (F.col("q1") * step - width).alias("low"), ((F.col("q3") + 1) * step + width).alias("high"))
 
@@ -176,7 +191,8 @@ def judged(measured: DataFrame, bands: dict[str, tuple] = BANDS, lang_col: str |
     tokens, entropy only from ``MIN_TOKENS`` tokens on. The first broken rule is the reason.
 
     ``fits`` are the bands of :func:`fitted`; a text has to be in those too. Of the bands of
-    characters per token at its length and at all lengths the wider ends count.
+    characters per token at its length and at all lengths the wider ends count. Both
+    vocabularies' characters per token have to be in their bands.
     """
     key = F.col("script") if lang_col is None else F.when(F.col(lang_col).isin(*bands) & (F.col("script") != "none"), F.col(lang_col)).otherwise(F.col("script"))
 
@@ -186,26 +202,31 @@ def judged(measured: DataFrame, bands: dict[str, tuple] = BANDS, lang_col: str |
             out = F.when(key == name, F.lit(float(band[i]))).otherwise(out)
         return out
 
-    lows, highs = [bound(0), bound(3)], [bound(1), bound(4)]
+    lows = {m: bound(3 if m == "token_entropy" else 0) for m in STEPS}
+    highs = {m: bound(4 if m == "token_entropy" else 1) for m in STEPS}
     rows = measured
     if fits is not None:
-        rows = _grouped(measured, lang_col)
-        for name, where in (("__c", "measure = 'chars_per_token' and size >= 0"), ("__e", "measure = 'token_entropy'"), ("__a", "measure = 'chars_per_token' and size < 0")):
-            own = fits.where(where).select(F.col("key").alias("__key"), F.col("size").alias("__size"), F.struct("low", "high").alias(name))
-            rows = rows.join(own.drop("__size") if name == "__a" else own, ["__key"] if name == "__a" else ["__key", "__size"], "left")
+        name = lambda measure, size: F.concat_ws(" ", measure, size.cast("string"))
+        own = fits.groupBy(F.col("key").alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct(name(F.col("measure"), F.col("size")), F.struct("low", "high")))).alias("__fit"))
+        if fits.limit(BROADCAST_FITS + 1).count() <= BROADCAST_FITS:
+            own = F.broadcast(own)
+        rows = _grouped(measured, lang_col).join(own, "__key", "left")
         # greatest and least leave out nulls, which are groups without a band
-        lows = [F.greatest(lows[0], F.least("__c.low", "__a.low")), F.greatest(lows[1], F.col("__e.low"))]
-        highs = [F.least(highs[0], F.greatest("__c.high", "__a.high")), F.least(highs[1], F.col("__e.high"))]
+        for m in STEPS:
+            at, all_ = F.col("__fit")[name(F.lit(m), F.col("__size"))], F.col("__fit")[name(F.lit(m), F.lit(-1))]
+            lows[m] = F.greatest(lows[m], F.least(at["low"], all_["low"]))
+            highs[m] = F.least(highs[m], F.greatest(at["high"], all_["high"]))
 
     n = F.col("n_tokens")
     base = _failed(min_words, repeat_percent)
+    any_ = lambda broken: (n > 0) & reduce(lambda a, b: a | b, [broken(m) for m in STEPS if m != "token_entropy"])
     reason = (
         F.when(base, "base")
-        .when((n > 0) & (F.col("chars_per_token") < lows[0]), "low_chars_per_token")
-        .when((n > 0) & (F.col("chars_per_token") > highs[0]), "high_chars_per_token")
+        .when(any_(lambda m: F.col(m) < lows[m]), "low_chars_per_token")
+        .when(any_(lambda m: F.col(m) > highs[m]), "high_chars_per_token")
         .when(F.col("byte_share") > bound(2), "byte_fallback")
-        .when((n >= MIN_TOKENS) & (F.col("token_entropy") < lows[1]), "low_entropy")
-        .when((n >= MIN_TOKENS) & (F.col("token_entropy") > highs[1]), "high_entropy")
+        .when((n >= MIN_TOKENS) & (F.col("token_entropy") < lows["token_entropy"]), "low_entropy")
+        .when((n >= MIN_TOKENS) & (F.col("token_entropy") > highs["token_entropy"]), "high_entropy")
     )
     out = rows.withColumn("base_failed", base).withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
     return out.select(*measured.columns, "base_failed", "reason", "kept")

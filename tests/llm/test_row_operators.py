@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from lodestone.llm import chat_format, language_id, packing, quality, registry, token_counts
-from lodestone.llm.tokens import ByteLevelIds, PieceCache, sentencepiece, tokenizer
+from lodestone.llm.tokens import ByteLevelIds, PieceCache, ranked, sentencepiece, tokenizer
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -227,6 +227,59 @@ def test_fitted_bands_find_what_is_unlike_its_language(spark):
     assert rows[2000].kept  # a language with too few texts has its script's band
 
 
+def brute_bands(rows):
+    """(key, size, measure) to (low, high), from sorted values of distinct rows that pass the base rules."""
+    groups = {}
+    for key, size, base, measures, failed in set(rows):
+        if not failed and key is not None and measures[3]:
+            for m, v in zip(("chars_per_token", "chars_per_token_b"), measures, strict=False):
+                groups.setdefault((key, size, m), []).append(v)
+                groups.setdefault((key, -1, m), []).append(v)
+            if measures[3] >= 32:
+                groups.setdefault((key, size, "token_entropy"), []).append(measures[2])
+    out = {}
+    for g, v in groups.items():
+        if len(v) >= 30:
+            step, least = (0.01, 0.1) if g[2] == "token_entropy" else (0.005, 0.05)
+            b = sorted(int(np.floor(x / step)) for x in v)
+            q1, q3 = b[-(-len(b) // 4) - 1] * step, (b[-(-3 * len(b) // 4) - 1] + 1) * step
+            width = 3 * max(q3 - q1, least)
+            out[g] = (q1 - width, q3 + width)
+    return out
+
+
+def test_quality_verdicts_are_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    lib, other = sentencepiece("piece_bpe_32k.model"), ranked("byte_bpe_multi_50k.tiktoken")
+    rows = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids, base = lib.encode(r.text), brute_base(r.text)
+        n, p = len(ids), np.unique(ids, return_counts=True)[1] / max(1, len(ids))
+        measures = (len(r.text) / n, len(r.text) / len(other.encode_ordinary(r.text)), round(float(-(p * np.log2(p)).sum()), 9), n)
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        rows[r.doc_id] = (r.lang if any(c.isalpha() for c in r.text) else None, n.bit_length() - 1, base[:2], measures, failed)
+    bands = brute_bands(list(rows.values()))
+    kept = {}
+    for d, (key, size, _, (c, b, e, n), failed) in rows.items():
+        def inside(m, v, low, high):
+            own = [bands[g] for s in (size, -1) if (g := (key, s, m)) in bands]
+            if own:
+                low, high = max(low, min(x[0] for x in own)), min(high, max(x[1] for x in own))
+            return low <= v <= high
+
+        fine = inside("chars_per_token", c, 1.4, 12) and inside("chars_per_token_b", b, 1.4, 12)
+        kept[d] = not failed and fine and (n < 32 or inside("token_entropy", e, 2.0, 11.5))
+    got = {r.doc_id: r.kept for r in registry.op8_quality_rules(spark, sf).collect()}
+    assert got.keys() == kept.keys() and [d for d in kept if kept[d] != got[d]] == []
+    assert len(bands) > 10 and 0.02 < np.mean([not k for d, k in kept.items() if not rows[d][4]]) < 0.3
+
+
+def test_quality_of_long_white_space(spark):
+    df = texts(spark, [(1, "word" + " " * 1_200_000 + "end", "en", "")])
+    r = quality.fertility(df).first()
+    assert r.n_words == 2 and r.chars_per_token_b > 1
+
+
 def test_quality_query_rejects_labelled_junk(spark):
     sf = "/root/testdata/sf0.01"
     good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
