@@ -6,11 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.joins import matched
+from lodestone.functions.lineage import cut
 
 
-def _ranked(df: DataFrame, strata: list[str], key: str, salt: str) -> DataFrame:
-    order = Window.partitionBy(*strata).orderBy(T.hash_order(F.col(key), salt), F.col(key))
-    return df.withColumn("__r", F.row_number().over(order))
+def ranked(df: DataFrame, strata: list[str], key: str, salt: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Add ``__r``, the rank of each row in its stratum's hash order, from 1; null is a stratum too.
+
+    Hashes are cut into 65,536 ranges; a row's rank is what its stratum has in the ranges before,
+    plus its rank within its own, so that no task ever ranks a whole stratum. With ``sizes`` (the
+    strata and ``__k``) only the first ``__k`` rows are kept, and ranges beyond aren't ranked at all.
+    """
+    h = T.hash_order(F.col(key), salt)
+    rows = df.withColumn("__b", F.shiftright(h, 16))
+    before = F.sum("__n").over(Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = rows.groupBy(*strata, "__b").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    if sizes is not None:
+        ranges = matched(ranges, sizes, strata).where("__before < __k")
+    joined = matched(rows, ranges.drop("__n"), [*strata, "__b"])
+    own = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy(h, F.col(key)))
+    out = joined.withColumn("__r", F.col("__before") + own)
+    return (out if sizes is None else out.where("__r <= __k").drop("__k")).drop("__b", "__before")
 
 
 def half_even(x: Column) -> Column:
@@ -18,13 +34,9 @@ def half_even(x: Column) -> Column:
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, fraction: float, salt: str = "") -> DataFrame:
-    """Of each stratum, its share rounded half to even.
-
-    Sizes come from one small aggregate, so that the window needs ranks only and keeps the
-    first rows of each stratum before the shuffle where the optimiser can.
-    """
+    """Of each stratum, its share rounded half to even."""
     sizes = df.groupBy(*strata).agg(half_even(F.count("*") * F.lit(fraction)).alias("__k"))
-    return _ranked(df, strata, key, salt).join(F.broadcast(sizes), strata).where("__r <= __k").drop("__r", "__k")
+    return ranked(df, strata, key, salt, sizes).drop("__r")
 
 
 def proportional_sample(df: DataFrame, strata: list[str], key: str, n: int, salt: str = "") -> DataFrame:
@@ -32,35 +44,25 @@ def proportional_sample(df: DataFrame, strata: list[str], key: str, n: int, salt
     sizes = df.groupBy(*strata).agg(F.count("*").alias("__n"))
     total = Window.partitionBy()
     sizes = sizes.withColumn("__k", F.least(F.col("__n"), half_even(F.lit(n) * F.col("__n") / F.sum("__n").over(total))))
-    return _ranked(df, strata, key, salt).join(F.broadcast(sizes.drop("__n")), strata).where("__r <= __k").drop("__r", "__k")
+    return ranked(df, strata, key, salt, sizes.drop("__n")).drop("__r")
 
 
 def balanced_types(df: DataFrame, groups: list[str], key: str, types: tuple[str, ...] = ("everyday", "search", "legal"), salt: str = "") -> DataFrame:
     """Add ``qtype``: types in turn along a hash order, so counts differ by one at most."""
-    ranked = _ranked(df, groups, key, salt)
-    return ranked.withColumn("qtype", F.element_at(F.array(*[F.lit(t) for t in types]), ((F.col("__r") - 1) % len(types) + 1).cast("int"))).drop("__r")
+    at = ((F.col("__r") - 1) % len(types) + 1).cast("int")
+    return ranked(df, groups, key, salt).withColumn("qtype", F.element_at(F.array(*[F.lit(t) for t in types]), at)).drop("__r")
 
 
 def stratified_pick(df: DataFrame, strata: list[str], key: str, n: int, salt: str = "") -> DataFrame:
     """The same number of each stratum: ``n`` divided by the count of strata, rounded down."""
-    count = df.select(*strata).distinct().agg(F.count("*").alias("__g"))
-    ranked = _ranked(df, strata, key, salt)
-    return ranked.crossJoin(F.broadcast(count)).where(F.col("__r") <= F.floor(F.lit(n) / F.col("__g"))).drop("__r", "__g")
+    found = df.groupBy(*strata).agg(F.count("*").alias("__n"))
+    sizes = found.withColumn("__k", F.floor(F.lit(n) / F.count("*").over(Window.partitionBy()))).drop("__n")
+    return ranked(df, strata, key, salt, sizes).drop("__r")
 
 
 def nested_fraction(df: DataFrame, key: str, fraction: float, salt: str = "") -> DataFrame:
-    """A share of the rows; that of a smaller fraction lies inside that of a larger.
-
-    The rows of least hash are taken. Their bound is found from counts of hash ranges, so no
-    task ever ranks the whole table: only rows that share the bound's range are ranked.
-    """
-    h = T.hash_order(F.col(key), salt)
-    ranges = df.groupBy(F.shiftright(h, 16).alias("__b")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__k", half_even(F.sum("__n").over(Window.partitionBy()) * F.lit(fraction)))
-    rows = df.withColumn("__b", F.shiftright(h, 16)).join(F.broadcast(ranges), "__b").where("__before < __k")
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(h, F.col(key))))
-    return rows.where("__before + __r <= __k").drop("__b", "__n", "__before", "__k", "__r")
+    """A share of the rows; that of a smaller fraction lies inside that of a larger: the rows of least hash."""
+    return stratified_sample(df, [], key, fraction, salt)
 
 
 def make_splits(docs: DataFrame, code: str = "code", key: str = "doc_id", group: str = "group", text: str = "text", seed: int = 42, held_out: float = 0.10, test: tuple[int, int] = (300, 220), dev: tuple[int, int] = (225, 75), min_chars: int = 150) -> DataFrame:
@@ -70,23 +72,25 @@ def make_splits(docs: DataFrame, code: str = "code", key: str = "doc_id", group:
     from seen and held-out documents of enough length, and dev from what test left. All
     long enough documents of other groups are test documents of unseen codes.
     """
-    inside = docs.where(F.col(group) == "in_domain").select(key, code, text)
-    held = stratified_sample(inside, [code], key, held_out, f"{seed}held").select(key)
-    train = inside.join(held, key, "left_anti")
-    long_enough = F.length(text) >= min_chars
-    pools = {"seen": train.where(long_enough), "unseen_articles": inside.join(held, key, "left_semi").where(long_enough)}
-    parts = []
-    for (name, pool), n_test, n_dev in zip(pools.items(), test, dev, strict=True):
-        chosen = proportional_sample(pool, [code], key, n_test, f"{seed}test")
-        later = proportional_sample(pool.join(chosen.select(key), key, "left_anti"), [code], key, n_dev, f"{seed}dev")
-        parts += [(chosen, "test", name), (later, "dev", name)]
-    parts.append((docs.where((F.col(group) != "in_domain") & long_enough), "test", "unseen_codes"))
+    # texts stay where they are: what is ranked and joined are keys
+    rows = cut(docs.select(key, code, group, (F.length(text) >= min_chars).alias("__long")))
+    inside = rows.where(F.col(group) == "in_domain")
+    sizes = inside.groupBy(code).agg(half_even(F.count("*") * F.lit(held_out)).alias("__k"))
+    inside = cut(matched(ranked(inside, [code], key, f"{seed}held"), sizes, [code]).withColumn("__held", F.col("__r") <= F.col("__k")).drop("__r", "__k"))
+    free = inside.where("__long").withColumn("slice", F.when(F.col("__held"), "unseen_articles").otherwise("seen"))
     items = None
-    for rows, split, name in parts:
-        one = rows.select(key, F.lit(split).alias("split"), F.lit(name).alias("slice"))
+    for split, (seen, unseen) in (("test", test), ("dev", dev)):
+        sizes = free.groupBy("slice", code).agg(F.count("*").alias("__n"))
+        wanted = F.when(F.col("slice") == "seen", F.lit(seen)).otherwise(F.lit(unseen)) * F.col("__n") / F.sum("__n").over(Window.partitionBy("slice"))
+        sizes = sizes.select("slice", code, F.least(F.col("__n"), half_even(wanted)).alias("__k"))
+        free = cut(matched(ranked(free, ["slice", code], key, f"{seed}{split}"), sizes, ["slice", code]).withColumn("__hit", F.col("__r") <= F.col("__k")).drop("__r", "__k"))
+        one = free.where("__hit").select(key, F.lit(split).alias("split"), "slice")
         items = one if items is None else items.unionByName(one)
+        free = free.where("not __hit").drop("__hit")
+    beyond = rows.where((F.col(group) != "in_domain") & F.col("__long"))
+    items = items.unionByName(beyond.select(key, F.lit("test").alias("split"), F.lit("unseen_codes").alias("slice")))
     items = balanced_types(items, ["split", "slice"], key, salt=f"{seed}type")
-    rest = held.select(key, F.lit("held_out").alias("split")).unionByName(train.select(key, F.lit("train").alias("split")))
+    rest = inside.select(key, F.when(F.col("__held"), "held_out").otherwise("train").alias("split"))
     return items.unionByName(rest, allowMissingColumns=True)
 
 

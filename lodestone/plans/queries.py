@@ -8,11 +8,13 @@ it is the query's own.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, pages, ranking, similarity, splits, training
+from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, pages, ranking, reports, resampling, similarity, splits, training
 from lodestone.sources import tables
 
 Q: dict = {}
@@ -296,7 +298,16 @@ def main_table(spark, sf):
 
 @query()
 def mean_ci(spark, sf):
-    return metrics.mean_ci(query_metrics(spark, sf), ["qtype"], "ndcg_10")
+    return resampling.mean_ci(query_metrics(spark, sf), ["qtype"], "ndcg_10")
+
+
+@query(f"""WITH {VEC}, {RUN_METRIC} SELECT qtype, count(*) AS n, {MEANS},
+{', '.join(f"round(avg({m}) FILTER (WHERE slice = '{s}'), 6) AS {m}_{s}" for s in ('s0', 's1') for m in ('ndcg_10', 'recall_10'))}, true AS inside FROM pq GROUP BY qtype""")
+def main_table_with_ci(spark, sf):
+    more = [f"{m}_{s}" for s in ("s0", "s1") for m in ("ndcg_10", "recall_10")]
+    rows = reports.main_table(query_metrics(spark, sf), ["qtype"], "slice", ["s0", "s1"])
+    inside = (F.col("ci_low") <= F.col("ndcg_10")) & (F.col("ndcg_10") <= F.col("ci_high"))
+    return rounded(rows.withColumn("inside", inside).drop("ci_low", "ci_high"), *metrics.METRICS, *more)
 
 
 def _both(spark, sf):
@@ -306,12 +317,28 @@ def _both(spark, sf):
 
 @query()
 def paired_bootstrap(spark, sf):
-    return metrics.compare(*_both(spark, sf))
+    return resampling.compared(*_both(spark, sf))
 
 
 @query()
 def compare_by_group(spark, sf):
-    return metrics.compare(*_both(spark, sf), by="slice")
+    return resampling.compared(*_both(spark, sf), by="slice")
+
+
+def _half_sql():
+    one = METRIC.format(by="", run="h1", cross="", using="").replace("h1 r JOIN", "(SELECT * FROM h1 WHERE rank <= 30) r JOIN")
+    two = one.replace("h1", "h2")
+    for name in ("good", "ideal", "hit", "pq"):
+        two = re.sub(rf"\b{name}\b", f"{name}2", two)
+    return f"WITH {VEC}, {HALVES}, {one}, {two}"
+
+
+@query(_half_sql() + """, j AS (SELECT pq.slice, pq.ndcg_10 AS a, pq2.ndcg_10 AS b FROM pq JOIN pq2 ON pq.qid = pq2.qid), g AS (SELECT 'all' AS "group", a, b FROM j UNION ALL SELECT 'slice=' || slice, a, b FROM j)
+SELECT "group", count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS delta, true AS inside FROM g GROUP BY 1""")
+def compare_means(spark, sf):
+    inside = (F.col("ci_low") <= F.col("delta")) & (F.col("delta") <= F.col("ci_high")) & F.col("p_value").between(0, 1)
+    rows = resampling.compared(*_both(spark, sf), by="slice").withColumn("inside", inside)
+    return rounded(rows.select("group", "n", "mean_a", "mean_b", "delta", "inside"), "mean_a", "mean_b", "delta")
 
 
 @query("""SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM events GROUP BY event_type""")
@@ -520,12 +547,34 @@ def _splits(spark, sf):
     return splits.make_splits(d)
 
 
-@query()
+_RANK = "row_number() OVER (PARTITION BY code ORDER BY " + ORDER + ", doc_id)"
+_SHARE = "r <= least(n, round_even({} * n / t, 0))"
+_POOL = "SELECT doc_id, code, {rank} AS r, count(*) OVER (PARTITION BY code) AS n, count(*) OVER () AS t FROM {pool}"
+
+
+def _picked_sql(name, pool, test, dev):
+    return f"""{name}_t AS (SELECT doc_id FROM ({_POOL.format(rank=_RANK.format('42test'), pool=pool)}) WHERE {_SHARE.format(test)}),
+{name}_rest AS (SELECT * FROM {pool} WHERE doc_id NOT IN (SELECT doc_id FROM {name}_t)),
+{name}_d AS (SELECT doc_id FROM ({_POOL.format(rank=_RANK.format('42dev'), pool=f'{name}_rest')}) WHERE {_SHARE.format(dev)})"""
+
+
+SPLITS = f"""WITH d AS (SELECT doc_id, lang AS code, lang = 'es' AS ood, length(text) >= 150 AS long FROM documents),
+i AS (SELECT *, {_RANK.format('42held')} AS r, count(*) OVER (PARTITION BY code) AS n FROM d WHERE NOT ood),
+seen AS (SELECT doc_id, code FROM i WHERE r > round_even(n * 0.1, 0) AND long), unseen AS (SELECT doc_id, code FROM i WHERE r <= round_even(n * 0.1, 0) AND long),
+{_picked_sql('seen', 'seen', 300, 225)}, {_picked_sql('unseen', 'unseen', 220, 75)},
+items AS (SELECT doc_id, 'test' AS split, 'seen' AS slice FROM seen_t UNION ALL SELECT doc_id, 'dev', 'seen' FROM seen_d
+UNION ALL SELECT doc_id, 'test', 'unseen_articles' FROM unseen_t UNION ALL SELECT doc_id, 'dev', 'unseen_articles' FROM unseen_d
+UNION ALL SELECT doc_id, 'test', 'unseen_codes' FROM d WHERE ood AND long),
+made AS (SELECT *, ['everyday', 'search', 'legal'][(row_number() OVER (PARTITION BY split, slice ORDER BY {ORDER.format('42type')}, doc_id) - 1) % 3 + 1] AS qtype FROM items
+UNION ALL SELECT doc_id, CASE WHEN r <= round_even(n * 0.1, 0) THEN 'held_out' ELSE 'train' END, NULL, NULL FROM i)"""
+
+
+@query(SPLITS + " SELECT doc_id, split, slice, qtype FROM made")
 def make_splits(spark, sf):
     return _splits(spark, sf)
 
 
-@query()
+@query(SPLITS + " SELECT split, slice, count(*) AS n FROM made GROUP BY ALL")
 def splits_stats(spark, sf):
     return splits.split_stats(_splits(spark, sf))
 

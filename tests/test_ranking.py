@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from lodestone.operators import bm25, golden, metrics, mining, ranking, similarity, training
+from lodestone.operators import bm25, golden, metrics, mining, ranking, reports, resampling, similarity, training
 from pyspark.sql import functions as F
 
 UNITS = [(0, 10, [1.0, 0.0]), (1, 10, [0.6, 0.8]), (2, 20, [0.0, 1.0])]
@@ -109,28 +109,61 @@ def test_summary_facets(spark):
     assert got == {"all": (0.5, 3), "slice=a": (0.5, 2), "slice=b": (0.5, 1), "qtype=x": (1.0, 1), "qtype=y": (0.0, 1), None: (0.5, 1)}
 
 
-def test_bootstrap():
-    same = metrics.paired_bootstrap(np.ones(4), np.ones(4), n=200)
-    assert same["delta"] == 0 and same["p_value"] == 1.0
+def test_shards_give_whole_resamples():
+    sizes = [3, 500, 97]
+    parts = [resampling.shard_sums(np.ones(n), sizes, k, 300, 7) for k, n in enumerate(sizes)]
+    assert (sum(parts) == 600).all()  # every resample has as many draws as there are values
+    rng = np.random.default_rng(1)
+    values = [rng.random(n) + k for k, n in enumerate(sizes)]
+    means = sum(resampling.shard_sums(v, sizes, k, 4000, 7) for k, v in enumerate(values)) / 600
+    whole = np.concatenate(values)
+    assert abs(means.mean() - whole.mean()) < 4 * whole.std() / 600**0.5 / 4000**0.5
+    assert means.std() == pytest.approx(whole.std() / 600**0.5, rel=0.05)
+
+
+@pytest.mark.parametrize("shard", [1 << 16, 40])
+def test_bootstrap(spark, monkeypatch, shard):
+    monkeypatch.setattr(resampling, "SHARD", shard)
+    monkeypatch.setattr(resampling, "DRAWS", 1000)
     rng = np.random.default_rng(1)
     b = rng.random(300)
-    far = metrics.paired_bootstrap(b + 0.2, b, n=500)
-    assert far["p_value"] == pytest.approx(2 / 501) and far["ci_low"] <= 0.2 <= far["ci_high"] + 1e-12
-    assert metrics.paired_bootstrap(b, b[::-1], n=500) == metrics.paired_bootstrap(b, b[::-1], n=500)
-    with pytest.raises(ValueError):
-        metrics.paired_bootstrap(b, b[:2])
-    # one draw of indices, whatever the blocks
-    x = rng.random(100)
-    want = x[np.random.default_rng(0).integers(0, 100, size=(50, 100))].mean(axis=1)
-    assert np.allclose(metrics.resampled(x, 50, 0), want)
-
-
-def test_compare_needs_equal_queries(spark):
-    a = spark.createDataFrame([(1, 0.5, "s"), (2, 1.0, "t")], "qid long, ndcg_10 double, slice string")
-    got = {r.group: r.n_queries for r in metrics.compare(a, a, by="slice", n=50).collect()}
-    assert got == {"all": 2, "slice=s": 1, "slice=t": 1}
-    with pytest.raises(ValueError):
-        metrics.compare(a, a.where("qid = 1"))
+    df = lambda x: spark.createDataFrame([(i, float(v), "st"[i % 2] if i else None) for i, v in enumerate(x)], "qid long, ndcg_10 double, slice string")
+    same = resampling.compared(df(b), df(b), resamples=200).first()
+    assert (same.n, same.delta, same.p_value, same.ci_low, same.ci_high) == (300, 0, 1, 0, 0)
+    far = resampling.compared(df(b + 0.2), df(b), resamples=500).first()
+    assert far.p_value == pytest.approx(2 / 501) and far.ci_low <= 0.2 + 1e-12 and 0.2 <= far.ci_high + 1e-12
+    rows = {r.group: r for r in resampling.compared(df(b), df(b[::-1]), by="slice", resamples=2000).collect()}
+    assert set(rows) == {"all", "slice=s", "slice=t"} and rows["all"].n == 300 and rows["slice=t"].n == 150
+    diff = b - b[::-1]
+    half = 1.96 * diff.std() / 300**0.5
+    assert rows["all"].ci_high - rows["all"].ci_low == pytest.approx(2 * half, rel=0.15)
+    assert resampling.compared(df(b), df(b[::-1]), resamples=300).collect() == resampling.compared(df(b).repartition(7), df(b[::-1]), resamples=300).collect()
+    ci = {r.slice: r for r in resampling.mean_ci(df(b), ["slice"], "ndcg_10", resamples=500).collect()}
+    assert ci[None].n == 1 and ci[None].ci_low == ci[None].ci_high == b[0] and ci["s"].ci_low < ci["s"]["mean"] < ci["s"].ci_high
+    for other in (df(b[:2]), df([]), df(b).union(df(b))):
+        with pytest.raises(ValueError):
+            resampling.compared(df(b), other)
+
+
+def test_report_tables(spark):
+    means = spark.createDataFrame([("base", "all", 0.5, 9), ("tuned", "all", 0.7, 9), ("ref", "all", 0.8, 9), ("base", "slice=x", 0.4, 3)], "name string, facet string, ndcg_10 double, n long")
+    assert [tuple(r) for r in reports.before_after(means, "name", "facet", {"base": "base", "tuned": "tuned", "ref": "ref"}).collect()] == [("all", 9, 0.5, 0.7, 0.8)]
+    assert sorted((r.name, round(r.delta, 6)) for r in reports.ablation(means.where("facet = 'all'"), "name", "facet", "tuned").collect()) == [("base", -0.2), ("ref", 0.1)]
+    speed = spark.createDataFrame([("base", "cpu", 1.0), ("none", "cpu", 2.0)], "name string, device string, ms double")
+    table = spark.createDataFrame([("base", 0.5), ("null", None)], "name string, ndcg_10 double")
+    assert [(r.name, r.ms, r.ndcg_10) for r in reports.looked_up(speed, table, "name", "ndcg_10").collect()] == [("base", 1.0, 0.5)]
+    runs = spark.createDataFrame([("full", 100), ("half", 50)], "name string, train_questions long")
+    scores = spark.createDataFrame([(n, s, v) for n, a, b in (("base", 0.1, 0.2), ("half", 0.3, 0.4), ("full", 0.5, 0.6)) for s, v in (("dev", a), ("test", b))], "name string, set string, ndcg_10 double")
+    curve = reports.learning_curve(runs, scores, "base", {"dev_score": "dev", "test_score": "test"}).collect()
+    assert [tuple(r) for r in curve] == [("base", 0, 0.1, 0.2), ("half", 50, 0.3, 0.4), ("full", 100, 0.5, 0.6)]
+    steps = spark.createDataFrame([(r, s, v) for r in ("a", "b_s43") for s, v in ((0, 0.1), (10, 0.4), (20, 0.4))], "run string, step long, ndcg_10 double")
+    config = spark.createDataFrame(
+        [("a", None, "x/small", ["llm", "titles"], None, [], 0, 0.0, 8, 90.0), ("b_s43", "E1", "small", [], "train_llm_teacher", ["v1", "v2"], 10, 0.5, 8, 60.0)],
+        "run string, experiment string, base_model string, sources array<string>, train_file string, versions array<string>, filter_rank int, format_aug double, steps_per_epoch long, seconds double",
+    )
+    got = {r.run: tuple(r)[1:] for r in reports.train_runs(steps, config).collect()}
+    assert got["a"] == ("", "small", "llm+titles", 0.1, 0.4, 10, 1.25, 1.5)
+    assert got["b_s43"] == ("E3", "small", "llm + teacher (v1,v2), noise filter top-10, format aug 0.5", 0.1, 0.4, 10, 1.25, 1.0)
 
 
 def test_small_statistics(spark):
