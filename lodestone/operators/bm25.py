@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.lineage import cut
 from lodestone.operators.similarity import ranked
 
 
@@ -33,7 +34,7 @@ def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5,
     w = T.words("text", token)
     q = queries.select("qid", F.explode(stems(w) if stems else w).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     used = q.select("term").distinct()
-    terms = terms.join(used, "term", "left_semi")
+    terms = cut(terms.join(used, "term", "left_semi"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.lineage import cut
 
 
 def question_type(key: Column, types: tuple[str, ...] = ("everyday", "search", "legal")) -> Column:
@@ -27,15 +28,16 @@ def copied_from_own(question: Column, source: Column, n: int = 6, token: str = T
 def copy_semi(docs: DataFrame, sources: DataFrame, text_col: str = "text", source_col: str = "text", n: int = 6, token: str = T.TOKEN, how: str = "left_semi") -> DataFrame:
     """Rows that do (``left_semi``) or don't (``left_anti``) share an n-gram with any source.
 
-    Both sides are exploded to n-grams; only rows' keys and hashes are joined, and the
-    n-grams of the sources are made distinct first.
+    Rows' n-grams are looked up as 64-bit hashes, beside the row's number; the n-grams of the
+    few that are found are compared as texts. The sources' n-grams are made distinct first.
     """
-    key = "__row"
-    ids = docs.withColumn(key, F.xxhash64(*docs.columns))
-    grams = ids.select(key, F.explode(T.ngrams(T.words(text_col, token), n)).alias("g"))
-    other = sources.select(F.explode(T.ngrams(T.words(source_col, token), n)).alias("g")).distinct()
-    hit = grams.join(other, "g", "left_semi").select(key).distinct()
-    return ids.join(hit, key, how).drop(key)
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    grams = T.ngrams(T.words(text_col, token), n)
+    other = cut(sources.select(F.explode(T.ngrams(T.words(source_col, token), n)).alias("g")).distinct().withColumn("h", F.xxhash64("g")))
+    seen = rows.select("__row", F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("h"))
+    maybe = seen.join(other.select("h").distinct(), "h", "left_semi").select("__row").distinct()
+    sure = rows.join(maybe, "__row", "left_semi").select("__row", F.explode(grams).alias("g")).join(other, "g", "left_semi").select("__row").distinct()
+    return rows.join(sure, "__row", how).drop("__row")
 
 
 def exact_duplicates(df: DataFrame, order: str, text_col: str = "text", token: str = T.TOKEN) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import similarity
+
 TOP_K, MARGIN = 50, 0.95
 
 
@@ -49,6 +51,15 @@ def mining_counters(negatives: DataFrame) -> DataFrame:
     )
 
 
+def title_pairs_mined(pairs: DataFrame, bodies: DataFrame, k: int = TOP_K, margin: float = MARGIN, skip_self: bool = False) -> DataFrame:
+    """Negatives for title queries: candidates are units' texts without headers, as the positives are.
+
+    ``pairs``: qid, doc_id (the title's own), embedding, pos_score; ``bodies``: unit_id, doc_id, embedding.
+    """
+    run = similarity.maxp(pairs, bodies, k, per="unit", skip_self=skip_self).join(pairs.select("qid", F.col("doc_id").alias("gold")), "qid")
+    return hard_negatives(run, pairs.select("qid", F.col("pos_score").alias("score")), margin, k)
+
+
 def with_negative_text(rows: DataFrame, negatives: DataFrame, units: DataFrame, title: Column) -> DataFrame:
     """Join negatives' texts; rows for which ``title`` holds take the body without its header."""
     u = units.select(F.col("unit_id").alias("neg_unit_id"), F.col("text").alias("__t"), F.col("body").alias("__b"))
@@ -62,6 +73,31 @@ def gold_rank(docs: DataFrame) -> DataFrame:
     return docs.join(gold, "qid").groupBy("qid").agg((F.count(F.when(F.col("score") > F.col("__g"), 1)) + 1).alias("gold_rank"))
 
 
+def gold_ranks(golds: DataFrame, better: DataFrame) -> DataFrame:
+    """The same from the documents that beat the gold one (``similarity.beating``): ``golds`` has the qids."""
+    n = better.groupBy("qid").agg(F.count("*").alias("__n"))
+    return golds.select("qid").join(n, "qid", "left").select("qid", (F.coalesce("__n", F.lit(0)) + 1).alias("gold_rank"))
+
+
+def label_means(lists: DataFrame, labels: str = "labels") -> DataFrame:
+    """Mean label of the positives, and mean over rows of the mean label of their candidates."""
+    rest = F.slice(labels, F.lit(2), F.size(labels))
+    mean = F.when(F.size(rest) > 0, F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) / F.size(rest))
+    return lists.agg(F.count("*").alias("rows"), F.avg(F.get(labels, F.lit(0))).alias("labels_mean"), F.avg(mean).alias("cands_mean"))
+
+
+def two_views(lists: DataFrame, other: DataFrame) -> DataFrame:
+    """Lists of :func:`listwise` with the same documents' units and labels in a second view, in the same order.
+
+    ``lists`` has ``gold`` and ``cand_doc_ids``; ``other``: qid, doc_id, unit_id, score. A
+    document that the second view lacks has null there.
+    """
+    order = lists.select("qid", F.posexplode(F.concat(F.array("gold"), "cand_doc_ids")).alias("p", "doc_id"))
+    found = order.join(other.select("qid", "doc_id", "unit_id", "score"), ["qid", "doc_id"], "left")
+    own = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("p", "unit_id", "score"))).alias("x"))
+    return lists.join(own, "qid").withColumns({"unit_ids_b": F.col("x.unit_id"), "labels_b": F.col("x.score")}).drop("x")
+
+
 def rank_report(ranks: DataFrame, bounds: tuple[int, ...] = (1, 5, 10, 20, 50, 100)) -> DataFrame:
     return ranks.agg(F.count("*").alias("rows"), *[F.avg((F.col("gold_rank") <= k).cast("double")).alias(f"le_{k}") for k in bounds])
 
@@ -71,11 +107,12 @@ def listwise(docs: DataFrame, n: int = 7) -> DataFrame:
     others = docs.where("doc_id <> gold")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     top = others.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "unit_id", "score"))).alias("x"))
-    pos = docs.where("doc_id = gold").select("qid", F.col("unit_id").alias("pos_unit_id"), F.col("score").alias("__p"))
+    lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "unit_id", "score", "doc_id"))).alias("x"))
+    pos = docs.where("doc_id = gold").select("qid", "gold", F.col("unit_id").alias("pos_unit_id"), F.col("score").alias("__p"))
     return pos.join(lists, "qid", "left").select(
         "qid", "pos_unit_id", F.coalesce(F.col("x.unit_id"), F.array().cast("array<bigint>")).alias("cand_unit_ids"),
         F.concat(F.array("__p"), F.coalesce(F.col("x.score"), F.array().cast("array<double>"))).alias("labels"),
+        "gold", F.coalesce(F.col("x.doc_id"), F.array().cast("array<bigint>")).alias("cand_doc_ids"),
     )
 
 

@@ -24,18 +24,27 @@ def vectors(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def _blocks(queries: DataFrame, qid: str, emb: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors, at most BROADCAST_BYTES at a time, streamed through the driver."""
-    ids, rows, held = [], [], 0
-    for r in queries.select(qid, emb).toLocalIterator():
-        ids.append(r[0])
-        rows.append(np.asarray(r[1], np.float64))
-        held += rows[-1].nbytes
+def _blocks(queries: DataFrame, qid: str, emb: str, *more: str) -> Iterator[tuple]:
+    """Query ids, vectors and further columns, at most BROADCAST_BYTES at a time, streamed through the driver."""
+    cols: list[list] = [[] for _ in range(2 + len(more))]
+    held = 0
+
+    def block() -> tuple:
+        out = (np.array(cols[0]), np.stack(cols[1]), *map(np.array, cols[2:]))
+        for c in cols:
+            c.clear()
+        return out
+
+    for r in queries.select(qid, emb, *more).toLocalIterator():
+        for c, v in zip(cols, r, strict=True):
+            c.append(v)
+        cols[1][-1] = np.asarray(r[1], np.float64)
+        held += cols[1][-1].nbytes
         if held >= BROADCAST_BYTES:
-            yield np.array(ids), np.stack(rows)
-            ids, rows, held = [], [], 0
-    if ids:
-        yield np.array(ids), np.stack(rows)
+            yield block()
+            held = 0
+    if cols[0]:
+        yield block()
 
 
 def maxp(queries: DataFrame, units: DataFrame, k: int = 100, qid: str = "qid", unit: str = "unit_id", doc: str = "doc_id", emb: str = "embedding", skip_self: bool = False, per: str = "doc") -> DataFrame:
@@ -96,38 +105,107 @@ def with_empty_docs(run: DataFrame, queries: DataFrame, docs: DataFrame, k: int)
     return ranked(run.select("qid", "doc_id", "score").unionByName(fill), k)
 
 
-def _paired_blocks(left: DataFrame, right: DataFrame, n: int, m: int, same: bool, test, schema: str) -> DataFrame:
-    """Every pair of a left and a right block goes to one task; nothing but what ``test`` returns comes out."""
-    a = left.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(0))
-    b = right.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(1))
-    cols = ["i", "j", "side", "id", "ord", "embedding"]
-    return a.select(*cols).unionByName(b.select(*cols)).groupBy("i", "j").applyInPandas(test, schema)
+def beating(queries: DataFrame, units: DataFrame, qid: str = "qid", gold: str = "gold", score: str = "score", doc: str = "doc_id", emb: str = "embedding", skip_self: str | None = None) -> DataFrame:
+    """``qid, doc_id`` for each document other than the query's own with a unit that scores higher than the query's ``score``.
+
+    ``queries`` has the query's own document (``gold``) and the score to beat; only what beats it comes out.
+    """
+    spark = units.sparkSession
+    cols = units.select(F.col(doc).cast("long").alias("doc_id"), F.col(emb).alias("embedding"), F.col(skip_self or doc).cast("long").alias("unit"))
+    out = None
+    for ids, q, own, least in _blocks(queries, qid, emb, gold, score):
+        held = spark.sparkContext.broadcast((ids, q, own, least.astype(float)))
+
+        def better(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, q, own, least = held.value
+            for b in batches:
+                if not len(b):
+                    continue
+                d, u = b["doc_id"].to_numpy(), b["unit"].to_numpy()
+                hit = (q @ vectors(b["embedding"]).T > least[:, None]) & (d[None, :] != own[:, None])
+                if skip_self:
+                    hit &= u[None, :] != ids[:, None]
+                i, j = np.nonzero(hit)
+                yield pd.DataFrame({"qid": ids[i], "doc_id": d[j]}).drop_duplicates()
+
+        part = cols.mapInPandas(better, "qid long, doc_id long")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "qid long, doc_id long") if out is None else out.distinct()
+
+
+def encoded(df: DataFrame, model, text: str = "text", prompt: str = "", out: str = "embedding", batch: int = 64) -> DataFrame:
+    """Add unit vectors of texts from a pluggable encoder; null texts are empty ones.
+
+    ``model()`` is called once per task and gives a callable from a list of texts to an array
+    of vectors. Texts get the prompt before them and go in batches of similar length, the
+    longest first; vectors that are all zero stay so.
+    """
+
+    @F.pandas_udf("array<float>")
+    def vectors_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = model()
+        for texts in parts:
+            said = [prompt + (t or "") for t in texts]
+            order = sorted(range(len(said)), key=lambda i: -len(said[i]))
+            rows: list = [None] * len(said)
+            for at in range(0, len(order), batch):
+                own = order[at : at + batch]
+                v = np.asarray(encode([said[i] for i in own]), np.float64)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                for i, x in zip(own, v / np.where(norm > 0, norm, 1), strict=True):
+                    rows[i] = x.astype(np.float32)
+            yield pd.Series(rows, index=texts.index)
+
+    return df.withColumn(out, vectors_of(F.col(text)))
 
 
 def near_dup_within(df: DataFrame, threshold: float, key: str = "vec_id", order: str = "vec_id", emb: str = "embedding") -> DataFrame:
-    """All rows with ``is_dup``: some row earlier in the order has a cosine of at least the threshold."""
-    return _flagged(df, df, threshold, key, order, emb, earlier=True)
+    """All rows with ``is_dup``: some row earlier in the order has a cosine of at least the threshold.
 
+    Rows are dealt into blocks by hash and every pair of blocks meets once, in one task.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(order).cast("long").alias("ord"), F.col(emb).alias("embedding"))
+    n = max(1, -(-df.count() // BLOCK))
+    own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
-def near_dup_against(df: DataFrame, refs: DataFrame, threshold: float, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
-    """All rows with ``is_dup``: some reference row has a cosine of at least the threshold."""
-    return _flagged(df, refs, threshold, key, key, emb, earlier=False)
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        a, b = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": pd.Series([], dtype="int64")})
+        like = vectors(a["embedding"]) @ vectors(b["embedding"]).T >= threshold
+        first = a["ord"].to_numpy()[:, None] < b["ord"].to_numpy()[None, :]
+        later = a["ord"].to_numpy()[:, None] > b["ord"].to_numpy()[None, :]
+        hit = [b["id"].to_numpy()[(like & first).any(0)], a["id"].to_numpy()[(like & later).any(1)]]
+        return pd.DataFrame({"id": np.concatenate(hit)})
+
+    pairs = own.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "ord", "embedding")
+    return _marked(df, pairs.groupBy("i", "j").applyInPandas(test, "id long"), key)
 
 
-def _flagged(df: DataFrame, refs: DataFrame, threshold: float, key: str, order: str, emb: str, earlier: bool) -> DataFrame:
-    side = lambda x: x.select(F.col(key).cast("long").alias("id"), F.col(order).cast("long").alias("ord"), F.col(emb).alias("embedding"))
+def near_dup_against(df: DataFrame, refs: DataFrame, threshold: float, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
+    """All rows with ``is_dup``: some reference row has a cosine of at least the threshold.
+
+    Every block of rows meets every block of references in one task.
+    """
+    side = lambda x: x.select(F.col(key).cast("long").alias("id"), F.col(emb).alias("embedding"))
     n, m = (max(1, -(-x.count() // BLOCK)) for x in (df, refs))
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = side(df).select(block(n).alias("i"), every(m).alias("j"), F.lit(0).alias("side"), "id", "embedding")
+    b = side(refs).select(every(n).alias("i"), block(m).alias("j"), F.lit(1).alias("side"), "id", "embedding")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(a) or not len(b):
+        own, ref = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(own) or not len(ref):
             return pd.DataFrame({"id": pd.Series([], dtype="int64")})
-        hit = vectors(a["embedding"]) @ vectors(b["embedding"]).T >= threshold
-        if earlier:
-            hit &= b["ord"].to_numpy()[None, :] < a["ord"].to_numpy()[:, None]
-        return pd.DataFrame({"id": a["id"].to_numpy()[hit.any(1)]})
+        return pd.DataFrame({"id": own["id"].to_numpy()[(vectors(own["embedding"]) @ vectors(ref["embedding"]).T >= threshold).any(1)]})
+
+    return _marked(df, a.unionByName(b).groupBy("i", "j").applyInPandas(test, "id long"), key)
+
 
-    flagged = _paired_blocks(side(df), side(refs), n, m, earlier, test, "id long").distinct().select(F.col("id").alias(key), F.lit(True).alias("is_dup"))
+def _marked(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    flagged = found.distinct().select(F.col("id").alias(key), F.lit(True).alias("is_dup"))
     return df.join(flagged, key, "left").withColumn("is_dup", F.coalesce("is_dup", F.lit(False)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +98,27 @@ def make_splits(docs: DataFrame, code: str = "code", key: str = "doc_id", group:
 
 def split_stats(splits: DataFrame) -> DataFrame:
     return splits.groupBy("split", "slice").agg(F.count("*").alias("n"))
+
+
+def leaks(splits_: DataFrame, docs: DataFrame, text: Column, code: str = "code", group: str = "group", key: str = "doc_id") -> DataFrame:
+    """Counts of what must not happen between splits: ``check`` and ``n``, 0 where all is well.
+
+    Training rows of held-out documents or of other groups; documents of both dev and test;
+    slices that don't fit their document; evaluation documents whose normalised text (``text``)
+    a training document has, too.
+    """
+    d = docs.select(key, F.col(group).alias("__g"), text.alias("__t"))
+    rows = splits_.join(d, key)
+    of = lambda *names: rows.where(F.col("split").isin(*names))
+    held = of("held_out").select(key)
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+    place = F.when(F.col("__g") != "in_domain", "unseen_codes").when(F.col("__h").isNotNull(), "unseen_articles").otherwise("seen")
+    evals = of("dev", "test").join(held.withColumn("__h", F.lit(1)), key, "left")
+    checks = [
+        count("train_held_out", of("train").join(held, key, "left_semi")),
+        count("train_other_group", of("train").where(F.col("__g") != "in_domain")),
+        count("dev_and_test", of("dev").select(key).join(of("test"), key, "left_semi")),
+        count("slice_differs", evals.where(F.col("slice") != place)),
+        count("text_in_train", of("dev", "test").join(of("train").select("__t").distinct(), "__t", "left_semi")),
+    ]
+    return reduce(DataFrame.unionByName, checks)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.lineage import cut
+from lodestone.operators.splits import ranked
 
 
 def kept_rows(df: DataFrame, versions: list[str] | None = None, rank: int | None = None, version_col: str = "prompt_version", rank_col: str = "teacher_gold_rank") -> DataFrame:
@@ -19,22 +21,26 @@ def kept_rows(df: DataFrame, versions: list[str] | None = None, rank: int | None
 def filled_negatives(rows: DataFrame, units: DataFrame, key: str = "qid", doc: str = "doc_id", neg: str = "neg_unit_id", salt: str = "fill") -> DataFrame:
     """Rows without a negative get a unit of another document, picked by hash.
 
-    Units have places 0..n-1 in id order within hash ranges; a row starts at the place its
-    hash names and takes the next unit of another document after it, around the end.
+    Units have places in their hash order. A row starts at the place that its own hash names and
+    takes the first unit of another document from there on, among the places that share their
+    upper bits; if there is none, the first unit of another document of all. Without such a unit
+    the row stays without.
     """
-    n = units.agg(F.max("place").alias("n")).select((F.col("n") + 1).alias("__n"))
-    # the first unit at or after a place whose document differs: the unit itself, or the first of the next run
-    order = Window.partitionBy("__chunk").orderBy("place")
-    runs = units.withColumn("__chunk", F.shiftright("place", 16)).withColumn("__prev", F.lag(doc).over(order))
-    runs = runs.withColumn("__start", F.col("__prev").isNull() | (F.col("__prev") != F.col(doc)))
-    after = Window.partitionBy("__chunk").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
-    nxt = runs.withColumn("__next", F.first(F.when(F.col("__start"), F.struct(F.col("unit_id").alias("u"), F.col(doc).alias("d"))), ignorenulls=True).over(after))
-    firsts = units.groupBy(doc).agg(F.min("place").alias("p"), F.min_by("unit_id", "place").alias("u")).orderBy("p").limit(2)
-    firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("p", F.col("u").alias("u"), F.col(doc).alias("d")))).alias("__firsts"))
+    placed = cut(ranked(units.select("unit_id", doc), [], "unit_id", salt).withColumn("place", F.col("__r") - 1).drop("__r"))
+    n = placed.agg(F.count("*").alias("__n"))
+    after = Window.partitionBy(F.shiftright("place", 16)).orderBy("place")
+    # where the next unit of yet another document stands: the first of the next run of one document
+    runs = placed.withColumn("__start", F.coalesce(F.lag(doc).over(after) != F.col(doc), F.lit(False)))
+    back = Window.partitionBy(F.shiftright("place", 16)).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.last(F.when(F.col("__start"), F.col("unit_id")), ignorenulls=True).over(back)
+    nxt = runs.select("place", F.col("unit_id").alias("__u"), F.col(doc).alias("__d"), first.alias("__next"))
+    # of two documents' first units one is of another document
+    firsts = placed.groupBy(doc).agg(F.min(F.struct("place", "unit_id")).alias("p")).orderBy("p").limit(2)
+    firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("p", F.col(doc).alias("d")))).alias("__firsts"))
     lost = rows.where(F.col(neg).isNull()).crossJoin(F.broadcast(n)).withColumn("place", T.hash_order(F.col(key), salt) % F.col("__n"))
-    got = lost.join(nxt.select("place", F.col("unit_id").alias("__u"), F.col(doc).alias("__d"), "__next"), "place", "left").crossJoin(F.broadcast(firsts))
-    other = F.filter("__firsts", lambda x: x["d"] != F.col(doc))
-    pick = F.when(F.col("__d") != F.col(doc), F.col("__u")).when(F.col("__next.d") != F.col(doc), F.col("__next.u")).otherwise(F.get(other, F.lit(0))["u"])
+    got = lost.join(nxt, "place", "left").crossJoin(F.broadcast(firsts))
+    other = F.get(F.filter("__firsts", lambda x: x["d"] != F.col(doc)), F.lit(0))["p"]["unit_id"]
+    pick = F.when(F.col("__d") != F.col(doc), F.col("__u")).otherwise(F.coalesce("__next", other))
     return rows.where(F.col(neg).isNotNull()).unionByName(got.withColumn(neg, pick).select(*rows.columns))
 
 

@@ -79,12 +79,21 @@ def golds(spark, sf):
     return query_set(spark, sf).select("qid", "gold")
 
 
-def gold_docs(spark, sf, k=1 << 30):
-    return doc_run(spark, sf, k).join(F.broadcast(golds(spark, sf)), "qid")
+def gold_docs(spark, sf, k=8):
+    """Of each query the ``k`` best documents, and its own with its score."""
+    run = doc_run(spark, sf, k).join(golds(spark, sf), "qid").where("doc_id <> gold")
+    own = positives(spark, sf).select("qid", "doc_id", "unit_id", "score", F.col("doc_id").alias("gold"))
+    return run.select("qid", "doc_id", "unit_id", "score", "gold").unionByName(own)
+
+
+def gold_ranks(spark, sf):
+    """Ranks of the queries' own documents, from the documents that beat them."""
+    q = query_set(spark, sf).join(positives(spark, sf).select("qid", "score"), "qid")
+    return mining.gold_ranks(q, similarity.beating(q, units(spark, sf), skip_self="unit_id"))
 
 
 def unit_run(spark, sf, k=50):
-    return similarity.maxp(query_set(spark, sf), units(spark, sf), k, skip_self=True, per="unit").join(F.broadcast(golds(spark, sf)), "qid")
+    return similarity.maxp(query_set(spark, sf), units(spark, sf), k, skip_self=True, per="unit").join(golds(spark, sf), "qid")
 
 
 def positives(spark, sf):
@@ -258,7 +267,7 @@ def mining_counters(spark, sf):
 
 @query(f"WITH {VEC} SELECT qid, count(*) FILTER (WHERE score > g) + 1 AS gold_rank FROM m JOIN (SELECT qid, score AS g FROM m WHERE doc_id = gold) USING (qid) GROUP BY qid")
 def teacher_gold_rank(spark, sf):
-    return mining.gold_rank(gold_docs(spark, sf))
+    return gold_ranks(spark, sf)
 
 
 @query(f"""WITH {VEC}, r AS (SELECT qid, count(*) FILTER (WHERE score > g) + 1 AS k FROM m JOIN (SELECT qid, score AS g FROM m WHERE doc_id = gold) USING (qid) GROUP BY qid)
@@ -282,6 +291,48 @@ def teacher_negative(spark, sf):
     return mining.teacher_negatives(unit_run(spark, sf), gold_docs(spark, sf))
 
 
+@query(f"""WITH {VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM m WHERE doc_id <> gold),
+t AS (SELECT qid, avg(score) AS c FROM o WHERE r <= 7 GROUP BY qid) SELECT count(*) AS rows, round(avg(m.score), 6) AS labels_mean, round(avg(c), 6) AS cands_mean FROM m JOIN t ON t.qid = m.qid WHERE doc_id = gold""")
+def teacher_label_means(spark, sf):
+    return rounded(mining.label_means(mining.listwise(gold_docs(spark, sf))), "labels_mean", "cands_mean")
+
+
+@query(f"""WITH {VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM m WHERE doc_id <> gold),
+l AS (SELECT qid, doc_id, r FROM o WHERE r <= 7 UNION ALL SELECT qid, gold, 0 FROM m WHERE doc_id = gold),
+b AS (SELECT qid, u.doc_id, arg_max(unit_id, (list_dot_product(q.e[1:32], u.e[1:32]), -unit_id)) AS unit_id, max(list_dot_product(q.e[1:32], u.e[1:32])) AS score FROM q, u WHERE qid <> unit_id GROUP BY 1, 2)
+SELECT qid, string_agg(unit_id::VARCHAR, ',' ORDER BY r) AS units_b, round(sum(score), 5) AS label_sum_b FROM l JOIN b USING (qid, doc_id) GROUP BY qid""")
+def listwise_two_views(spark, sf):
+    lists = mining.listwise(gold_docs(spark, sf))
+    part = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
+    # the second view's scores of the listed documents only
+    asked = lists.select("qid", F.explode(F.concat(F.array("gold"), "cand_doc_ids")).alias("doc_id")).join(part(query_set(spark, sf)).select("qid", "embedding"), "qid")
+    view = similarity.best_own_unit(asked, part(units(spark, sf)), skip_self=True)
+    both = mining.two_views(lists, view)
+    total = F.aggregate("labels_b", F.lit(0.0), lambda x, y: x + y)
+    return both.select("qid", F.array_join(F.col("unit_ids_b").cast("array<string>"), ",").alias("units_b"), F.round(total, 5).alias("label_sum_b"))
+
+
+@query(PICK.replace("embedding::DOUBLE[] AS e", "list_concat(embedding[1:63], [0])::DOUBLE[] AS e") + " SELECT * FROM neg")
+def title_negatives(spark, sf):
+    body = F.concat(F.slice("embedding", 1, 63), F.array(F.lit(0.0).cast("float")))
+    bodies = units(spark, sf).withColumn("embedding", body)
+    q = query_set(spark, sf).withColumn("embedding", body).withColumnRenamed("gold", "doc_id")
+    pos = similarity.best_own_unit(q, bodies, skip_self=True).select("qid", F.col("score").alias("pos_score"))
+    return mining.title_pairs_mined(q.join(pos, "qid"), bodies, skip_self=True)
+
+
+@query("""WITH d AS (SELECT doc_id, text, [length(text) - length(replace(text, c, '')) for c in ['a', 'e', 'i', 'n']] AS v FROM documents),
+n AS (SELECT doc_id, v, sqrt(list_sum([x * x for x in v])) AS l FROM d)
+SELECT doc_id, [round(CASE WHEN l > 0 THEN x / l ELSE 0 END, 4) for x in v]::VARCHAR AS vector FROM n""")
+def encoded_texts(spark, sf):
+    def model():
+        return lambda texts: [[t.count(c) for c in "aein"] for t in texts]
+
+    rows = similarity.encoded(read(spark, sf, "documents").select("doc_id", "text"), model)
+    shown = F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string"))
+    return rows.select("doc_id", F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]")).alias("vector"))
+
+
 # ---------------------------------------------------------------- reports
 
 @query(f"""WITH {VEC}, {RUN_METRIC} SELECT slice, {', '.join(f"round(avg(ndcg_10) FILTER (WHERE qtype = 't{i}'), 6) AS t{i}" for i in (0, 2))} FROM pq GROUP BY slice""")
@@ -460,6 +511,18 @@ def bm25_topk(spark, sf):
     return rounded(scored, "score")
 
 
+STEMS = "[substr(w, 1, 4) for w in " + TOKS + "]"
+
+
+@query(BM25.replace(TOKS.format("text"), STEMS.format("text")).split(",\nr AS (")[0] + """, g AS (SELECT qid, doc_id // 3 AS doc_id, max(score) AS score FROM s GROUP BY 1, 2),
+r AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM g) SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def bm25_stemmed_maxp(spark, sf):
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    docs = read(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 3).alias("owner"))
+    stems = lambda w: F.transform(w, lambda x: F.substring(x, 1, 4))
+    return rounded(bm25.search(q, docs, 10, unit="doc_id", doc="owner", token=TOKEN, stems=stems), "score")
+
+
 @query(f"""WITH q AS (SELECT item_id AS doc_id, list_distinct({TOKS.format('text')}) AS w FROM benchmark),
 d AS (SELECT doc_id, lang, list_distinct({TOKS.format('text')}) AS w FROM documents),
 o AS (SELECT lang, len(list_intersect(q.w, d.w)) / len(q.w) AS o, len(q.w) AS n FROM q JOIN d USING (doc_id) WHERE len(q.w) > 0)
@@ -579,6 +642,20 @@ def splits_stats(spark, sf):
     return splits.split_stats(_splits(spark, sf))
 
 
+_LEAK = SPLITS + f""", t AS (SELECT doc_id, md5({NORM.format('text')}) AS t, lang = 'es' AS ood FROM documents), r AS (SELECT * FROM made JOIN t USING (doc_id)),
+h AS (SELECT doc_id FROM made WHERE split = 'held_out'), tr AS (SELECT * FROM r WHERE split = 'train'), ev AS (SELECT * FROM r WHERE split IN ('dev', 'test'))
+SELECT 'train_held_out' AS "check", count(*) AS n FROM tr WHERE doc_id IN (SELECT doc_id FROM h) UNION ALL SELECT 'train_other_group', count(*) FROM tr WHERE ood
+UNION ALL SELECT 'dev_and_test', count(*) FROM ev WHERE split = 'dev' AND doc_id IN (SELECT doc_id FROM ev WHERE split = 'test')
+UNION ALL SELECT 'slice_differs', count(*) FROM ev WHERE slice <> CASE WHEN ood THEN 'unseen_codes' WHEN doc_id IN (SELECT doc_id FROM h) THEN 'unseen_articles' ELSE 'seen' END
+UNION ALL SELECT 'text_in_train', count(*) FROM ev WHERE t IN (SELECT t FROM tr)"""
+
+
+@query(_LEAK)
+def split_leaks(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "text", F.when(F.col("lang") == "es", "ood").otherwise("in_domain").alias("group"))
+    return splits.leaks(_splits(spark, sf), d, F.md5(T.normalized("text", TOKEN)))
+
+
 # ---------------------------------------------------------------- pages
 
 @query()
@@ -670,11 +747,13 @@ def distill_wide(spark, sf):
     return x.select("qid", "cand_0", "cand_1", "cand_2", F.round(F.get("label", F.lit(0)), 4).alias("label_0"))
 
 
-@query()
+@query(f"""WITH u AS (SELECT vec_id AS unit_id, vec_id % 40 AS doc_id, row_number() OVER (ORDER BY {ORDER.format('fill').replace('doc_id', 'vec_id')}, vec_id) - 1 AS place FROM embeddings),
+r AS (SELECT vec_id AS qid, vec_id % 40 AS doc_id, CASE WHEN vec_id % 3 > 0 THEN vec_id + 1 END AS neg, {ORDER.format('fill').replace('doc_id', 'vec_id')} % (SELECT count(*) FROM embeddings) AS place FROM embeddings),
+c AS (SELECT r.qid, min_by(u.unit_id, u.place) AS pick FROM r JOIN u ON u.place >= r.place AND u.doc_id <> r.doc_id WHERE neg IS NULL GROUP BY r.qid)
+SELECT r.qid, r.doc_id, coalesce(neg, pick, (SELECT min_by(unit_id, place) FROM u WHERE u.doc_id <> r.doc_id)) AS neg_unit_id FROM r LEFT JOIN c USING (qid)""")
 def fill_missing_negatives(spark, sf):
     rows = units(spark, sf).select(F.col("unit_id").alias("qid"), "doc_id", F.when(F.col("unit_id") % 3 > 0, F.col("unit_id") + 1).alias("neg_unit_id"))
-    held = units(spark, sf).select("unit_id", "doc_id", F.col("unit_id").alias("place"))
-    return training.filled_negatives(rows, held)
+    return training.filled_negatives(rows, units(spark, sf))
 
 
 @query()
@@ -691,7 +770,9 @@ def mteb_export_views(spark, sf):
     return tables.export_qrels(rows)
 
 
-@query("SELECT lang, md5('corpus' || chr(0) || string_agg(md5(coalesce(text, '')), chr(0) ORDER BY doc_id)) AS cache_key, count(*) AS n FROM documents GROUP BY lang")
+@query("""WITH h AS (SELECT lang, md5(doc_id::VARCHAR || chr(0) || coalesce(text, '')) AS h FROM documents),
+p AS (SELECT lang, substr(h, 1, 3) AS r, md5(string_agg(h, '' ORDER BY h)) AS p, count(*) AS n FROM h GROUP BY 1, 2)
+SELECT lang, md5('corpus' || chr(0) || string_agg(p, '' ORDER BY r)) AS cache_key, sum(n)::BIGINT AS n FROM p GROUP BY lang""")
 def content_cache_key(spark, sf):
     return tables.content_key(read(spark, sf, "documents"), "corpus", "doc_id", "text", ["lang"])
 

@@ -113,11 +113,18 @@ def query_sets(spark: SparkSession, folder: str, names: list[str], schema: str)
     return out
 
 
-def content_key(df: DataFrame, identity: str, order: str, text: str, by: list[str] | None = None) -> DataFrame:
-    """A key of ordered texts: texts are hashed in their rows, then the hashes in order."""
-    hashes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("h"))))
-    joined = F.concat(F.lit(identity), F.lit("\0"), F.array_join(F.transform(hashes, lambda x: x["h"]), "\0"))
-    return df.groupBy(*(by or [])).agg(F.md5(joined).alias("cache_key"), F.count("*").alias("n"))
+def content_key(df: DataFrame, identity: str, key: str, text: str, by: list[str] | None = None) -> DataFrame:
+    """A key of the texts of each group, which changes when any of them does: ``cache_key`` and ``n``.
+
+    Rows are hashed (key and text), rows of one hash range are hashed together in order of
+    their hashes, and the ranges' hashes make the key: no task holds more than a range. There
+    are 4096 ranges, by the first three hexadecimal digits of a row's hash.
+    """
+    row = F.md5(F.concat(F.col(key).cast("string"), F.lit("\0"), F.coalesce(F.col(text), F.lit(""))))
+    rows = df.select(*(by or []), row.alias("h"))
+    parts = rows.groupBy(*(by or []), F.substring("h", 1, 3).alias("r")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("p"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "p"))), lambda x: x["p"]), "")
+    return parts.groupBy(*(by or [])).agg(F.md5(F.concat(F.lit(identity), F.lit("\0"), whole)).alias("cache_key"), F.sum("n").alias("n"))
 
 
 def export_queries(rows: DataFrame) -> DataFrame:
@@ -132,14 +139,21 @@ def export_qrels(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("qid").alias("query-id"), "split", F.explode(rel).alias("corpus-id", "score")).select("query-id", "corpus-id", F.col("score").cast("long").alias("score"), "split")
 
 
+def export_train(first: DataFrame, titles: DataFrame, both: DataFrame | None = None) -> DataFrame:
+    """Training rows of an export: those of both generation passes if there are any, else of the first; and the title pairs."""
+    return (first if both is None else both).unionByName(titles, allowMissingColumns=True).withColumn("split", F.lit("train"))
+
+
 def export_benchmark(docs: DataFrame, chunks: DataFrame, queries: DataFrame, path: str) -> DataFrame:
-    """Write corpus, chunks, queries and qrels; the counts of queries and qrels per split come back."""
+    """Write corpus, chunks, queries, qrels and the counts per split; the counts come back."""
     write_jsonl(docs.select(F.col("doc_id").alias("_id"), "title", "text", "code"), f"{path}/corpus")
     write_jsonl(chunks.select(F.col("chunk_id").alias("_id"), "doc_id", "text"), f"{path}/chunks")
     q, r = export_queries(queries), export_qrels(queries)
     for df, name in ((q, "queries"), (r, "qrels")):
         df.write.mode("overwrite").partitionBy("split").json(f"{path}/{name}")
-    return export_counts(q, r)
+    counts = export_counts(q, r)
+    write_jsonl(counts, f"{path}/stats")
+    return counts
 
 
 def export_counts(queries: DataFrame, qrels: DataFrame) -> DataFrame:

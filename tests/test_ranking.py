@@ -62,6 +62,22 @@ def run_of(spark, rows):
     return spark.createDataFrame([(1, d, r + 1) for r, d in enumerate(rows)], "qid long, doc_id string, rank long")
 
 
+def test_beating_and_encoding(spark):
+    units_ = spark.createDataFrame([(0, 1, [1.0, 0.0]), (1, 2, [0.9, 0.1]), (2, 2, [0.95, 0.0]), (3, 3, [0.0, 1.0])], "unit_id long, doc_id long, embedding array<float>")
+    q = spark.createDataFrame([(0, 3, 0.5, [1.0, 0.0]), (9, 1, 1.0, [1.0, 0.0])], "qid long, gold long, score double, embedding array<float>")
+    assert sorted(tuple(r) for r in similarity.beating(q, units_).collect()) == [(0, 1), (0, 2)]
+    assert sorted(tuple(r) for r in similarity.beating(q, units_, skip_self="unit_id").collect()) == [(0, 2)]
+    assert similarity.beating(q.limit(0), units_).count() == 0
+
+    def model():
+        return lambda texts: [[len(t), 0.0 if t == "p:" else 1.0] for t in texts]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["abc", "", None, "x" * 99])], "i long, text string").coalesce(1)
+    got = {r.i: r.embedding for r in similarity.encoded(df, model, prompt="p:", batch=2).collect()}
+    assert np.allclose(got[0], np.array([5, 1]) / 26**0.5) and np.allclose(got[1], [1, 0]) and got[1] == got[2] and np.allclose(got[3], np.array([101, 1]) / (101**2 + 1) ** 0.5)
+    assert similarity.encoded(df.limit(0), model).count() == 0
+
+
 def test_rrf(spark):
     a, b = run_of(spark, "ab"), run_of(spark, "bc")
     got = [(r.doc_id, r.score) for r in ranking.rrf([a, b]).orderBy("rank").collect()]
@@ -200,6 +216,14 @@ def test_teacher_operators(spark):
     assert mining.gold_rank(docs).first().gold_rank == 2
     r = mining.listwise(docs, 2).first()
     assert (r.pos_unit_id, r.cand_unit_ids, r.labels) == (5, [6, 7], [0.8, 0.9, 0.8])
+    golds = spark.createDataFrame([(1, 10), (2, 20)], "qid long, gold long")
+    assert {r.qid: r.gold_rank for r in mining.gold_ranks(golds, spark.createDataFrame([(1, 20), (1, 30)], "qid long, doc_id long")).collect()} == {1: 3, 2: 1}
+    lists = mining.listwise(docs, 2)
+    means = mining.label_means(lists).first()
+    assert (means.rows, means.labels_mean, round(means.cands_mean, 6)) == (1, 0.8, 0.85)
+    other = spark.createDataFrame([(1, 20, 60, 0.3), (1, 10, 50, 0.2), (1, 40, 80, 0.9)], "qid long, doc_id long, unit_id long, score double")
+    r = mining.two_views(lists, other).first()
+    assert (r.unit_ids_b, r.labels_b) == ([50, 60, None], [0.2, 0.3, None])
     only_own = candidate_rows(spark, [(5, 10, 0.8)])
     r = mining.teacher_negatives(only_own, docs).first()
     assert (r.neg_unit_id, r.rule) == (6, "best_other_document")
@@ -218,10 +242,12 @@ def test_batches_have_no_conflicts():
 
 def test_training_rows(spark):
     rows = spark.createDataFrame([(i, i % 3, None if i % 2 else 99) for i in range(20)], "qid long, doc_id long, neg_unit_id long")
-    pool = spark.createDataFrame([(100 + i, 0 if i < 6 else i % 3, i) for i in range(9)], "unit_id long, doc_id long, place long")
+    pool = spark.createDataFrame([(100 + 7 * i, 0 if i < 6 else i % 3) for i in range(9)], "unit_id long, doc_id long")
     owner = {r.unit_id: r.doc_id for r in pool.collect()}
     got = training.filled_negatives(rows, pool).collect()
     assert len(got) == 20 and all(r.neg_unit_id == 99 or owner[r.neg_unit_id] != r.doc_id for r in got)
+    alone = training.filled_negatives(rows, pool.where("doc_id = 0")).where("doc_id = 0 and qid % 2 = 1").collect()
+    assert alone and all(r.neg_unit_id is None for r in alone)  # there is no unit of another document
     batches = training.conflict_free(rows.withColumn("k", training.row_keys(F.col("doc_id").cast("string"))), "k", 3, shards=2).collect()
     assert sorted(r.qid for r in batches) == list(range(20))
     steps = spark.createDataFrame([(1, 0.5), (1, 0.7), (2, 0.6), (3, 0.9)], "step long, ndcg_10 double")
