@@ -6,14 +6,17 @@ picklable factory. What isn't done yet is found by an anti-join on the log of an
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.chunking import parts_of
+from lodestone.sources.tables import remaining
 
 
 def train_tasks(docs: DataFrame, most: int = 4000) -> DataFrame:
@@ -57,32 +60,65 @@ def prompt(template: str, **values: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def answered(tasks: DataFrame, model: Callable[[], Callable[[str, str, int], str]], system: str, user: Column, name: str, version: str = "v1", tries: int = 3) -> DataFrame:
-    """Ask the model for each task; ``raw`` is null where every try failed.
+#: What may pass by itself: a connection that breaks, a body that is cut off or malformed.
+TRANSIENT = (OSError, KeyError, IndexError, ValueError)
 
-    ``output`` stays to be parsed (``filters.parsed_output``), so a bad answer is a row too.
+
+def answered(tasks: DataFrame, model: Callable[[], Callable[[str, str, int], str]], system: str, user: Column, name: str, version: str = "v1", tries: int = 3, wait: float = 2.0, workers: int = 4, transient: tuple = TRANSIENT) -> DataFrame:
+    """Ask the model for each task: ``raw``, ``error`` and ``seconds`` are added.
+
+    A task asks ``workers`` questions at a time. After a transient error it waits, longer each
+    time, and asks again; where every try failed ``raw`` is null and ``error`` says why. Other
+    errors end the job. ``output`` stays to be parsed (``filters.parsed_output``), so a bad
+    answer is a row too.
     """
     rows = tasks.withColumn("__user", user).withColumn("__seed", T.stable_seed(F.col("key")))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()
-        for b in batches:
-            raw = []
-            for text, seed in zip(b["__user"], b["__seed"], strict=True):
-                for n in range(tries):
-                    try:
-                        raw.append(call(system, text, int(seed)))
-                        break
-                    except Exception:
-                        if n == tries - 1:
-                            raw.append(None)
-            yield b.drop(columns=["__user", "__seed"]).assign(raw=raw)
+
+        def one(text: str, seed: int) -> tuple[str | None, str | None, float]:
+            began, error = time.monotonic(), None
+            for n in range(tries):
+                try:
+                    return call(system, text, seed), None, time.monotonic() - began
+                except transient as e:
+                    error = f"{type(e).__name__}: {e}"
+                    if n < tries - 1:
+                        time.sleep(wait * (n + 1))
+            return None, error, time.monotonic() - began
+
+        with ThreadPoolExecutor(workers) as pool:
+            for b in batches:
+                got = list(pool.map(one, b["__user"], map(int, b["__seed"])))
+                raw, error, seconds = zip(*got, strict=True) if got else ((), (), ())
+                yield b.drop(columns=["__user", "__seed"]).assign(raw=list(raw), error=list(error), seconds=list(seconds))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema)
-    out = rows.mapInPandas(ask, f"{fields}, raw string")
+    out = rows.mapInPandas(ask, f"{fields}, raw string, error string, seconds double")
     return out.withColumn("model", F.lit(name)).withColumn("prompt_version", F.lit(version))
 
 
+def run_tasks(tasks: DataFrame, path: str, ask: Callable[[DataFrame], DataFrame], slices: int = 20, key: str = "key") -> DataFrame:
+    """Answer what the log at ``path`` doesn't have yet and append it, slice by slice; the log comes back.
+
+    What a slice has answered stays when a later one fails, and the next run goes on from there.
+    Failed answers (``raw`` null) aren't logged, so that they are asked again.
+    """
+    spark = tasks.sparkSession
+    for i in range(slices):
+        own = tasks.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
+        if _exists(spark, path):
+            own = remaining(own, spark.read.parquet(path), key)
+        ask(own).where(F.col("raw").isNotNull()).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def verdicts(answers: DataFrame, raw: str = "raw") -> DataFrame:
     """``answerable`` of a judge's answers: yes, no, or invalid for all else."""
     said = F.lower(F.get_json_object(F.col(raw), "$.answerable"))

@@ -56,3 +56,16 @@ def report(rows: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum(F.when(judged, extra)), F.lit(0)) / n, 4).alias("mean_extra_relevant"),
         F.round(F.coalesce(F.sum(F.when(kept, F.size("qrels"))), F.lit(0)) / F.greatest(F.count(F.when(kept, 1)), F.lit(1)), 4).alias("mean_relevant_per_query"),
     )
+
+
+def listed(items: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Every question with whether it is annotated: ``qid``, its other columns but for the candidates, ``done``."""
+    done = annotations.select("qid").distinct().withColumn("done", F.lit(True))
+    rows = items.drop("candidates", "gold").join(done, "qid", "left")
+    return rows.withColumn("done", F.coalesce("done", F.lit(False)))
+
+
+def item(items: DataFrame, annotations: DataFrame, qid) -> DataFrame:
+    """One question with its candidates and its latest annotation (null if there is none)."""
+    own = annotations.where(F.col("qid") == qid).select("qid", F.struct(*[c for c in annotations.columns if c != "qid"]).alias("annotation"))
+    return items.where(F.col("qid") == qid).join(own, "qid", "left")

@@ -167,6 +167,23 @@ def single_articles(pages: DataFrame, html: str = "html", href: str = "url", roo
     return out.withColumn("status", status(F.col("title"), F.col("text")))
 
 
+def articles_of(pages: DataFrame, laws: DataFrame, code: str = "code", html: str = "html", href: str = "url", root: str = "main-center-block") -> DataFrame:
+    """Articles of pages by the layout of their law: ``full`` pages hold a whole law, others an article each.
+
+    ``laws``: code, layout and whatever else goes with every article (group, name, edition,
+    download date). A full page without the root is an error that names the page.
+    """
+    rows = pages.join(laws.select(code, "layout"), code)
+    full = rows.where("layout = 'full'").select(code, href, page_parts(F.col(html), root).alias("__x"))
+    blocks = F.when(F.col("__x.blocks").isNull(), F.raise_error(F.concat(F.lit(f"no {root} on page "), F.col(href)))).otherwise(F.col("__x.blocks"))
+    cut = sections(full.select(F.struct(code, href).alias("page"), F.inline(blocks)))
+    whole = cut.select(F.col(f"page.{code}").alias(code), F.col(f"page.{href}").alias(href), *[c for c in cut.columns if c not in ("page", "seq")])
+    single = single_articles(rows.where("layout <> 'full'").select(code, href, html), html, href)
+    found = whole.unionByName(single.select(*whole.columns))
+    key = F.concat_ws("-", code, "number")
+    return union_of([found.withColumn("doc_id", key)], laws, code)
+
+
 def edition(h1: Column) -> Column:
     """All editions named in a heading, or the whole heading; empty without one."""
     found = F.regexp_extract_all(h1, F.lit(f"(?U){EDITION}"), F.lit(1))
@@ -193,7 +210,7 @@ def union_of(parts: list[DataFrame], laws: DataFrame, code: str = "code") -> Dat
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.join(F.broadcast(laws), code, "left")
+    return out.join(laws, code, "left")
 
 
 def status_counts(df: DataFrame, code: str = "code") -> DataFrame:

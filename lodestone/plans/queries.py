@@ -681,6 +681,21 @@ def url_slug(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.slug("url").alias("slug"), T.page_file_name("url").alias("file"))
 
 
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS edition FROM pages""")
+def page_editions(spark, sf):
+    p = read(spark, sf, "pages").select("page_id", pages.page_parts(F.col("html"), None).alias("x"))
+    return p.select("page_id", pages.edition(F.col("x.h1")).alias("edition"))
+
+
+@query("""SELECT lang AS code, upper(lang) AS name, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' ELSE 'active' END AS status, count(*) AS n FROM documents GROUP BY ALL""")
+def status_by_law(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("code"), F.col("source").alias("title"), "text")
+    laws = d.select("code", F.upper("code").alias("name")).distinct()
+    both = pages.union_of([d.where("code < 'e'"), d.where("code >= 'e'")], laws)
+    rows = pages.assert_unique(both, "doc_id").withColumn("status", pages.status(F.col("title"), F.col("text")))
+    return pages.status_counts(rows.withColumn("code", F.concat_ws("|", "code", "name"))).select(F.substring_index("code", "|", 1).alias("code"), F.substring_index("code", "|", -1).alias("name"), "status", "n")
+
+
 # ---------------------------------------------------------------- logs, golden sets, training rows, exports
 
 LATEST = "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS text_md5 FROM conversations GROUP BY conv_id"
@@ -763,6 +778,113 @@ def conflict_free_batches(spark, sf):
     return training.conflict_free(rows, "keys", 16)
 
 
+@query(f"""SELECT doc_id AS key FROM documents ORDER BY {ORDER.format('7')}, doc_id LIMIT 50""")
+def sampled_tasks(spark, sf):
+    return generation.limited(read(spark, sf, "documents").select(F.col("doc_id").alias("key")), 50, salt="7")
+
+
+@query("""SELECT doc_id AS key, CASE WHEN length(text) % 3 = 0 THEN 'yes' WHEN length(text) % 3 = 1 THEN 'no' ELSE 'invalid' END AS answerable, 'stub' AS model FROM documents""")
+def answered_and_judged(spark, sf):
+    def model():
+        said = ['{"answerable": "Yes"}', '{"answerable": "no"}', "not json"]
+        return lambda system, user, seed: said[(len(user) - len("Q: ")) % 3]
+
+    tasks = read(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    out = generation.answered(tasks, model, "judge", generation.prompt("Q: {text}", text=F.col("text")), "stub")
+    return generation.verdicts(out).select("key", "answerable", "model")
+
+
+@query("""SELECT conv_id AS qid, turn, CASE WHEN conv_id % 7 = 0 THEN 'unknown_question' WHEN conv_id % 5 = 0 THEN 'unknown_status' ELSE 'unknown_candidate' END AS reason
+FROM conversations WHERE conv_id % 7 = 0 OR conv_id % 5 = 0 OR turn > 2""")
+def annotation_check(spark, sf):
+    c = read(spark, sf, "conversations")
+    items = c.where("conv_id % 7 <> 0").select(F.col("conv_id").alias("qid")).distinct().withColumn("candidates", F.array(F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(2).cast("long")))
+    log = c.select(F.col("conv_id").alias("qid"), "turn", F.when(F.col("conv_id") % 5 == 0, "later").otherwise("ok").alias("question_status"), F.array("turn").alias("extra_relevant"))
+    return golden.invalid_annotations(log, items).select("qid", "turn", "reason")
+
+
+@query("SELECT conv_id AS qid, any_value(role) FILTER (WHERE turn = 0) AS role, max(turn) >= 2 AS done FROM conversations GROUP BY conv_id HAVING min(turn) = 0")
+def annotation_list(spark, sf):
+    c = read(spark, sf, "conversations")
+    items = c.where("turn = 0").select(F.col("conv_id").alias("qid"), "role", F.array().alias("candidates"), F.lit(0).alias("gold"))
+    return golden.listed(items, c.where("turn >= 2").select(F.col("conv_id").alias("qid")))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND doc_id % 50 <= 10")
+def training_filters(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "lang", (F.col("doc_id") % 50).alias("teacher_gold_rank"))
+    return training.kept_rows(d, ["en", "de"], 10, version_col="lang").select("doc_id", "lang")
+
+
+@query("""WITH m AS (SELECT event_id // 1000 AS step, round(avg(value), 6) AS ndcg_10 FROM events GROUP BY 1)
+SELECT step, ndcg_10, coalesce(ndcg_10 > max(ndcg_10) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM m""")
+def dev_evaluations(spark, sf):
+    views = read(spark, sf, "events").select(F.floor(F.col("event_id") / 1000).alias("step"), F.col("value").alias("ndcg_10"))
+    means = views.groupBy("step").agg(F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))
+    return training.evaluated(means)
+
+
+@query(f"WITH {VEC}, {RUN_METRIC} SELECT {MEANS}, count(*) AS n FROM pq")
+def mean_metrics(spark, sf):
+    return rounded(metrics.mean_metrics(query_metrics(spark, sf)))
+
+
+@query("""WITH g AS (SELECT lang, count(*) AS n, avg(length(text)) AS mean FROM documents GROUP BY lang)
+SELECT '| lang | n | mean |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || lang || ' | ' || n::VARCHAR || ' | ' || printf('%.3f', mean) || ' |', chr(10) ORDER BY lang) AS report FROM g""")
+def markdown_report(spark, sf):
+    g = read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean"))
+    return spark.createDataFrame([(tables.markdown(g, ["lang", "n", "mean"], F.col("lang")),)], "report string")
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS run, o_orderkey % 10 AS step, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2),
+b AS (SELECT run, arg_max(step, (v, -step)) AS best_step, max(v) AS best, max(v) FILTER (WHERE step = 0) AS base FROM r GROUP BY run)
+SELECT run, 'E1' AS experiment, 'small' AS base_model, 'llm+titles' AS data, base, best, best_step, round(best_step / 4.0, 2) AS best_epoch, 1.5 AS minutes FROM b""")
+def train_run_table(spark, sf):
+    steps = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("run"), (F.col("o_orderkey") % 10).alias("step")).agg(F.round(F.avg("o_totalprice"), 2).alias("ndcg_10"))
+    none = F.lit(None).cast("string")
+    runs = steps.select("run").distinct().select(
+        "run", F.lit("E1").alias("experiment"), F.lit("org/small").alias("base_model"), F.array(F.lit("llm"), F.lit("titles")).alias("sources"), none.alias("train_file"),
+        F.array().cast("array<string>").alias("versions"), F.lit(0).alias("filter_rank"), F.lit(0.0).alias("format_aug"), F.lit(4).alias("steps_per_epoch"), F.lit(90.0).alias("seconds"),
+    )
+    return reports.train_runs(steps, runs).withColumn("minutes", F.col("minutes").cast("decimal(2,1)"))
+
+
+@query("""WITH m AS (SELECT o_orderstatus AS name, o_orderpriority AS facet, round(avg(o_totalprice), 4) AS v, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT facet, max(n) FILTER (WHERE name = 'O') AS n, max(v) FILTER (WHERE name = 'O') AS base, max(v) FILTER (WHERE name = 'F') AS tuned, max(v) FILTER (WHERE name = 'P') AS ref FROM m GROUP BY facet HAVING base IS NOT NULL AND tuned IS NOT NULL""")
+def before_after_table(spark, sf):
+    means = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("facet")).agg(F.round(F.avg("o_totalprice"), 4).alias("ndcg_10"), F.count("*").alias("n"))
+    return reports.before_after(means, "name", "facet", {"base": "O", "tuned": "F", "ref": "P"})
+
+
+@query("""WITH m AS (SELECT o_orderstatus AS name, o_orderpriority AS facet, round(avg(o_totalprice), 4) AS v FROM orders GROUP BY 1, 2)
+SELECT m.name, m.facet, m.v AS ndcg_10, f.v AS "full", round(m.v - f.v, 4) AS delta FROM m JOIN m f ON f.facet = m.facet AND f.name = 'F' WHERE m.name <> 'F'""")
+def ablation_table(spark, sf):
+    means = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("facet")).agg(F.round(F.avg("o_totalprice"), 4).alias("ndcg_10"))
+    return reports.ablation(means, "name", "facet", "F").withColumn("delta", F.round("delta", 4))
+
+
+@query("""WITH r AS (SELECT c_mktsegment AS name, count(*) AS q FROM customer GROUP BY 1), s AS (SELECT c_mktsegment AS name, c_nationkey % 2 AS k, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY 1, 2)
+SELECT name, CASE WHEN name = 'BUILDING' THEN 0 ELSE q END AS train_questions, max(v) FILTER (WHERE k = 0) AS dev_score, max(v) FILTER (WHERE k = 1) AS test_score FROM r JOIN s USING (name) GROUP BY ALL""")
+def learning_curve(spark, sf):
+    c = read(spark, sf, "customer").withColumnRenamed("c_mktsegment", "name")
+    scores = c.groupBy("name", (F.col("c_nationkey") % 2).alias("set")).agg(F.round(F.avg("c_acctbal"), 4).alias("ndcg_10"))
+    return reports.learning_curve(c.groupBy("name").agg(F.count("*").alias("train_questions")), scores, "BUILDING", {"dev_score": "0", "test_score": "1"})
+
+
+@query("SELECT s_suppkey, s_nationkey, o.v AS quality FROM supplier JOIN (SELECT o_custkey % 40 AS k, min(o_totalprice) AS v FROM orders GROUP BY 1) o ON o.k = s_nationkey")
+def lookup_and_drop(spark, sf):
+    table = read(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("s_nationkey"), F.col("o_totalprice").alias("quality"))
+    return reports.looked_up(read(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), table, "s_nationkey", "quality")
+
+
+@query("""SELECT doc_id AS "_id", text, 'train' AS slice, lang AS qtype, source AS code, 'train' AS split FROM documents WHERE lang IN ('en', 'fr') UNION ALL
+SELECT doc_id, source, 'train', 'title', source, 'train' FROM documents WHERE lang = 'de'""")
+def export_training_queries(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "text", F.lit(None).cast("string").alias("slice"), F.col("lang").alias("qtype"), F.col("source").alias("code"))
+    titles = d.where("qtype = 'de'").withColumns({"text": F.col("code"), "qtype": F.lit("title")})
+    return tables.export_queries(tables.export_train(d.where("qtype = 'es'"), titles, d.where("qtype in ('en', 'fr')")))
+
+
 @query(f"WITH {VEC} SELECT qid AS \"query-id\", doc_id AS \"corpus-id\", rel::BIGINT AS score, CASE WHEN qid % 100 = 0 THEN 'dev' ELSE 'test' END AS split FROM qrels")
 def mteb_export_views(spark, sf):
     rel = qrels(spark, sf).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "rel"))).alias("qrels"))
