@@ -670,6 +670,24 @@ def sectionize_pages(spark, sf):
     return pages.sections(p, page="page_id", article=r"^([A-ZÀ-Þ]\w{0,3})\s+(.*)$", chapter=r"^(der|das|the|la)\s+(.*)$")
 
 
+SECTIONS = r"""WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+c AS (SELECT page, pos, trim(regexp_replace(x, '\s+', ' ', 'g')) AS t, CASE WHEN pos % 7 = 6 THEN 'center' ELSE 'p' END AS kind FROM l),
+h AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '(?i)^(in|en)\s+') THEN 'chapter' WHEN regexp_matches(t, '^(The|La|Der|De)\s+') THEN 'article' END AS head FROM c),
+w AS (SELECT *, count(*) FILTER (WHERE head = 'article') OVER p AS seq, last_value(head IGNORE NULLS) OVER p AS now, last_value(CASE WHEN head = 'chapter' THEN t END IGNORE NULLS) OVER p AS ch FROM h
+  WINDOW p AS (PARTITION BY page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT page, seq, max(t) FILTER (WHERE head = 'article') AS h, max(ch) AS ch, coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE head IS NULL AND t <> '' AND kind <> 'center'), '') AS body FROM w WHERE now = 'article' GROUP BY 1, 2)
+SELECT page, seq, regexp_extract(h, '^(The|La|Der|De)\s+(.*)$', 1) AS number, regexp_extract(h, '^(The|La|Der|De)\s+(.*)$', 2) AS title, coalesce(regexp_extract(ch, '(?i)^(in|en)\s+(.*)$', 1), '') AS chapter,
+coalesce(regexp_extract(ch, '(?i)^(in|en)\s+(.*)$', 2), '') AS chapter_title, md5(body) AS text_md5, CASE WHEN body = '' THEN 'empty' ELSE 'active' END AS status FROM g"""
+
+
+@query(SECTIONS)
+def sectionize_lines(spark, sf):
+    lines = read(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    blocks = lines.withColumn("kind", F.when(F.col("pos") % 7 == 6, "center").otherwise("p"))
+    cut = pages.sections(blocks, article=r"^(The|La|Der|De)\s+(.*)$", chapter=r"^(in|en)\s+(.*)$")
+    return cut.withColumn("text_md5", F.md5("text")).drop("text")
+
+
 @query("""WITH h AS (SELECT page_id, unnest(l) AS href, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages))
 SELECT page_id, href, min(pos)::BIGINT AS pos FROM h WHERE regexp_matches(href, '^/[a-zA-Z]') GROUP BY 1, 2""")
 def toc_links(spark, sf):

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from lodestone.operators import generation, splits
+from lodestone.operators import generation, golden, pages, splits
 from lodestone.operators.filters import parsed_output
 from lodestone.sources import tables
 from lodestone.streaming import annotations
@@ -142,3 +142,60 @@ def test_entry_has_queries_and_oracles(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 60
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_tasks_are_asked_in_parallel_and_logged_as_they_end(spark, tmp_path):
+    tasks = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(12)], "key string, text string")
+    marks = str(tmp_path)
+
+    def model(marks=marks):
+        import os
+
+        def call(system, user, seed):
+            n = int(user.split()[-1])
+            path = f"{marks}/tried-{n}"
+            first = not os.path.exists(path)
+            open(path, "a").close()
+            if n == 3 or (n == 5 and first):  # one fails always, one the first time
+                raise OSError("connection lost")
+            return f"answer {n}"
+
+        return call
+
+    ask = lambda df: generation.answered(df, model, "s", generation.prompt("{t}", t=F.col("text")), "m", tries=2, wait=0.01, workers=3)
+    got = {r.key: r for r in ask(tasks).collect()}
+    assert got["k3"].raw is None and got["k3"].error == "OSError: connection lost" and got["k5"].raw == "answer 5" and got["k0"].seconds >= 0
+    log = f"file://{tmp_path}/log"
+    assert generation.run_tasks(tasks, log, ask, slices=3).count() == 11  # what failed isn't logged
+    more = tasks.unionByName(spark.createDataFrame([("k99", "text 99")], tasks.schema))
+    assert {r.key for r in generation.run_tasks(more, log, ask, slices=3).collect()} == {f"k{i}" for i in range(12) if i != 3} | {"k99"}
+    assert generation.run_tasks(more, log, ask, slices=3).count() == 12
+
+    def broken():
+        def call(system, user, seed):
+            raise TypeError("a fault of the program")
+
+        return call
+
+    with pytest.raises(Exception, match="a fault of the program"):
+        generation.answered(tasks, broken, "s", F.col("text"), "m").collect()
+
+
+def test_layouts_of_laws(spark):
+    full = '<h1>Law (ред. от 01.01.2020)</h1><div class="main-center-block"><p>Глава 1. Общие</p><p>Статья 1. Первая</p><p>Текст один.</p><p>Статья 2. Вторая</p><p>Текст два.</p></div>'
+    single = '<h1>Статья 7. Седьмая</h1><div class="main-center-block-article-text"><p>Текст семь.</p></div>'
+    rows = spark.createDataFrame([("a", "/x/a", full), ("b", "/x/b/glava-3/", single), ("b", "/x/b/none", "<h1>Other</h1>")], "code string, url string, html string")
+    laws = spark.createDataFrame([("a", "full", "in_domain"), ("b", "pages", "ood")], "code string, layout string, group string")
+    got = {r.doc_id: (r.title, r.chapter, r.text, r.group, r.status) for r in pages.articles_of(rows, laws).collect()}
+    assert got == {"a-1": ("Первая", "1", "Текст один.", "in_domain", "active"), "a-2": ("Вторая", "1", "Текст два.", "in_domain", "active"), "b-7": ("Седьмая", "3", "Текст семь.", "ood", "active")}
+    bad = spark.createDataFrame([("a", "/x/a", "<p>no root</p>")], rows.schema)
+    with pytest.raises(Exception, match="no main-center-block on page /x/a"):
+        pages.articles_of(bad, laws).collect()
+
+
+def test_annotation_reads(spark):
+    items = spark.createDataFrame([(1, "s", [10, 11], 10), (2, "t", [12], 12)], "qid long, slice string, candidates array<long>, gold long")
+    log = spark.createDataFrame([(1, "ok", True)], "qid long, question_status string, gold_relevant boolean")
+    assert sorted(tuple(r) for r in golden.listed(items, log).collect()) == [(1, "s", True), (2, "t", False)]
+    r = golden.item(items, log, 1).first()
+    assert r.candidates == [10, 11] and r.annotation.question_status == "ok" and golden.item(items, log, 2).first().annotation is None
