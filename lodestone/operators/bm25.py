@@ -10,14 +10,18 @@ from lodestone.functions.lineage import cut
 from lodestone.operators.similarity import ranked
 
 
-def postings(units: DataFrame, unit: str = "unit_id", text: str = "text", token: str = T.TOKEN, stems=None) -> tuple[DataFrame, DataFrame]:
+def postings(units: DataFrame, unit: str = "unit_id", text: str = "text", token: str = T.TOKEN, stems=None, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, statistics): term frequencies of each unit, and units and mean length of the corpus.
 
-    The rows of the first have ``unit_id, term, tf, dl``: a unit is cut and counted in its own row.
+    The rows of the first have ``unit_id, term, tf, dl``. With ``used`` (a table of terms) only
+    these terms' tokens are grouped and shuffled at all.
     """
     w = T.words(text, token)
     rows = units.select(F.col(unit).alias("unit_id"), (stems(w) if stems else w).alias("w"))
-    terms = rows.select("unit_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tokens = rows.select("unit_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if used is not None:
+        tokens = tokens.join(used, "term", "left_semi")
+    terms = tokens.groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     stats = rows.agg(F.count("*").alias("n_units"), F.avg(F.size("w")).alias("avgdl"))
     return terms, stats
 
@@ -30,11 +34,10 @@ def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5,
     Only postings of terms that some query has are kept; document frequencies are counted
     on these, and a term's rows are scored where they lie once the weights are joined.
     """
-    terms, stats = postings(units, unit, text, token, stems)
     w = T.words("text", token)
     q = queries.select("qid", F.explode(stems(w) if stems else w).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    used = q.select("term").distinct()
-    terms = cut(terms.join(used, "term", "left_semi"))
+    terms, stats = postings(units, unit, text, token, stems, q.select("term").distinct())
+    terms = cut(terms)
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

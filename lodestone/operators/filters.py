@@ -44,9 +44,9 @@ def exact_duplicates(df: DataFrame, order: str, text_col: str = "text", token: s
     """Add ``is_dup``: the normalised text was seen earlier in the order.
 
     The first row of a text is found by aggregation, so a text that a third of all rows
-    share isn't gathered in one task.
+    share isn't gathered in one task. Normalised texts are compared by their 128-bit hashes.
     """
-    keyed = df.withColumn("__n", T.normalized(text_col, token))
+    keyed = df.withColumn("__n", F.md5(T.normalized(text_col, token)))
     first = keyed.groupBy("__n").agg(F.min(order).alias("__first"))
     return keyed.join(first, "__n").withColumn("is_dup", F.col(order) > F.col("__first")).drop("__n", "__first")
 
