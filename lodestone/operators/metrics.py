@@ -25,7 +25,7 @@ def per_query(run: DataFrame, qrels: DataFrame, queries: DataFrame, by: tuple[st
         F.count("*").alias("h10"),
         F.min("rank").alias("first"),
     )
-    base = queries.crossJoin(F.broadcast(run.select(*by).distinct())) if by else queries
+    base = queries.crossJoin(run.select(*by).distinct()) if by else queries
     rows = base.join(ideal, "qid", "left").join(hits, [*by, "qid"], "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return rows.select(

@@ -82,10 +82,9 @@ def read_page(html: str | None, root: str | None) -> tuple:
     r = _Reader(root)
     r.feed(html or "")
     r.close()
-    if not r.found:
-        return None, [], None
     said = lambda parts: re.sub(r"[\s\xa0]+", " ", " ".join(parts)).strip()
-    return (None if r.h1 is None else said(r.h1)), [said(c) for c in r.crumbs], [(i, kind, said(t)) for i, (kind, t) in enumerate(r.blocks)]
+    blocks = [(i, kind, said(t)) for i, (kind, t) in enumerate(r.blocks)] if r.found else None
+    return (None if r.h1 is None else said(r.h1)), [said(c) for c in r.crumbs], blocks
 
 
 def page_parts(html: Column, root: str | None = "main-center-block") -> Column:
@@ -145,12 +144,10 @@ def sections(blocks: DataFrame, page: str = "page", pos: str = "pos", kind: str
 
 def single_articles(pages: DataFrame, html: str = "html", href: str = "url", root: str = "main-center-block-article-text") -> DataFrame:
     """Articles of pages that hold one each: heading from ``h1``, chapter from the path or the breadcrumb."""
-    body = page_parts(F.col(html), root)
-    top = page_parts(F.col(html), None)
-    rows = pages.withColumn("__b", body).withColumn("__t", top)
+    rows = pages.withColumn("__t", page_parts(F.col(html), root))
     h1 = F.col("__t.h1")
     rows = rows.where(h1.isNotNull() & h1.rlike(f"(?U){ARTICLE}"))
-    blocks = F.coalesce(F.col("__b.blocks"), F.array().cast(BLOCKS))
+    blocks = F.coalesce(F.col("__t.blocks"), F.array().cast(BLOCKS))
     end = F.array_position(F.transform(blocks, lambda b: b["kind"]), "right")
     own = F.when(end > 0, F.slice(blocks, F.lit(1), (end - 1).cast("int"))).otherwise(blocks)
     lines = F.filter(F.transform(own, lambda b: b["text"]), lambda t: (t != "") & ~is_repeal_line(t))
