@@ -1,29 +1,58 @@
-"""BM25 over an inverted index kept as a table of postings."""
+"""BM25 by scoring units where they lie.
+
+Document frequencies and the mean length come from one pass. The query set's weights are
+broadcast in blocks of a checked size, and each task scores its units against a block and
+keeps, of each batch, only the best documents of each query: what is shuffled is k rows per
+query and batch, never a row per posting or per pair.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.lineage import cut
 from lodestone.operators.similarity import ranked
 
+#: Entries (queries times their terms) of the weights of one block.
+BLOCK_ENTRIES = 4 << 20
+#: Scores are rounded to so many digits, so that equal texts have equal scores wherever they lie.
+DIGITS = 9
 
-def postings(units: DataFrame, unit: str = "unit_id", text: str = "text", token: str = T.TOKEN, stems=None, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics): term frequencies of each unit, and units and mean length of the corpus.
 
-    The rows of the first have ``unit_id, term, tf, dl``. With ``used`` (a table of terms) only
-    these terms' tokens are grouped and shuffled at all.
-    """
-    w = T.words(text, token)
-    rows = units.select(F.col(unit).alias("unit_id"), (stems(w) if stems else w).alias("w"))
-    tokens = rows.select("unit_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    if used is not None:
-        tokens = tokens.join(used, "term", "left_semi")
-    terms = tokens.groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = rows.agg(F.count("*").alias("n_units"), F.avg(F.size("w")).alias("avgdl"))
-    return terms, stats
+def statistics(units: DataFrame, words, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(document frequencies of the terms used, units and mean length of the corpus)."""
+    rows = units.select(words.alias("w"))
+    kinds = rows.select(F.explode(F.array_distinct("w")).alias("term")).join(used, "term", "left_semi")
+    return kinds.groupBy("term").agg(F.count("*").alias("df")), rows.agg(F.count("*").alias("n_units"), F.avg(F.size("w")).alias("avgdl"))
+
+
+def _blocks(weights: DataFrame) -> Iterator[tuple[np.ndarray, dict[str, int], np.ndarray]]:
+    """Query ids, the places of their terms and the weights (terms by queries), a block at a time."""
+    ids: list = []
+    terms: dict[str, int] = {}
+    cells: list[tuple[int, int, float]] = []
+
+    def block() -> tuple:
+        matrix = np.zeros((len(terms), len(ids)))
+        for t, q, w in cells:
+            matrix[t, q] = w
+        out = (np.array(ids), dict(terms), matrix)
+        ids.clear(), terms.clear(), cells.clear()
+        return out
+
+    grouped = weights.groupBy("qid").agg(F.collect_list(F.struct("term", "weight")).alias("x"))
+    for r in grouped.toLocalIterator():
+        if ids and (len(terms) + len(r.x)) * (len(ids) + 1) > BLOCK_ENTRIES:
+            yield block()
+        ids.append(r.qid)
+        cells += [(terms.setdefault(x.term, len(terms)), len(ids) - 1, x.weight) for x in r.x]
+    if ids:
+        yield block()
 
 
 def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5, b: float = 0.75, unit: str = "unit_id", doc: str | None = None, text: str = "text", token: str = T.TOKEN, stems=None, fill: bool = False) -> DataFrame:
@@ -31,25 +60,54 @@ def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5,
 
     ``queries`` has ``qid`` and ``text``. A query's repeated tokens count each time. With
     ``fill``, documents that match nothing follow with score 0, by id, as far as ``k`` reaches.
-    Only postings of terms that some query has are kept; document frequencies are counted
-    on these, and a term's rows are scored where they lie once the weights are joined.
+    A document of the global top k has its best unit in some batch, where at most k - 1
+    documents are better: a batch's top k is enough.
     """
-    w = T.words("text", token)
-    q = queries.select("qid", F.explode(stems(w) if stems else w).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms, stats = postings(units, unit, text, token, stems, q.select("term").distinct())
-    terms = cut(terms)
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = terms.join(weights, "term").join(q, "term").groupBy("qid", "unit_id").agg(F.sum(part).alias("score"))
-    if doc is not None:
-        owners = units.select(F.col(unit).alias("unit_id"), F.col(doc).alias("doc_id"))
-        scores = scores.join(owners, "unit_id").groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
-    else:
-        scores = scores.withColumnRenamed("unit_id", "doc_id").select("qid", "doc_id", "score")
+    spark = units.sparkSession
+    cut = lambda w: stems(w) if stems else w
+    q = queries.select("qid", F.explode(cut(T.words("text", token))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    words = cut(T.words(text, token))
+    frequencies, stats = statistics(units, words, q.select("term").distinct())
+    n_units, avgdl = stats.first()
+    idf = F.log(1 + (F.lit(n_units) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = q.join(frequencies, "term").select("qid", "term", (F.col("qtf") * idf).alias("weight"))
+    rows = units.select(F.col(doc or unit).cast("long").alias("doc_id"), words.alias("w"))
+    scores = None
+    for block in _blocks(weights):
+        held = spark.sparkContext.broadcast(block)
+
+        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, places, matrix = held.value
+            for batch in batches:
+                docs = batch["doc_id"].to_numpy()
+                for at in range(0, len(docs), 256):
+                    own = docs[at : at + 256]
+                    tf, dl = np.zeros((len(own), len(places))), np.zeros(len(own))
+                    for i, w in enumerate(batch["w"].iloc[at : at + 256]):
+                        dl[i] = len(w)
+                        kinds, counts = np.unique([p for x in w if (p := places.get(x)) is not None], return_counts=True)
+                        tf[i, kinds.astype(int)] = counts
+                    part = tf / (tf + k1 * (1 - b + b * dl[:, None] / (avgdl or 1)) + (tf == 0))
+                    got = np.round(part @ matrix, DIGITS)
+                    out = []
+                    for j, s in enumerate(got.T):
+                        hit = np.flatnonzero(s > 0)
+                        order = hit[np.lexsort((own[hit], -s[hit]))]
+                        if doc is not None:
+                            order = order[np.sort(np.unique(own[order], return_index=True)[1])]
+                        order = order[:k]
+                        out.append(pd.DataFrame({"qid": ids[j], "doc_id": own[order], "score": s[order]}))
+                    yield pd.concat(out)
+
+        kind = weights.schema["qid"].dataType.simpleString()
+        part = rows.mapInPandas(best, f"qid {kind}, doc_id long, score double")
+        scores = part if scores is None else scores.unionByName(part)
+    if scores is None:
+        scores = queries.select("qid", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    scores = ranked(scores.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)
     if fill:
         # of each query at most k documents without a match can be reached: 2k smallest ids hold k unmatched or all
         ids = units.select(F.col(doc or unit).alias("doc_id")).distinct().orderBy("doc_id").limit(2 * k)
         rest = queries.select("qid").crossJoin(F.broadcast(ids)).join(scores.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-        scores = ranked(scores, k).drop("rank").unionByName(rest.withColumn("score", F.lit(0.0)))
-    return ranked(scores, k)
+        scores = ranked(scores.drop("rank").unionByName(rest.withColumn("score", F.lit(0.0))), k)
+    return scores

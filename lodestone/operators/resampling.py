@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.joins import matched
+from lodestone.functions.lineage import cut
 
 #: Values of a shard, and values that a task draws at a time.
 SHARD, DRAWS = 1 << 16, 1 << 22
@@ -69,6 +70,7 @@ def _bounds(alpha: float) -> list:
 
 def mean_ci(rows: DataFrame, by: list[str], value: str, key: str = "qid", resamples: int = RESAMPLES, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Number, mean and bootstrap interval of the mean of each group."""
+    rows = cut(rows.select(*by, key, value))
     plain = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     limits = resampled_means(rows, by, value, key, resamples, seed).groupBy(*by).agg(*_bounds(alpha))
     return matched(plain, limits, by)
@@ -77,7 +79,7 @@ def mean_ci(rows: DataFrame, by: list[str], value: str, key: str = "qid", resamp
 def paired(a: DataFrame, b: DataFrame, metric: str, by: str | None = None) -> DataFrame:
     """``group, qid, a, b, diff`` over all queries and over each value of ``by``; both must have the same queries, once each."""
     left = a.select("qid", F.col(metric).alias("a"), *([F.col(by).cast("string").alias("__by")] if by else []))
-    joined = left.join(b.select("qid", F.col(metric).alias("b")), "qid", "full")
+    joined = cut(left.join(b.select("qid", F.col(metric).alias("b")), "qid", "full"))
     bad = joined.groupBy("qid").agg(F.count("*").alias("n"), F.count("a").alias("na"), F.count("b").alias("nb")).where("n <> 1 or na <> 1 or nb <> 1")
     if not bad.isEmpty() or joined.isEmpty():
         raise ValueError("the two runs have different queries, or none")
