@@ -5,7 +5,8 @@ softmax are trained together by stochastic gradient descent in numpy on a bounde
 (``per_language`` rows of each label for training and as many for calibration). On the
 calibration rows a temperature is fitted, so that scores are probabilities. A text is
 rejected where the label is more likely wrong than right (``LEAST``), and below the least
-score that keeps the error among accepted calibration rows within ``target_error``.
+score that keeps the error among accepted calibration texts within ``target_error``: only where
+the model itself is worse than that, and measured on whole texts, not on their snippets.
 :func:`risk` reports error against coverage on any labelled rows.
 
 Since the softmax is linear, a bucket's embedding times the softmax's weights is one row
@@ -86,8 +87,8 @@ def _logits(x: np.ndarray, model: Model) -> np.ndarray:
     return x @ model.table + model.bias
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.5, batch: int = 32, seed: int = 7) -> Model:
-    """Train on (label, buckets, counts) rows by stochastic gradient descent with a falling rate."""
+def fit(rows: list[tuple], epochs: int = 12, rate: float = 0.5, batch: int = 32, seed: int = 7) -> Model:
+    """Train on rows that begin with (label, buckets, counts) by stochastic gradient descent with a falling rate."""
     labels = sorted({r[0] for r in rows})
     rng, k = np.random.default_rng(seed), 1 << BITS
     emb = rng.normal(0, 1 / DIM, (k, DIM)).astype(np.float32)
@@ -117,8 +118,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate:
     return Model(labels, (emb.astype(np.float64) @ w), bias.astype(np.float64))
 
 
-def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], target_error: float = 0.01, least: float = LEAST) -> Model:
-    """Fit temperature and rejection threshold on rows that the training has not seen."""
+def calibrate(model: Model, rows: list[tuple], target_error: float = 0.05, least: float = LEAST) -> Model:
+    """Fit temperature and rejection threshold on (label, buckets, counts, whole) rows that the training has not seen."""
     model.threshold = least
     rows = [r for r in rows if r[0] in model.labels and r[2].sum()]
     if not rows:
@@ -134,7 +135,8 @@ def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], targ
     model.temperature = min(np.geomspace(0.05, 20, 121).tolist(), key=nll)
     p = np.exp((z - z.max(1, keepdims=True)) / model.temperature)
     p /= p.sum(1, keepdims=True)
-    score, right = p.max(1), p.argmax(1) == y
+    whole = np.array([r[3] for r in rows], bool)
+    score, right = p.max(1)[whole], (p.argmax(1) == y)[whole]
     order = np.argsort(-score, kind="stable")
     errors = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(errors <= target_error)
@@ -160,18 +162,18 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, part: s
             for y, t in zip(b["y"], b["t"], strict=True):
                 words = t.split()
                 # the whole text, and a few of its words, so that short texts are known too
-                for part in [t, " ".join(words[len(words) // 2 :][:8])]:
+                for whole, part in ((True, t), (False, " ".join(words[len(words) // 2 :][:8]))):
                     kinds, counts = np.unique(buckets(part), return_counts=True)
                     if len(kinds) > KINDS:
                         most = np.sort(np.argsort(-counts, kind="stable")[:KINDS])
                         kinds, counts = kinds[most], counts[most]
                     if len(kinds):
-                        out.append((y, kinds.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["y", "k", "c"])
+                        out.append((y, kinds.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), whole))
+            yield pd.DataFrame(out, columns=["y", "k", "c", "w"])
 
-    got = texts.mapInPandas(counted, "y string, k binary, c binary").collect()
-    rows = [(r.y, np.frombuffer(r.k, "<u2").astype(np.int64), np.frombuffer(r.c, "<u4").astype(np.float32)) for r in got]
-    return sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    got = texts.mapInPandas(counted, "y string, k binary, c binary, w boolean").collect()
+    rows = [(r.y, np.frombuffer(r.k, "<u2").astype(np.int64), np.frombuffer(r.c, "<u4").astype(np.float32), r.w) for r in got]
+    return sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes(), r[3]))
 
 
 def train(labelled: DataFrame, calibration: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:

@@ -315,6 +315,20 @@ def test_language_id_held_out_accuracy(spark):
     assert curve[0.0][0] == 1 and curve[0.99][0] <= curve[0.5][0] and curve[0.9][1] <= 0.01
 
 
+def test_language_id_threshold_follows_the_error_of_whole_texts():
+    one = lambda label, bucket, whole: (label, np.array([bucket]), np.array([1.0], np.float32), whole)
+    table = np.zeros((1 << language_id.BITS, 2))
+    table[0], table[1], table[2] = (4.0, 0.0), (0.0, 4.0), (1.0, 0.0)
+
+    def threshold(wrong, whole):
+        model = language_id.Model(["a", "b"], table, np.zeros(2))
+        rows = [one("a", 0, True)] * 100 + [one("b", 1, True)] * 100 + [one("a", 2, whole)] * (20 - wrong) + [one("b", 2, whole)] * wrong
+        return language_id.calibrate(model, rows).threshold
+
+    assert threshold(18, False) == threshold(2, True) == language_id.LEAST  # snippets, and few errors, reject nothing more
+    assert threshold(18, True) > language_id.LEAST  # above the target error the doubtful texts are given up
+
+
 def test_language_id_odd_rows(spark):
     rng = random.Random(1)
     lang = {"aa": "bababo bobaba", "zz": "tititu tutiti"}
