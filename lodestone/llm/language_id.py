@@ -168,11 +168,12 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, part: s
                         most = np.sort(np.argsort(-counts, kind="stable")[:KINDS])
                         kinds, counts = kinds[most], counts[most]
                     if len(kinds):
-                        out.append((y, kinds.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), whole))
+                        out.append((y, kinds.astype("<u2").tobytes(), counts.astype("<f4").tobytes(), whole))
             yield pd.DataFrame(out, columns=["y", "k", "c", "w"])
 
-    got = texts.mapInPandas(counted, "y string, k binary, c binary, w boolean").collect()
-    rows = [(r.y, np.frombuffer(r.k, "<u2").astype(np.int64), np.frombuffer(r.c, "<u4").astype(np.float32), r.w) for r in got]
+    # as Arrow columns, and in their small types: the driver holds each sampled count once
+    got = texts.mapInPandas(counted, "y string, k binary, c binary, w boolean").toArrow().to_pydict()
+    rows = [(y, np.frombuffer(k, "<u2"), np.frombuffer(c, "<f4"), w) for y, k, c, w in zip(got["y"], got["k"], got["c"], got["w"], strict=True)]
     return sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes(), r[3]))
 
 
