@@ -60,8 +60,8 @@ def prompt(template: str, **values: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-#: What may pass by itself: a connection that breaks, a body that is cut off or malformed.
-TRANSIENT = (OSError, KeyError, IndexError, ValueError)
+#: What may pass by itself: a connection that breaks, a service that fails, a body that is cut off or malformed.
+TRANSIENT = (OSError, RuntimeError, KeyError, IndexError, ValueError)
 
 
 def answered(tasks: DataFrame, model: Callable[[], Callable[[str, str, int], str]], system: str, user: Column, name: str, version: str = "v1", tries: int = 3, wait: float = 2.0, workers: int = 4, transient: tuple = TRANSIENT) -> DataFrame:
