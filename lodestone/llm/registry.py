@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontamination, language_id, line_dedup, near_dup, packing, pii, quality, token_counts, warc
+from lodestone.llm import chat_format, decontamination, filter_audit, language_id, license_scan, line_dedup, merkle, near_dup, packing, pii, quality, token_counts, warc
 from lodestone.llm.common import table, written
 
 
@@ -144,6 +144,119 @@ FROM g
 """
 
 
+#: What a leaf of the registered manifest digests.
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf([F.translate(c, _UPPER, _LOWER) if c == "text" else F.col(c) for c in MANIFEST])
+    return merkle.manifest(docs, MANIFEST, candidate=F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, tampered))
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+#: DuckDB has no crc32: the table of its 256 steps, and a fold over the digits of an id.
+OP11_SQL = f"""
+WITH RECURSIVE steps AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT] || [0::BIGINT FOR _ IN range(8)], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), crc AS (
+  SELECT DISTINCT doc_id AS id, xor(4294967295, list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')], lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS crc
+  FROM documents, steps WHERE doc_id IS NOT NULL
+), leaves AS (
+  SELECT doc_id, lang, sha256({' || '.join(_FIELD.format(c) for c in MANIFEST)}) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256({' || '.join(_FIELD.format(f"translate(text, '{_UPPER}', '{_LOWER}')" if c == 'text' else c) for c in MANIFEST)}) END AS tampered
+  FROM documents d LEFT JOIN crc ON id = doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+up AS (
+  SELECT lang, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM r
+  UNION ALL SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM up WHERE n > 1 GROUP BY lang, level, i // 8
+), tops AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM up WHERE n = 1),
+tree AS (
+  SELECT 0 AS level, i, subroot AS h, (SELECT count(*) FROM tops) AS n FROM tops
+  UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM tree WHERE n > 1 GROUP BY level, i // 8
+), runs AS (
+  SELECT 0 AS upper, coalesce(lang, '-') || (lang IS NULL) AS g, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY lang, level, i // 8
+  UNION ALL SELECT 1, '', level, i // 8, list(h ORDER BY i) FROM tree WHERE n > 1 GROUP BY level, i // 8
+), f AS (
+  SELECT row_number() OVER () AS k, coalesce(r.lang, '-') || (r.lang IS NULL) AS g, 0 AS upper, 0 AS level, r.i, tops.i AS top, coalesce(tampered, leaf) AS h, '' AS said FROM r JOIN tops ON r.lang IS NOT DISTINCT FROM tops.lang
+  UNION ALL
+  SELECT k, f.g, CASE WHEN hs IS NULL THEN 1 ELSE f.upper END, CASE WHEN hs IS NULL THEN 0 ELSE f.level + 1 END, CASE WHEN hs IS NULL THEN top ELSE i // 8 END, top,
+         CASE WHEN hs IS NULL THEN h ELSE sha256(array_to_string(hs[1:i % 8], '') || h || array_to_string(hs[i % 8 + 2:], '')) END,
+         CASE WHEN hs IS NULL THEN said ELSE said || array_to_string(hs[1:i % 8], '') || array_to_string(hs[i % 8 + 2:], '') END
+  FROM f LEFT JOIN runs ON runs.upper = f.upper AND runs.g = CASE WHEN f.upper = 1 THEN '' ELSE f.g END AND runs.level = f.level AND run = i // 8
+  WHERE hs IS NOT NULL OR f.upper = 0
+), ends AS (SELECT k, arg_max(h, upper * 100 + level) AS h, arg_max(said, upper * 100 + level) AS said FROM f GROUP BY k),
+ids AS (SELECT row_number() OVER () AS k, doc_id, leaf, subroot FROM r JOIN tops ON r.lang IS NOT DISTINCT FROM tops.lang)
+SELECT doc_id, leaf, subroot, tree.h AS root, sha256(said) AS proof_sha256, ends.h AS folded_root, ends.h = tree.h AS verified
+FROM ids JOIN ends USING (k), tree WHERE tree.n = 1
+"""
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _template_rows() -> str:
+    def of(k: int, t) -> str:
+        return f"({k}, '{t.label}', {t.base}, {t.phrase}, {license_scan.needed(t, license_scan.THRESHOLD)}, {t.words()!r})"
+
+    return ", ".join(of(k, t) for k, t in enumerate(license_scan.TEMPLATES))
+
+
+_STRIDE = license_scan.stride_of(license_scan.TEMPLATES)
+#: Every block against every template, without filters.
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(k, label, base, phrase, need, words) AS (VALUES {_template_rows()}),
+b AS (SELECT doc_id, block, w[block * {_STRIDE} + 1 : block * {_STRIDE} + {2 * _STRIDE}] AS w
+      FROM (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - {2 * _STRIDE}) / {_STRIDE}))::BIGINT + 1)) AS block FROM d WHERE len(w) > 0)),
+p AS (SELECT *, len(list_intersect(list_distinct(b.w), list_distinct(words))) / len(list_distinct(words)) AS c FROM b, t
+      WHERE len(list_intersect(list_distinct(b.w), list_distinct(words))) >= need),
+f AS (
+  SELECT doc_id, label, false AS base, block * {_STRIDE} AS place, c FROM p WHERE NOT phrase
+  UNION SELECT doc_id, label, base, block * {_STRIDE} + s - 1, c FROM (SELECT *, unnest(range(1, len(w) - len(words) + 2)) AS s FROM p WHERE phrase) WHERE w[s : s + len(words) - 1] = words
+), g AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word, max(c) AS score,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t),
+                regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails, coalesce(good, false) AS good, coalesce(bad, false) AS bad
+  FROM w LEFT JOIN l USING (doc_id)
+), o AS (
+  SELECT a.i AS i1, b.i AS i2, c.i AS i3, d.i AS i4, e.i AS i5 FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i), range(1, 6) e(i)
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), p AS (SELECT [i1, i2, i3, i4, i5] AS o, array_to_string([substr('ABCDE', x, 1) FOR x IN [i1, i2, i3, i4, i5]], '') AS filter_order FROM o),
+x AS (
+  SELECT part, filter_order, o, fails, good, bad, coalesce(list_position([fails[i] FOR i IN o], true), 6) AS first, unnest([1, 2, 3, 4, 5]) AS step FROM f, p
+), c AS (
+  SELECT part, filter_order, step, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+         count(*) FILTER (first < step AND fails[o[step]]) AS redundant,
+         count(*) FILTER (fails[o[step]] AND len(list_filter(fails, lambda v: v)) = 1) AS unique_fails,
+         count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND bad) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT *, sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1))::BIGINT AS shapley FROM c
+"""
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -156,9 +269,12 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat_format": op10_chat_format,
+        "op11_merkle": op11_merkle,
+        "op12_license_scan": op12_license_scan,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": OP2_SQL, "op6_warc": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_chat_format": OP10_SQL}
+    return {"op2_near_dup": OP2_SQL, "op6_warc": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_chat_format": OP10_SQL, "op11_merkle": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_filter_audit": OP13_SQL}
