@@ -19,6 +19,8 @@ WORD_EDGE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Orders are a broadcast table of n! rows.
 MOST_FILTERS = 6
+#: The most frequent texts, whose rows don't move to meet their first holder.
+FREQUENT = 1000
 
 
 def words(text: Column) -> Column:
@@ -45,11 +47,15 @@ def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
         F.col("t").rlike(r"[#$%&*|]").alias("D"),
     )
     rows = written(rows, "flags")
-    # only texts that occur again are joined; a hot one is split by adaptive execution
-    again = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = rows.join(again, "digest", "left").select("doc_id", "part", *"ABCD", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"))
+    # only texts that occur again have a first holder; the most frequent ones, which may be a third of all rows, are broadcast
+    again = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    most = F.broadcast(again.orderBy(F.desc("n"), "digest").limit(FREQUENT).select("digest", "first"))
+    rest = again.join(most, "digest", "left_anti").select("digest", "first")
+    out = rows.join(most, "digest").unionByName(rows.join(most, "digest", "left_anti").join(rest, "digest", "left"))
+    out = out.select("doc_id", "part", *"ABCD", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"))
     out = written(out, "flags-of-copies")
     dropped(rows)
+    dropped(again)
     return out
 
 
