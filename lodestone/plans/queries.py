@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, pages, ranking, reports, resampling, similarity, splits, training
+from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, pages, ranking, reports, resampling, similarity, splits, training, vector_index
 from lodestone.sources import tables
 
 Q: dict = {}
@@ -230,6 +230,48 @@ def near_dup_multi_ref(spark, sf):
     return similarity.near_dup_against(e.where("label > 1"), e.where("label = 0").unionByName(e.where("label = 1")), 0.35).select("vec_id", "is_dup")
 
 
+def vec_index(spark, sf, cells=None):
+    return vector_index.build(units(spark, sf), cells=cells)
+
+
+@query()
+def ivf_topk(spark, sf):
+    """Approximate: with as many probes as the query set needs for a recall of 0.95; tests measure it."""
+    index, q = vec_index(spark, sf), query_set(spark, sf)
+    probes = vector_index.tuned_probes(q, index, 10, skip_self=True)
+    return rounded(vector_index.search(q, index, 10, probes, skip_self=True), "score")
+
+
+@query(f"WITH {VEC} SELECT qid, doc_id, unit_id, round(score, 6) AS score, rank FROM run WHERE rank <= 10")
+def ivf_topk_exact(spark, sf):
+    return rounded(vector_index.search(query_set(spark, sf), vec_index(spark, sf), 10, 4, exact=True, skip_self=True), "score")
+
+
+@query(f"WITH {VEC} SELECT qid, unit_id, round(score, 6) AS score, rank FROM ur WHERE rank <= 50")
+def ivf_units_exact(spark, sf):
+    run = vector_index.search(query_set(spark, sf), vec_index(spark, sf), 50, 4, exact=True, skip_self=True, per="unit")
+    return rounded(run.select("qid", "unit_id", "score", "rank"), "score")
+
+
+PAIRS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, {PAIRS} AS s FROM embeddings a, embeddings b WHERE b.vec_id < a.vec_id), t AS (SELECT unnest([0.3, 0.5, 0.9]) AS threshold)
+SELECT threshold::DOUBLE AS threshold, vec_id, coalesce(m >= threshold, false) AS is_dup FROM t, embeddings LEFT JOIN (SELECT x, max(s) AS m FROM p GROUP BY x) ON x = vec_id""")
+def near_dup_within_pruned(spark, sf):
+    e = read(spark, sf, "embeddings")
+    each = [vector_index.near_dup_within(e, t).select(F.lit(t).alias("threshold"), "vec_id", "is_dup") for t in (0.3, 0.5, 0.9)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS x, max({PAIRS}) AS m FROM embeddings a, embeddings b WHERE a.label > 1 AND b.label <= 1 GROUP BY 1), t AS (SELECT unnest([0.3, 0.5]) AS threshold)
+SELECT threshold::DOUBLE AS threshold, vec_id, coalesce(m >= threshold, false) AS is_dup FROM t, embeddings LEFT JOIN p ON x = vec_id WHERE label > 1""")
+def near_dup_against_pruned(spark, sf):
+    e = read(spark, sf, "embeddings")
+    each = [vector_index.near_dup_against(e.where("label > 1"), e.where("label <= 1"), t).select(F.lit(t).alias("threshold"), "vec_id", "is_dup") for t in (0.3, 0.5)]
+    return each[0].unionByName(each[1])
+
+
 NORM = "array_to_string([replace(lower(x), 'ё', 'е') for x in regexp_extract_all(coalesce({}, ''), '(?i)" + TOKEN + "')], ' ')"
 TOKS = "[replace(lower(x), 'ё', 'е') for x in regexp_extract_all(coalesce({}, ''), '(?i)" + TOKEN + "')]"
 
