@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, pages, ranking, reports, resampling, similarity, splits, training, vector_index
+from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, pages, postings, ranking, reports, resampling, similarity, splits, training, vector_index
 from lodestone.sources import tables
 
 Q: dict = {}
@@ -553,6 +553,14 @@ def bm25_topk(spark, sf):
     return rounded(scored, "score")
 
 
+@query(BM25 + " SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20")
+def bm25_postings_topk(spark, sf):
+    """The same ranking from block-max postings."""
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    index = postings.build(read(spark, sf, "documents"), unit="doc_id", token=TOKEN)
+    return rounded(postings.search(q, index, 20), "score")
+
+
 STEMS = "[substr(w, 1, 4) for w in " + TOKS + "]"
 
 
