@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.joins import matched
 from lodestone.functions.text import let
+from lodestone.llm.common import written
 
 HEAD, CLOSE, END = "<|role:", "|>\n", "<|end|>\n"
 
@@ -83,8 +85,10 @@ def expanded(convs: DataFrame) -> DataFrame:
 def read_back(convs: DataFrame) -> DataFrame:
     """The rows with ``turns``, an array of (role, text) parsed from what was formatted, and ``loss``.
 
-    ``loss`` is all text under the loss masks of the conversation's examples, unescaped, in turn order.
+    ``loss`` is all text under the loss masks of the conversation's expanded examples, unescaped,
+    in turn order; of an example only that text leaves its row. Written once, since both are read from it.
     """
+    convs = written(convs, "formatted")
 
     def turn(part: Column) -> Column:
         def fields(x: Column) -> Column:
@@ -97,8 +101,7 @@ def read_back(convs: DataFrame) -> DataFrame:
     parts = F.split("formatted", r"<\|end\|>\n", -1)
     turns = let(parts, lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), turn))
 
-    def reply(x: Column) -> Column:
-        example = F.substring(F.col("formatted"), F.lit(1), x["start"] + x["length"] - 1 + len(END))
-        return unescaped(F.substring(example, x["start"], x["length"]))
-
-    return convs.select("*", turns.alias("turns"), F.array_join(F.transform("targets", reply), "").alias("loss"))
+    said = unescaped(F.substring(F.col("text"), F.col("loss_start"), F.col("loss_length")))
+    replies = expanded(convs).select("conv_id", F.struct("target", said.alias("said")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    rows = matched(convs.select("*", turns.alias("turns")), replies, ["conv_id"], "left")
+    return rows.withColumn("loss", F.coalesce(F.array_join("x.said", ""), F.lit(""))).drop("x")

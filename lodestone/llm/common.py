@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 #: Rows and bytes of one Arrow batch. Texts can be long, so both are kept small.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 _LOCAL: dict[str, str] = {}
+_APART = itertools.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,13 @@ def dropped(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def apart(df: DataFrame, *used: str):
+    """The table with its further columns under names that no operator uses, and a function that gives their names back."""
+    k = next(_APART)  # an operator may call another one
+    names = {c: f"further {k} {i}" for i, c in enumerate(df.columns) if c not in used}
+    return df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: long texts come in small Arrow batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:

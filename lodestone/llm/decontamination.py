@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let
-from lodestone.llm.common import written
+from lodestone.llm.common import apart, written
 
 N = 10
 #: Up to so many distinct test windows are broadcast (about 25 MB); more are joined by shuffling.
@@ -122,10 +122,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, how: str = "documents"
     cuts the hit words, with what lies between two of them, out of their texts. Null and
     empty texts stay as they are; repeated rows are treated alike.
     """
+    docs, back = apart(docs, id_col, text_col)
     marks = scan(docs, benchmark, id_col, text_col, n).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__hash"])
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
     if how == "documents":
-        return docs.join(marks, same, "left_anti")
+        return back(docs.join(marks, same, "left_anti"))
     gaps = F.split(F.col(text_col), _WORD)
 
     def kept(w: Column) -> Column:
@@ -141,4 +142,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, how: str = "documents"
 
     joined = docs.join(marks, same, "left").withColumn("__gaps", F.when(F.col("__hits").isNotNull(), gaps))
     text = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(let(words(F.col(text_col)), kept))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    return back(joined.withColumn(text_col, text).select(*docs.columns))

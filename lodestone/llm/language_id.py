@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches
+from lodestone.llm.common import apart, small_batches
 
 BITS, DIM, ORDERS = 14, 16, (2, 3, 4)
-#: Bound of the training sample: rows per label, for training and for calibration each.
-PER_LANGUAGE = 400
-#: Most labels, and most kinds of subwords that a sampled text sends to the driver (its most frequent ones).
-LABELS, KINDS = 400, 4096
+#: Bound of the training sample: rows per label, for training and for calibration each, and rows of all labels
+#: (beyond ``ROWS / PER_LANGUAGE`` labels each has fewer, at least one). A row takes at most 98 KB of the driver's
+#: memory, whatever the text's length, since there are ``2 ** BITS`` buckets.
+PER_LANGUAGE, ROWS = 400, 6400
 #: Calibrated probability of the label below which a text is rejected in any case.
 LEAST = 0.5
 UNDETERMINED = "und"
@@ -146,12 +146,13 @@ def calibrate(model: Model, rows: list[tuple], target_error: float = 0.05, least
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, part: str, per_language: int) -> list[tuple]:
-    """At most ``per_language`` rows of each of the ``LABELS`` most frequent labels, in a hash order of their ids, as bucket counts."""
+    """At most ``per_language`` rows of each label, and ``ROWS`` in all, in a hash order of their ids, as bucket counts."""
     few = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.xxhash64(F.lit(part), F.col(id_col)).alias("o"))
     # a bound on the hash order, from counts, leaves about four times the rows wanted of each label; the window sees no more
-    counts = few.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(LABELS)
+    counts = few.groupBy("y").agg(F.count("*").alias("n"))
+    per_language = max(1, min(per_language, ROWS // max(1, counts.count())))
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
-    few = few.join(F.broadcast(counts), "y").where(F.col("o").cast("double") <= F.lit(-9.223372036854775e18) + share * F.lit(1.8446744073709552e19))
+    few = few.join(counts, "y").where(F.col("o").cast("double") <= F.lit(-9.223372036854775e18) + share * F.lit(1.8446744073709552e19))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("o", "i"))).where(F.col("r") <= per_language)
     ids = few.select(F.col("i").alias("__i"))
     texts = docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(ids["__i"]), "left_semi").select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
@@ -164,9 +165,6 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, part: s
                 # the whole text, and a few of its words, so that short texts are known too
                 for whole, part in ((True, t), (False, " ".join(words[len(words) // 2 :][:8]))):
                     kinds, counts = np.unique(buckets(part), return_counts=True)
-                    if len(kinds) > KINDS:
-                        most = np.sort(np.argsort(-counts, kind="stable")[:KINDS])
-                        kinds, counts = kinds[most], counts[most]
                     if len(kinds):
                         out.append((y, kinds.astype("<u2").tobytes(), counts.astype("<f4").tobytes(), whole))
             yield pd.DataFrame(out, columns=["y", "k", "c", "w"])
@@ -183,7 +181,9 @@ def train(labelled: DataFrame, calibration: DataFrame, id_col: str = "doc_id", t
     rows = _sample(labelled, id_col, text_col, label_col, "train", per_language)
     if not rows:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
-    return calibrate(fit(rows), _sample(calibration, id_col, text_col, label_col, "calibrate", per_language))
+    model = fit(rows)
+    rows.clear()  # the driver holds one sample at a time
+    return calibrate(model, _sample(calibration, id_col, text_col, label_col, "calibrate", per_language))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -204,8 +204,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         return pd.DataFrame([(c, s, c == UNDETERMINED or s < m.threshold) for c, s in rows], columns=["lang_pred", "score", "rejected"])
 
     names = ["lang_pred", "score", "rejected"]
-    out = docs.drop(*[c for c in names if c in docs.columns]).withColumn("__p", predicted(F.col(text_col)))
-    return out.select(*[c for c in out.columns if c != "__p"], "__p.*")
+    rows, back = apart(docs.drop(*names), text_col)
+    return back(rows.withColumn("__p", predicted(F.col(text_col))).select(*rows.columns, "__p.*"))
 
 
 def risk(identified: DataFrame, label_col: str = "lang", thresholds: tuple[float, ...] = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:

@@ -1,11 +1,12 @@
 """Line deduplication by pairwise alignment of documents.
 
-A single line may stand in a third of all documents, so the lines' hashes are taken where they
-are rare: from each line on, and back from each line, the shortest run of neighbouring lines
-(blank ones don't count) that has ``min_words`` words is hashed; a long line is a run by itself.
-Documents that share such a hash overlap. For each hash the first document that holds it is
-the partner of every later one, so a run of any frequency gives as many rows as it has
-occurrences, and none needs a cap.
+Lines are hashed, and the places of each hash in all documents are counted. A line of
+fewer than ``min_words`` words is hashed with its neighbours: from each line on, and back from
+each line, the shortest run (blank lines don't count) that has as many words. Documents overlap
+where they share such a hash. A rare one, of at most ``RARE`` places, proposes each of its
+pairs of documents. A more frequent one may stand in a third of all documents: it proposes the
+pairs of its first holder with every later one, as many rows as it has occurrences, and so needs
+no cap.
 
 Within a pair the shared runs are joined to blocks, maximal in both documents, and patience
 diff aligns them: blocks that overlap no other one in either document are anchors, their
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WHITESPACE, dropped, small_batches, written
+from lodestone.llm.common import WHITESPACE, apart, dropped, small_batches, written
 
-#: Words of a block below which it stays: a shared heading or phrase is no copied passage.
-MIN_WORDS = 40
+#: Words of a block below which it stays, such as a shared heading.
+MIN_WORDS = 5
+#: Places of a run up to which each pair of the documents that hold it is aligned.
+RARE = 4
 #: A run's hash in two parts, its document, and its place and length in lines that aren't blank.
 KEY = "h1 long, h2 int, doc_id long, text_hash long, at int, n int"
 SPANS = "array<struct<at:int,n:int,moved:boolean>>"
@@ -158,11 +161,17 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(text_col).alias("th"), text_col)
     runs = written(texts.mapInArrow(keyed, KEY), "runs")
     doc = F.struct("doc_id", "text_hash")
-    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.max(doc).alias("last"))
-    first = first.select("h1", "h2", F.struct("first.doc_id", "first.text_hash").alias("lead"), F.col("first.at").alias("lead_at"), "last").where(F.col("lead") != F.col("last"))
+    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.max(doc).alias("last"), F.count("*").alias("places"))
+    first = first.select("h1", "h2", F.struct("first.doc_id", "first.text_hash").alias("lead"), F.col("first.at").alias("lead_at"), "last", "places").where(F.col("lead") != F.col("last"))
     # as a table of its own the join's sides are plain exchanges, and a hot run's partition can be split
     first = written(first.drop("last"), "first-runs")
-    shared = runs.join(first, ["h1", "h2"]).where(doc != F.col("lead"))
+    met = written(runs.join(first, ["h1", "h2"]), "shared-runs")
+    shared = met.where(doc != F.col("lead")).select("doc_id", "text_hash", "at", "n", "lead", "lead_at")
+    # rare runs meet their other holders too, at the first place there
+    rare = met.where(F.col("places") <= RARE)
+    earlier = rare.where(doc != F.col("lead")).groupBy("h1", "h2", doc.alias("by")).agg(F.min("at").alias("by_at"))
+    others = rare.join(earlier, ["h1", "h2"]).where(F.col("by") < doc).select("doc_id", "text_hash", "at", "n", F.col("by").alias("lead"), F.col("by_at").alias("lead_at"))
+    shared = shared.unionByName(others)
     pairs = shared.groupBy("doc_id", "text_hash", "lead").agg(F.collect_set(F.struct("at", "lead_at", "n")).alias("x"))
 
     @F.pandas_udf(SPANS)
@@ -175,8 +184,8 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
     found = pairs.select("doc_id", "text_hash", spans("x.at", "x.lead_at", "x.n").alias("s"))
     out = written(found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("s")).alias("spans")), "aligned")
-    dropped(runs)
-    dropped(first)
+    for done in (runs, first, met):
+        dropped(done)
     return out
 
 
@@ -192,6 +201,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     rows give no rows.
     """
     counts = ["n_removed_lines", "n_removed_words", "n_moved_lines"]
+    docs, back = apart(docs.drop(*counts), id_col, text_col)
     marks = aligned(docs, id_col, text_col, min_words)
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("spans.at").alias("__at"), F.col("spans.n").alias("__n"), F.col("spans.moved").alias("__m"))
     same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th"))
@@ -206,5 +216,4 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     # texts of documents that share nothing don't go to Python
     c = cut(F.when(F.col("__at").isNotNull(), F.col(text_col)), F.col("__at"), F.col("__n"), F.col("__m"))
     out = joined.withColumn("__c", c).withColumn(text_col, F.coalesce(F.col("__c.text"), F.col(text_col)))
-    names = [x for x in docs.columns if x not in counts]
-    return out.select(*names, *[F.col(f"__c.{x}").alias(y) for x, y in zip(("lines", "words", "moved"), counts, strict=True)])
+    return back(out.select(*docs.columns, *[F.col(f"__c.{x}").alias(y) for x, y in zip(("lines", "words", "moved"), counts, strict=True)]))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import dropped, small_batches, written
+from lodestone.llm.common import apart, dropped, small_batches, written
 
 #: A pair of similarity 0.8 is missed by all bands with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -377,9 +377,10 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     document of its own, one row of each group is left, and of rows that repeat both id and text
     one. Where ids are unique and none is null both give the same.
     """
+    docs, back = apart(docs, id_col, text_col)
     if by_row:
         ids = docs.groupBy(id_col).agg(F.count("*").alias("n"))
         if not ids.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
-            return deduplicated(keyed_rows(docs, id_col, text_col), k, percent, "__row", text_col).drop("__row")
+            return back(deduplicated(keyed_rows(docs, id_col, text_col), k, percent, "__row", text_col).drop("__row"))
     gone = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left_anti")
+    return back(docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left_anti"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let
-from lodestone.llm.common import dropped, written
+from lodestone.llm.common import apart, dropped, written
 from lodestone.llm.names import GIVEN_F, GIVEN_M, TITLES, TITLES_F, TITLES_M
 
 # Syllables of surrogate names by script.
@@ -311,7 +311,7 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     rows give no rows. ``key`` keys the hash: who lacks it can't tell a surrogate's entity by
     hashing candidates. Secrets of symbols only (masked ones) aren't entities.
     """
-    docs = docs.drop("n_entities")
+    docs, back = apart(docs.drop("n_entities"), text_col)
     found = F.coalesce(F.col(text_col).rlike(GATE) & F.col(text_col).rlike(PATTERN), F.lit(False))
     clean = docs.where(~found).withColumn("n_entities", F.lit(0).cast("long"))
     held = docs.where(found).withColumn("__x", pieces(F.col(text_col)))
@@ -328,4 +328,4 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     lists = every.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda p: p["s"]).alias("__s"))
     text = F.array_join(F.zip_with("__x", "__s", lambda x, s: F.concat(x["lead"], s)), "")
     changed = held.join(lists, "__row").withColumn(text_col, text).withColumn("n_entities", F.size(F.filter("__x", lambda x: x["kind"].isNotNull())).cast("long"))
-    return clean.unionByName(changed.select(*clean.columns))
+    return back(clean.unionByName(changed.select(*clean.columns)))

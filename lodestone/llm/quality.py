@@ -15,7 +15,6 @@ than a quarter of a language's texts of a length are junk of one kind.
 from __future__ import annotations
 
 import math
-import re
 from array import array
 from functools import reduce
 
@@ -23,8 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WHITESPACE, small_batches
-from lodestone.llm.tokens import PieceCache, ranked
+from lodestone.llm.common import apart, WHITESPACE, small_batches
+from lodestone.llm.tokens import PieceCache, ranked_count
 
 #: script or language: least and most characters per token, most byte-fallback share, least and most token entropy in
 #: bits for texts of at least MIN_TOKENS tokens. Entropy is over the text's token ids. ``none`` is text without letters.
@@ -111,14 +110,6 @@ class _Fertility:
         return n, float(fallback / n), float(math.log2(n) - (c * np.log2(c)).sum() / n)
 
 
-def ranks_count(text: str, name: str, part: int = 25_000, space: int = 50_000) -> int:
-    """Tokens of a text in a rank file; texts with very long runs of white space, which the library can't hold, in parts."""
-    ranks = ranked(name)
-    if len(text) >= space and re.search(rf"\s{{{space}}}", text):
-        return sum(len(ranks.encode_ordinary(text[i : i + part])) for i in range(0, len(text), part))
-    return len(ranks.encode_ordinary(text))
-
-
 def fertility(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """Add the base counts and the fertility measures of each whole text in one pass.
 
@@ -137,14 +128,14 @@ def fertility(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_b
         rows = []
         for t in texts:
             t = t or ""
-            base, (n, share, bits), m = base_counts(t), _CACHES[tokenizer].of(t), ranks_count(t, ranks)
+            base, (n, share, bits), m = base_counts(t), _CACHES[tokenizer].of(t), ranked_count(t, ranks)
             rows.append((*base, n, len(t) / n if n else 0.0, len(t) / m if m else 0.0, share, bits, script_of(t)))
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pd.DataFrame(rows, columns=names)
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    out = docs.drop(*[c for c in names if c in docs.columns]).withColumn("__m", measured(F.col(text_col)))
-    return out.select(*[c for c in out.columns if c != "__m"], "__m.*")
+    rows, back = apart(docs.drop(*names), text_col)
+    return back(rows.withColumn("__m", measured(F.col(text_col))).select(*rows.columns, "__m.*"))
 
 
 def _failed(min_words: int, repeat_percent: int) -> Column:

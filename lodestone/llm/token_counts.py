@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup: no pre-token is ever shuffled.
 
-Tier one is a table of the lengths of frequent pre-tokens, broadcast to all workers; its
-size is bounded by ``table_entries``. Tier two is each worker's own cache of what it has
+Tier one is a table of the lengths of the pre-tokens that are frequent in a bounded sample of
+rows, broadcast to all workers; its size is bounded by ``TABLE_ENTRIES``. Tier two is each worker's own cache of what it has
 encoded since. Counts are the library's own on every text (see :mod:`.tokens`).
 """
 
@@ -18,34 +18,32 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import small_batches
 from lodestone.llm.tokens import PieceCache
 
-#: Entries of the table, and pre-tokens that a task counts at a time.
-TABLE_ENTRIES, TASK_ENTRIES = 20_000, 200_000
+#: Entries of the table; rows that it is counted on, and pre-tokens of each of these.
+TABLE_ENTRIES, SAMPLE_ROWS, EACH = 20_000, 4096, 128
 _CACHES: dict = {}
 
 
-def frequent_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", entries: int = TABLE_ENTRIES) -> dict[str, int]:
-    """Token lengths of the most frequent pre-tokens of all texts.
+def frequent_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", entries: int = TABLE_ENTRIES, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
+    """Token lengths of the most frequent pre-tokens in a sample of about ``sample_rows`` rows of the whole table.
 
-    Each task counts in a table of at most ``TASK_ENTRIES``, which loses its rarer half when it
-    is full, and gives its ``entries`` most frequent ones; these are added up. Any table gives
-    the same token counts; this one only saves encoding.
+    Tasks send the most frequent pre-tokens of each sampled text, at most ``EACH``, straight to
+    the driver, which adds them up: none is shuffled, and the driver gets ``sample_rows * EACH``
+    rows at most. Any table gives the same token counts; this one only saves encoding.
     """
     small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                met.update(p for p in t.split(" ") if 0 < len(p) <= 16)
-                if len(met) > TASK_ENTRIES:
-                    met = Counter(dict(met.most_common(TASK_ENTRIES // 2)))
-        most = met.most_common(entries)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["p", "n"])
-
-    parts = docs.select(F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(counted, "p string, n long")
-    most = parts.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(entries).collect()
+            most = [x for t in b.column(0).to_pylist() for x in Counter(p for p in t.split(" ") if 0 < len(p) <= 16).most_common(EACH)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["p", "n"])
+
+    some = docs.select(F.col(text_col)).where(F.col(text_col).isNotNull())
+    share = sample_rows / max(1, docs.count())
+    met: Counter = Counter()
+    for p, n in (some if share >= 1 else some.sample(share, seed=7)).mapInArrow(counted, "p string, n long").collect():
+        met[p] += n
     cache = PieceCache(tokenizer, len)
-    return {r.p: cache[r.p] for r in most if PieceCache.MARK not in r.p}
+    return {p: cache[p] for p, _ in sorted(met.items(), key=lambda x: (-x[1], x[0]))[:entries] if PieceCache.MARK not in p}
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str = "piece_bpe_32k.model", table: dict[str, int] | None = None, out: str = "n_tokens") -> DataFrame:

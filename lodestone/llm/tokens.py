@@ -48,6 +48,27 @@ def sentencepiece(name: str):
     return _LIBRARIES[name]
 
 
+#: White space characters in a row from which on ``tiktoken`` runs out of stack.
+LONG_SPACE = 50_000
+_LONG = re.compile(rf"\s{{{LONG_SPACE},}}")
+
+
+def ranked_count(text: str, name: str) -> int:
+    """Tokens of a text in a rank file, whatever its white space.
+
+    The pattern of pre-tokens takes a run of white space without its last character, which
+    belongs to what follows, as one pre-token; at the text's end the whole run. Such a run is
+    encoded as the one piece that it is, and what stands before and after by the pattern.
+    """
+    ranks, n, at = ranked(name), 0, 0
+    for m in _LONG.finditer(text) if len(text) >= LONG_SPACE else ():
+        stop = m.end() - (m.end() < len(text))
+        # the character that the run before this one has left may be white space too
+        n += len(ranks.encode_ordinary(text[at : m.start()])) + len(ranks._encode_single_piece(text[m.start() : stop]))
+        at = stop
+    return n + len(ranks.encode_ordinary(text[at:]))
+
+
 class Unsafe(Exception):
     """A part at which the text can't be cut."""
 
@@ -90,15 +111,13 @@ class ByteLevelIds:
     white space characters, at which ``tiktoken`` runs out of stack.
     """
 
-    LONG_SPACE = 50_000
-
     def __init__(self, name: str):
         self.library, self.ranks = tokenizer(f"{name}.json"), ranked(f"{name}.tiktoken")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.spaces = re.compile(rf"\s{{{self.LONG_SPACE}}}")
+        self.spaces = _LONG
 
     def ids(self, text: str) -> list[int]:
-        if any(a in text for a in self.added) or (len(text) >= self.LONG_SPACE and self.spaces.search(text)):
+        if any(a in text for a in self.added) or (len(text) >= LONG_SPACE and self.spaces.search(text)):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.ranks.encode_ordinary(text)
 

@@ -25,7 +25,7 @@ from lodestone.llm.common import shared_dir, small_batches
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.1"
 #: Payloads below this are never revisits.
 LEAST_BYTES = 100
-ROTATE_BYTES, RANGE_BYTES, BLOCK = 256 << 20, 32 << 20, 1 << 20
+ROTATE_BYTES, RANGE_BYTES, BLOCK = 256 << 20, 32 << 20, 256 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:lodestone:page:"
 #: Most tasks of a reading stage; beyond, a task reads several ranges.
@@ -117,15 +117,42 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return listed.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
 
-def _member(source, size: int, at: int) -> tuple[bytes, int] | None:
+class Moving:
+    """The bytes of an open file from an offset on, read once from front to end; what lies behind is dropped."""
+
+    def __init__(self, source, size: int, at: int):
+        self.source, self.size, self.base, self.held = source, size, at, bytearray()
+        source.seek(at)
+
+    def more(self) -> bool:
+        raw = self.source.read(min(BLOCK, self.size - self.base - len(self.held)))
+        self.held += raw
+        return bool(raw)
+
+    def find(self, what: bytes, at: int) -> int:
+        """The first place of ``what`` from an offset on, in what is held; -1 if it isn't there."""
+        found = self.held.find(what, at - self.base)
+        return found if found < 0 else found + self.base
+
+    def drop(self, at: int) -> None:
+        del self.held[: at - self.base]
+        self.base = at
+
+    def piece(self, at: int, n: int) -> bytes:
+        """Some of the bytes at an offset, at most ``n``; none at the file's end."""
+        if at - self.base >= len(self.held):
+            self.more()
+        return bytes(self.held[at - self.base : at - self.base + n])
+
+
+def _member(moving: Moving, at: int) -> tuple[bytes, int] | None:
     """The decoded member at an offset and the offset after it; None if there is no record."""
-    d, out, checked = zlib.decompressobj(31), bytearray(), False
-    source.seek(at)
+    d, out, checked, n = zlib.decompressobj(31), bytearray(), False, 4096
     while not d.eof:
-        raw = source.read(BLOCK)
+        raw = moving.piece(at, n)
         if not raw:
             return None
-        at += len(raw)
+        at, n = at + len(raw), min(2 * n, 1 << 16)
         try:
             out += d.decompress(raw)
         except zlib.error:
@@ -156,27 +183,29 @@ def parsed(raw: bytes) -> dict | None:
 
 
 def records_in(source, size: int, start: int, end: int) -> Iterator[tuple[int, dict]]:
-    """The records that start inside [start, end) of an open file, with their offsets."""
-    at = start
+    """The records that start inside [start, end) of an open file, with their offsets.
+
+    The file is read once, from ``start`` to where the last of these records ends, and at most a
+    block beyond; a candidate that is no record is looked through again in memory.
+    """
+    moving, at = Moving(source, size, start), start
     while at < end:
-        # look for the magic from ``at``; a magic may lie across two blocks
-        source.seek(at)
-        buf = source.read(min(BLOCK, end + len(MAGIC) - 1 - at))
-        if len(buf) < len(MAGIC):
-            return
-        found, jumped = buf.find(MAGIC), False
-        while found >= 0:
-            if at + found >= end:
+        found = moving.find(MAGIC, at)
+        if found < 0:
+            # a magic may lie across two blocks
+            at = max(at, moving.base + len(moving.held) - len(MAGIC) + 1)
+            moving.drop(at)
+            if at >= end or not moving.more():
                 return
-            member = _member(source, size, at + found)
-            record = member and parsed(member[0])
-            if record:
-                yield at + found, record | {"length": member[1] - at - found}
-                at, jumped = member[1], True
-                break
-            found = buf.find(MAGIC, found + 1)
-        if not jumped:
-            at += len(buf) - len(MAGIC) + 1
+            continue
+        if found >= end:
+            return
+        member = _member(moving, found)
+        record = member and parsed(member[0])
+        if record:
+            yield found, record | {"length": member[1] - found}
+        at = member[1] if record else found + 1
+        moving.drop(at)
 
 
 def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:

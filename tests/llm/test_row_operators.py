@@ -280,6 +280,19 @@ def test_quality_of_long_white_space(spark):
     assert r.n_words == 2 and r.chars_per_token_b > 1
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \t"])
+def test_counts_of_long_white_space_are_those_of_the_library(space, monkeypatch):
+    from lodestone.llm import tokens
+
+    name = "byte_bpe_multi_50k.tiktoken"
+    monkeypatch.setattr(tokens, "_LONG", re.compile(r"\s{50,}"))
+    for text in ("a{0}b", "{0}", "{0}b", "a{0}", "a{0}b{0}\u00a0{0}'s 1{0}.", "x {0}y"):
+        t = text.format((space * 100)[:100]) + "z" * tokens.LONG_SPACE
+        assert tokens.ranked_count(t, name) == len(tokens.ranked(name).encode_ordinary(t))
+        t = "z" * tokens.LONG_SPACE + text.format((space * 100)[:100])
+        assert tokens.ranked_count(t, name) == len(tokens.ranked(name).encode_ordinary(t))
+
+
 def test_quality_query_rejects_labelled_junk(spark):
     sf = "/root/testdata/sf0.01"
     good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

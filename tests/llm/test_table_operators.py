@@ -254,6 +254,29 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, warc.write(page_rows(spark).limit(0))).count() == 0
 
 
+def test_warc_reader_reads_each_byte_about_once():
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            self.n += len(out)
+            return out
+
+    rng = random.Random(4)
+    html = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 4000))) for _ in range(400)]
+    made = [warc.record(i, "u", x, hashlib.sha256(x).hexdigest(), None, False, "2024-01-01T00:00:00Z") for i, x in enumerate(html)]
+    raw = b"".join(x + (warc.MAGIC + b"junk" if i % 9 == 0 else b"") for i, x in enumerate(made))
+    for step in (len(raw), 3 * warc.BLOCK, 100_000):
+        n, got = 0, []
+        for start in range(0, len(raw), step):
+            source = Counted(raw)
+            got += [r["payload"] for _, r in warc.records_in(source, len(raw), start, min(len(raw), start + step))]
+            n += source.n
+        assert got == html
+        assert n <= (1.1 * len(raw) if step == len(raw) else len(raw) + (len(raw) // step + 1) * (warc.BLOCK + 8000))
+
+
 def test_warc_reader_skips_false_magic_and_lists_files(spark, tmp_path):
     date = "2020-01-01T00:00:00Z"
     junk = b"\x1f\x8b\x08" + b"\0" * 40 + gzip.compress(b"not a record") + b"\x1f\x8b\x08"
@@ -340,7 +363,7 @@ def test_lines_that_are_no_passage_of_one_document_stay(spark):
     a, b = (" ".join(f"{x}{j}" for j in range(22)) for x in "ab")
     far = "\n".join([a, *[f"line {i}" for i in range(50)], b])
     rows = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, far), (5, f"{a}\n\n{b}"), (6, f"{a}\n{b}\nown")]
-    got = {r.doc_id: (r.text, r.n_removed_lines, r.n_moved_lines) for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed_lines, r.n_moved_lines) for r in line_dedup.deduplicated(docs(spark, rows), 40).collect()}
     # no earlier document holds both lines as neighbours before the third does
     assert got == {1: (a, 0, 0), 2: (b, 0, 0), 3: (f"{a}\n{b}", 0, 0), 4: (far, 0, 0), 5: ("", 2, 0), 6: ("own", 2, 0)}
 
@@ -353,7 +376,7 @@ def test_line_dedup_deletes_blocks_from_the_later_document(spark):
     moved = "\n".join(["third", passage[2], "between", passage[0], "x"])
     rows = [(1, first), (2, second), (3, moved), (4, None), (5, ""), (6, head), (7, first), (7, first), (None, "only null id")]
     got = {}
-    for r in line_dedup.deduplicated(docs(spark, rows)).collect():
+    for r in line_dedup.deduplicated(docs(spark, rows), 40).collect():
         got.setdefault(r.doc_id, []).append((r.text, r.n_removed_lines))
     assert got[1] == [(first, 0)]
     assert got[2] == [("\n".join([head, "other intro", "", "other end"]), 3)]
@@ -383,6 +406,20 @@ def test_line_dedup_leaves_lines_of_no_other_document(spark):
     assert changed
 
 
+def test_line_dedup_recall_over_documents(spark):
+    """Of the lines of five words or more that an earlier document holds, hardly one is left."""
+    held = lambda t: {x.strip() for x in (t or "").split("\n") if len(x.split()) >= 5}
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    left = {r.doc_id: r.text for r in registry.op9_line_dedup(spark, "/root/testdata/sf0.01").collect()}
+    first = {}
+    for d in sorted(rows):
+        for x in held(rows[d]):
+            first.setdefault(x, d)
+    before = {(d, x) for d in rows for x in held(rows[d]) if first[x] < d}
+    after = {(d, x) for d, x in before if x in held(left[d])}
+    assert len(before) > 1000 and len(after) <= 0.1 * len(before)
+
+
 def surviving(rows, after, min_words):
     """Runs of lines of enough words that an earlier text holds and that still stand in a later one's result."""
     own = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in rows}
@@ -397,10 +434,15 @@ def passage(name, n_lines=3, n_words=20):
     return [" ".join(f"{name}{i}w{j}" for j in range(n_words)) for i in range(n_lines)]
 
 
-def test_passages_in_another_order_than_the_first_holder(spark):
+def test_passages_in_another_order_than_the_first_holder(spark, monkeypatch):
     p, q = passage("p"), passage("q")
     rows = [(1, "\n".join([*p, "between one", *q])), (2, "\n".join(["two", *q])), (3, "\n".join([*q, "own three", *p]))]
     got = {r.doc_id: (r.text, r.n_moved_lines) for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
+    # the passage is aligned in order with its other holder
+    assert got == {1: (rows[0][1], 0), 2: ("two", 0), 3: ("own three", 0)}
+    # and is a moved one where each run has one partner
+    monkeypatch.setattr(line_dedup, "RARE", 1)
+    got = {r.doc_id: (r.text, r.n_moved_lines) for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("two", 0), 3: ("own three", 3)}
 
 
@@ -572,3 +614,22 @@ def test_pipeline_stages(spark):
         now = spark.read.parquet(path)
     out = cp.run(spark, SMALL)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in now.select("doc_id").collect()}
+
+
+def test_stages_with_inner_names_as_columns(spark):
+    """Further columns of any name come back as they are; so do those of empty tables."""
+    import corpus_pipeline as cp
+
+    names = ["__id", "__th", "__at", "__n", "__m", "__c", "__p", "__x", "__s", "__f", "__row", "__hash", "__hits", "__gaps", "component", "n_removed_lines", "score", "len", "items", "window", "further 0"]
+    few = spark.read.parquet(f"{SMALL}/documents.parquet")
+    wide = few.select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, SMALL)
+        assert out.columns == wide.columns, name
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == {r.doc_id for r in stage(spark, few, SMALL).collect()}, name
+        assert all(r[n] == f"kept {n}" for r in got.values() for n in names), name
+        assert stage(spark, wide.limit(0), SMALL).collect() == []
+    assert cp.packed(spark, wide, SMALL).count() >= wide.count()
+    for f in (lambda d: pii.pseudonymised(d, "k"), lambda d: decontamination.decontaminated(d, few.limit(0).withColumnRenamed("doc_id", "item_id"), "spans")):
+        assert {r["__x"] for r in f(wide).collect()} == {"kept __x"}
