@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, language_id, line_dedup, near_dup, packing
-from lodestone.llm.common import dropped, table, written
+from lodestone.llm.common import apart, dropped, table, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without a letter have no language and go with them. Repeated rows are
     judged alike; rows whose ``lang`` is null teach nothing and are predicted like any other.
     """
-    out = language_id.identify(docs, language_id.train_on(docs)).where(~F.col("rejected"))
-    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    held, back = apart(docs, "doc_id", "text", "lang")
+    out = language_id.identify(held, language_id.train_on(held)).where(~F.col("rejected"))
+    return back(out.withColumn("lang", F.col("lang_pred")).select(*held.columns))
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +31,10 @@ def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     The earlier document is that of the smaller id, null ids first. Rows that repeat id and text
     are one document and lose the same. Texts that had no words before stay as they are.
     """
-    out = line_dedup.deduplicated(docs)
+    held, back = apart(docs, "doc_id", "text", "n_chars")
+    out = line_dedup.deduplicated(held)
     left = out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return back(left.withColumn("n_chars", F.length("text").cast("long")).select(*held.columns))
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
