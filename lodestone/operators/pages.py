@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,52 +31,72 @@ class _Reader(HTMLParser):
     """One pass over a page that gathers the texts of chosen elements.
 
     ``root`` is the class of the div whose ``p`` and ``div.pb-2`` elements are blocks; null
-    takes the whole page. Scripts and styles aren't text.
+    takes the whole page. Scripts and styles aren't text. What is open is counted by tag and by
+    what it means, and of each kind of sink only the last one that was opened takes text, so that a
+    page of any depth takes time in proportion to its length.
     """
 
     def __init__(self, root: str | None):
         super().__init__(convert_charrefs=True)
         self.root, self.open, self.blocks = root, [], []
+        self.tags: Counter = Counter()
+        self.skipped = self.rooted = self.in_crumbs = 0
+        self.sinks: dict[str, list[str]] = {}
         self.h1: list[str] | None = None
         self.crumbs: list[list[str]] = []
         self.found = root is None
 
-    def inside(self, test) -> bool:
-        return any(test(e) for e in self.open)
+    def enter(self, tag: str, root: bool, crumbs: bool, sink: list | None) -> None:
+        if tag in _VOID:
+            return
+        self.open.append((tag, root, crumbs, sink))
+        self.tags[tag] += 1
+        self.rooted += root
+        self.in_crumbs += crumbs
+        self.skipped += tag in _SKIP
+        if sink is not None:
+            self.sinks[tag] = sink
+
+    def leave(self) -> str:
+        tag, root, crumbs, sink = self.open.pop()
+        self.tags[tag] -= 1
+        self.rooted -= root
+        self.in_crumbs -= crumbs
+        self.skipped -= tag in _SKIP
+        if sink is not None and self.sinks.get(tag) is sink:
+            del self.sinks[tag]
+        return tag
 
     def handle_starttag(self, tag, attrs):
         classes = (dict(attrs).get("class") or "").split()
         if tag == "p":  # an open paragraph ends where the next one starts
-            while self.inside(lambda e: e["tag"] == "p"):
-                self.open.pop()
-        item = {"tag": tag, "root": False, "crumbs": "main-center-block-crambs" in classes, "sink": None}
+            while self.tags["p"]:
+                self.leave()
+        root, sink = False, None
         if tag == "div" and self.root and self.root in classes and not self.found:
-            item["root"] = self.found = True
-        elif tag in ("p", "div") and (self.root is None or self.inside(lambda e: e["root"])):
+            root = self.found = True
+        elif tag in ("p", "div") and (self.root is None or self.rooted):
             if tag == "div" and "pb-2" in classes:
                 self.blocks.append(("stop", []))
             elif tag == "p":
-                item["sink"] = []
-                self.blocks.append(("center" if "pCenter" in classes else "right" if "pRight" in classes else "p", item["sink"]))
+                sink = []
+                self.blocks.append(("center" if "pCenter" in classes else "right" if "pRight" in classes else "p", sink))
         if tag == "h1" and self.h1 is None:
-            item["sink"] = self.h1 = []
-        if tag == "a" and self.inside(lambda e: e["crumbs"]):
-            item["sink"] = []
-            self.crumbs.append(item["sink"])
-        if tag not in _VOID:
-            self.open.append(item)
+            sink = self.h1 = []
+        if tag == "a" and self.in_crumbs:
+            sink = []
+            self.crumbs.append(sink)
+        self.enter(tag, root, "main-center-block-crambs" in classes, sink)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                return
+        if self.tags[tag]:
+            while self.leave() != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.inside(lambda e: e["tag"] in _SKIP):
-            for e in self.open:
-                if e["sink"] is not None:
-                    e["sink"].append(data)
+        if not self.skipped:
+            for s in self.sinks.values():
+                s.append(data)
 
 
 def read_page(html: str | None, root: str | None) -> tuple:

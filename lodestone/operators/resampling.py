@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.joins import matched
 from lodestone.functions.lineage import cut
+from lodestone.operators.splits import ranked
 
 #: Values of a shard, and values that a task draws at a time.
 SHARD, DRAWS = 1 << 16, 1 << 22
 RESAMPLES = 10_000
+#: Most values (some tens of MB) that draws meet by broadcast.
+BROADCAST_VALUES = 1 << 20
 
 
 def shard_sums(values: np.ndarray, sizes: list[int], shard: int, resamples: int, seed: int) -> np.ndarray:
@@ -64,15 +67,40 @@ def resampled_means(rows: DataFrame, by: list[str], value: str, key: str = "qid"
     return given.groupBy(*by, "resample").agg((F.sum("sum") / F.first("n")).alias("mean"))
 
 
+def counter_means(rows: DataFrame, by: list[str], value: str, key: str = "qid", resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """The groups' columns, ``resample`` and ``mean``, with draws that any engine can repeat.
+
+    The values of a group of n have places from 0 in the md5 order of ``boot<seed>`` and their
+    key. Draw ``i`` (0 to n - 1) of resample ``r`` takes the place that the first 15 hex digits of
+    md5(``seed|r|i``) name, modulo n. Draws are rows that are made in parallel and meet their
+    values by an equi-join, by broadcast while the values are few; sums are combined in the
+    tasks. Means are rounded to 12 digits, so that the order of a sum doesn't show.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("__key"), F.col(value).cast("double").alias("__v"))
+    placed = cut(ranked(rows, by, "__key", f"boot{seed}").select(*by, (F.col("__r") - 1).alias("__i"), "__v"))
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("__n"))
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / SHARD)))
+    draws = sizes.select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select(*by, "__n", "resample", blocks.alias("__b"))
+    # short rows of much work: a number of tasks that adaptive execution leaves alone
+    draws = draws.repartition(tasks, *by, "resample", "__b")
+    place = F.explode(F.sequence(F.col("__b") * SHARD, F.least((F.col("__b") + 1) * SHARD, F.col("__n")) - 1))
+    draws = draws.select(*by, "__n", "resample", place.alias("__d"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("resample"), F.col("__d"))), 1, 15), 16, 10).cast("long") % F.col("__n")
+    values = F.broadcast(placed) if placed.count() <= BROADCAST_VALUES else placed
+    met = matched(draws.select(*by, "__n", "resample", drawn.alias("__i")), values, [*by, "__i"])
+    return met.groupBy(*by, "resample").agg(F.round(F.sum("__v") / F.first("__n"), 12).alias("mean"))
+
+
 def _bounds(alpha: float) -> list:
     return [F.percentile("mean", F.lit(q)).alias(name) for q, name in ((alpha / 2, "ci_low"), (1 - alpha / 2, "ci_high"))]
 
 
-def mean_ci(rows: DataFrame, by: list[str], value: str, key: str = "qid", resamples: int = RESAMPLES, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def mean_ci(rows: DataFrame, by: list[str], value: str, key: str = "qid", resamples: int = RESAMPLES, seed: int = 0, alpha: float = 0.05, means=resampled_means) -> DataFrame:
     """Number, mean and bootstrap interval of the mean of each group."""
     rows = cut(rows.select(*by, key, value))
     plain = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    limits = resampled_means(rows, by, value, key, resamples, seed).groupBy(*by).agg(*_bounds(alpha))
+    limits = means(rows, by, value, key, resamples, seed).groupBy(*by).agg(*_bounds(alpha))
     return matched(plain, limits, by)
 
 
@@ -88,7 +116,7 @@ def paired(a: DataFrame, b: DataFrame, metric: str, by: str | None = None) -> Da
     return rows.where("group is not null")
 
 
-def compared(a: DataFrame, b: DataFrame, metric: str = "ndcg_10", by: str | None = None, resamples: int = RESAMPLES, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def compared(a: DataFrame, b: DataFrame, metric: str = "ndcg_10", by: str | None = None, resamples: int = RESAMPLES, seed: int = 0, alpha: float = 0.05, means=resampled_means) -> DataFrame:
     """Per group: ``n, mean_a, mean_b, delta``, its interval, the two-sided ``p_value`` and ``resamples``.
 
     The p-value is twice the lesser share of resampled differences on either side of zero,
@@ -98,7 +126,7 @@ def compared(a: DataFrame, b: DataFrame, metric: str = "ndcg_10", by: str | None
     plain = rows.groupBy("group").agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("diff").alias("delta"))
     side = lambda cond: F.count(F.when(cond, 1))
     least = F.least(side(F.col("mean") <= 0), side(F.col("mean") >= 0))
-    tests = resampled_means(rows, ["group"], "diff", "qid", resamples, seed).groupBy("group").agg(
+    tests = means(rows, ["group"], "diff", "qid", resamples, seed).groupBy("group").agg(
         *_bounds(alpha), F.least(F.lit(1.0), 2 * (least + 1) / F.lit(resamples + 1)).alias("p_value"), F.count("*").alias("resamples")
     )
     return matched(plain, tests, ["group"])

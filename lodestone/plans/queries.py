@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, pages, postings, ranking, reports, resampling, similarity, splits, training, vector_index
+from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, ordered, pages, postings, ranking, reports, resampling, similarity, splits, training, vector_index
 from lodestone.sources import tables
 
 Q: dict = {}
@@ -389,9 +389,18 @@ def main_table(spark, sf):
     return rounded(metrics.sliced_table(query_metrics(spark, sf), ["qtype"], "slice", ["s0", "s1"]), *metrics.METRICS, *more)
 
 
-@query()
+BOOT = """, v AS (SELECT "group", x AS v, row_number() OVER (PARTITION BY "group" ORDER BY ('0x' || substr(md5('boot0' || qid::VARCHAR), 1, 8))::BIGINT, qid) - 1 AS i, count(*) OVER (PARTITION BY "group") AS n FROM s0),
+dr AS (SELECT "group", r, ('0x' || substr(md5('0|' || r || '|' || unnest(range(n))), 1, 15))::BIGINT % n AS i FROM (SELECT DISTINCT "group", n FROM v), range(10000) t(r)),
+mn AS (SELECT "group", r, round(sum(v) / any_value(n), 12) AS m FROM dr JOIN v USING ("group", i) GROUP BY 1, 2),
+ci AS (SELECT "group", round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high,
+  round(least(1, 2 * (least(count(*) FILTER (m <= 0), count(*) FILTER (m >= 0)) + 1) / 10001), 6) AS p_value, count(*) AS resamples FROM mn GROUP BY 1)
+"""
+
+
+@query(f"""WITH {VEC}, {RUN_METRIC}, s0 AS (SELECT qtype AS "group", qid, ndcg_10 AS x FROM pq) {BOOT}
+SELECT "group" AS qtype, count(*) AS n, round(avg(x), 6) AS mean, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high FROM s0 JOIN ci USING ("group") GROUP BY 1""")
 def mean_ci(spark, sf):
-    return resampling.mean_ci(query_metrics(spark, sf), ["qtype"], "ndcg_10")
+    return rounded(resampling.mean_ci(query_metrics(spark, sf), ["qtype"], "ndcg_10", means=resampling.counter_means), "mean", "ci_low", "ci_high")
 
 
 @query(f"""WITH {VEC}, {RUN_METRIC} SELECT qtype, count(*) AS n, {MEANS},
@@ -408,16 +417,6 @@ def _both(spark, sf):
     return [metrics.per_query(x, qrels(spark, sf), facets(spark, sf)) for x in (a, b)]
 
 
-@query()
-def paired_bootstrap(spark, sf):
-    return resampling.compared(*_both(spark, sf))
-
-
-@query()
-def compare_by_group(spark, sf):
-    return resampling.compared(*_both(spark, sf), by="slice")
-
-
 def _half_sql():
     one = METRIC.format(by="", run="h1", cross="", using="").replace("h1 r JOIN", "(SELECT * FROM h1 WHERE rank <= 30) r JOIN")
     two = one.replace("h1", "h2")
@@ -426,6 +425,22 @@ def _half_sql():
     return f"WITH {VEC}, {HALVES}, {one}, {two}"
 
 
+_COMPARED = _half_sql() + """, j AS (SELECT pq.qid, pq.slice, pq.ndcg_10 AS a, pq2.ndcg_10 AS b FROM pq JOIN pq2 ON pq.qid = pq2.qid), g AS (SELECT 'all' AS "group", qid, a, b FROM j{more}),
+s0 AS (SELECT "group", qid, a - b AS x FROM g)""" + BOOT + """SELECT "group", count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS delta,
+any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high, any_value(p_value) AS p_value, any_value(resamples) AS resamples FROM g JOIN ci USING ("group") GROUP BY 1"""
+_ALL = ("mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value")
+
+
+@query(_COMPARED.replace("{more}", ""))
+def paired_bootstrap(spark, sf):
+    return rounded(resampling.compared(*_both(spark, sf), means=resampling.counter_means), *_ALL)
+
+
+@query(_COMPARED.replace("{more}", """ UNION ALL SELECT 'slice=' || slice, qid, a, b FROM j"""))
+def compare_by_group(spark, sf):
+    return rounded(resampling.compared(*_both(spark, sf), by="slice", means=resampling.counter_means), *_ALL)
+
+
 @query(_half_sql() + """, j AS (SELECT pq.slice, pq.ndcg_10 AS a, pq2.ndcg_10 AS b FROM pq JOIN pq2 ON pq.qid = pq2.qid), g AS (SELECT 'all' AS "group", a, b FROM j UNION ALL SELECT 'slice=' || slice, a, b FROM j)
 SELECT "group", count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS delta, true AS inside FROM g GROUP BY 1""")
 def compare_means(spark, sf):
@@ -448,6 +463,44 @@ def ema_series(spark, sf):
     return metrics.ema(e, "series", "event_id", "value").select("series", "event_id", F.round("ema", 6).alias("ema"))
 
 
+@query("""WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS i FROM events)
+SELECT 0::BIGINT AS series, a.event_id, round(sum(b.value * pow(0.85, a.i - b.i) * CASE WHEN b.i = 1 THEN 1 ELSE 0.15 END), 6) AS ema
+FROM e a JOIN e b ON b.i BETWEEN a.i - 250 AND a.i GROUP BY a.event_id""")
+def ema_scan(spark, sf):
+    """One series of all events, smoothed in parts; in the SQL terms below 1e-15 are left out."""
+    e = read(spark, sf, "events").withColumn("series", F.lit(0).cast("long"))
+    return ordered.smoothed(e, "series", "event_id", "value", parts=8).select("series", "event_id", F.round("ema", 6).alias("ema"))
+
+
+@query("""SELECT l.event_id, r.event_id AS error_id, r.value AS error_value FROM (SELECT * FROM events WHERE event_type <> 'error') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_last_error(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    out = ordered.asof(e.where("event_type <> 'error'"), e.where("event_type = 'error'"), ["user_id"], "ts", "ts", "event_id")
+    return out.select("event_id", F.col("matched.event_id").alias("error_id"), F.col("matched.value").alias("error_value"))
+
+
+@query("""SELECT l.event_id, r.event_id AS before_id FROM (SELECT * FROM events WHERE event_type <> 'purchase') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.ts >= r.ts""")
+def asof_one_group(spark, sf):
+    """All events are one group, which is cut by time."""
+    e = read(spark, sf, "events").select("event_id", "ts", "event_type")
+    out = ordered.asof(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), [], "ts", "ts", "event_id", parts=8)
+    return out.select("event_id", F.col("matched.event_id").alias("before_id"))
+
+
+_SPAN = "epoch_us(ts) // 1000000 AS {0}, epoch_us(ts) // 1000000 + (value * 600)::BIGINT AS {1}"
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id AS a_id, {_SPAN.format('s', 'e')} FROM events WHERE event_type = 'click'), b AS (SELECT user_id, event_id AS b_id, {_SPAN.format('s', 'e')} FROM events WHERE event_type = 'view')
+SELECT user_id, a_id, b_id FROM a JOIN b USING (user_id) WHERE a.s <= b.e AND b.s <= a.e""")
+def interval_overlaps(spark, sf):
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
+    span = lambda t, i, s, e: read(spark, sf, "events").where(F.col("event_type") == t).select("user_id", F.col("event_id").alias(i), at.alias(s), (at + F.rint(F.col("value") * 600).cast("long")).alias(e))
+    out = ordered.overlaps(span("click", "a_id", "a_s", "a_e"), span("view", "b_id", "b_s", "b_e"), ["user_id"], ("a_s", "a_e"), ("b_s", "b_e"))
+    return out.select("user_id", "a_id", "b_id")
+
+
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(count(*) * 1000.0 / sum(value), 6) AS queries_per_s FROM events GROUP BY event_type""")
 def latency_percentiles(spark, sf):
     return rounded(metrics.latency(read(spark, sf, "events"), ["event_type"], "value"), "p50", "p95", "queries_per_s")
@@ -843,7 +896,7 @@ def fill_missing_negatives(spark, sf):
 def conflict_free_batches(spark, sf):
     neg = F.concat(((F.col("unit_id") * 7) % 40).cast("string"), F.lit("#0"))
     rows = units(spark, sf).select(F.col("unit_id").alias("qid"), training.row_keys(F.col("doc_id").cast("string"), neg).alias("keys"))
-    return training.conflict_free(rows, "keys", 16)
+    return training.dealt_batches(rows, "keys", 16)
 
 
 @query(f"""SELECT doc_id AS key FROM documents ORDER BY {ORDER.format('7')}, doc_id LIMIT 50""")
