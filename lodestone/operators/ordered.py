@@ -66,7 +66,7 @@ def overlaps(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[
 
     def binned(df: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
         start, end = (F.col(c).cast("long") for c in span)
-        rows = df.where((start <= end) & ~F.greatest(*[F.col(c).isNull() for c in by])) if by else df.where(start <= end)
+        rows = df.where(start <= end)
         level = F.lit(levels)
         for k in range(levels - 1, -1, -1):
             level = F.when(end - start < width * factor**k, k).otherwise(level)

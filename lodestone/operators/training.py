@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.lineage import cut
+from lodestone.functions.lineage import cut, stored
 from lodestone.operators.splits import ranked
 
 
@@ -105,7 +105,11 @@ def conflict_free(df: DataFrame, keys: str, size: int, key: str = "qid", seed: i
     return rows.groupBy("shard").applyInPandas(cut, f"{key} {kind}, shard long, batch long, place long")
 
 
-def dealt_batches(df: DataFrame, keys: str, size: int, key: str = "qid", seed: int = 0, shards: int = 1, rounds: int = 24) -> DataFrame:
+#: Round from which on rows may take the place of others.
+EVICT_FROM = 5
+
+
+def dealt_batches(df: DataFrame, keys: str, size: int, key: str = "qid", seed: int = 0, shards: int = 1, rounds: int = 40) -> DataFrame:
     """``key, shard, batch, place``: batches of at most ``size`` rows in which no key occurs twice, found in parallel.
 
     There are as many batches as plain cutting gives. At first the rows of each first key are dealt
@@ -113,13 +117,15 @@ def dealt_batches(df: DataFrame, keys: str, size: int, key: str = "qid", seed: i
     has room (by hash); of proposals that share a key, with each other or with a row that has its
     place, the placed row or else the one first in hash order wins, and a batch takes no more than
     it has room for. So each round adds an independent set of the graph of rows that share keys.
+    Later on, every other round lets rows propose full batches too, which then lose a row by hash:
+    where only batches with a conflict have room, rows change places.
     What has found no place after ``rounds`` fills the room that is left, with conflicts, as when a
     key has more rows than there are batches. Batches go to ``shards`` trainers in turn. No task
     holds more than the proposals of one batch or of one key in it. ``key`` has to be unique.
     """
     name = F.col(key)
     rows = df.select(name.alias("r"), F.coalesce(keys, F.array()).alias("k"), T.hash_order(name, f"deal{seed}").alias("o"))
-    rows = cut(ranked(rows.withColumn("first", F.coalesce(F.get("k", F.lit(0)).cast("string"), name.cast("string"))), ["first"], "r", f"deal{seed}").withColumnRenamed("__r", "at"))
+    rows = stored(ranked(rows.withColumn("first", F.coalesce(F.get("k", F.lit(0)).cast("string"), F.col("r").cast("string"))), ["first"], "r", f"deal{seed}").withColumnRenamed("__r", "at"))
     n = rows.count()
     batches = max(1, -(-n // size))
     order = F.struct("o", "r")
@@ -135,17 +141,22 @@ def dealt_batches(df: DataFrame, keys: str, size: int, key: str = "qid", seed: i
         return left.withColumn("q", F.row_number().over(Window.partitionBy("b").orderBy("o", "r"))).where(F.col("q") <= F.col("room")).select("r", "k", "o", "b")
 
     start = F.pmod(F.xxhash64("first", F.lit(seed)) + F.col("at"), F.lit(batches))
-    placed = cut(accepted(rows.select("r", "k", "o", start.alias("b"), F.lit(size).alias("room")), None))
+    placed = stored(accepted(rows.select("r", "k", "o", start.alias("b"), F.lit(size).alias("room")), None))
     all_ = df.sparkSession.range(batches).select(F.col("id").alias("b"))
     for turn in range(rounds):
-        waiting = cut(rows.join(placed, "r", "left_anti").select("r", "k", "o"))
+        waiting = stored(rows.join(placed, "r", "left_anti").select("r", "k", "o"))
         if waiting.isEmpty():
             break
-        room = all_.join(placed.groupBy("b").agg(F.count("*").alias("n")), "b", "left").select("b", (F.lit(size) - F.coalesce("n", F.lit(0))).alias("room")).where("room > 0")
-        room = cut(ranked(room, [], "b", str(turn)).withColumnRenamed("__r", "slot"))
+        evict = turn >= EVICT_FROM and turn % 2 == 1
+        left = F.lit(size) - F.coalesce("n", F.lit(0))
+        room = all_.join(placed.groupBy("b").agg(F.count("*").alias("n")), "b", "left").select("b", (F.greatest(left, F.lit(1)) if evict else left).alias("room")).where("room > 0")
+        room = stored(ranked(room, [], "b", str(turn)).withColumnRenamed("__r", "slot"))
         free = room.count()
         asked = waiting.withColumn("slot", F.pmod(F.xxhash64("r", F.lit(turn), F.lit(seed)), F.lit(free)) + 1).join(room, "slot").select("r", "k", "o", "b", "room")
-        placed = cut(placed.unionByName(accepted(asked, placed)))
+        now = placed.withColumn("old", F.lit(1)).unionByName(accepted(asked, placed).withColumn("old", F.lit(0)))
+        if evict:
+            now = now.withColumn("q", F.row_number().over(Window.partitionBy("b").orderBy("old", F.xxhash64("r", F.lit(turn)), "r"))).where(F.col("q") <= size)
+        placed = stored(now.select("r", "k", "o", "b"))
     waiting = rows.join(placed, "r", "left_anti")
     room = all_.join(placed.groupBy("b").agg(F.count("*").alias("n")), "b", "left").select("b", F.explode(F.sequence(F.lit(1), F.lit(size) - F.coalesce("n", F.lit(0)).cast("int"))).alias("s")).where("s > 0")
     room = ranked(room.withColumn("x", F.concat_ws("|", "b", "s")), [], "x", "room").select(F.col("__r").alias("slot"), "b")
