@@ -647,28 +647,74 @@ def _headed(spark, sf):
     return d.withColumn("header", T.header(F.upper("lang"), F.col("doc_id").cast("string"), F.col("source"))).withColumn("title", F.col("source"))
 
 
-@query()
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _pieces_sql(source: str, overlap: int) -> str:
+    """``p(doc_id, header, title, pieces)`` of ``source``, which has ``doc_id, header, title, text, size``: the chunker as folds over lists."""
+    return rf"""WITH src AS ({source}),
+para AS (SELECT *, [x FOR x IN [trim(y, {_WS}) FOR y IN string_split(text, chr(10))] IF x <> ''] AS paras FROM src),
+un AS (SELECT *, flatten([CASE WHEN length(p) <= size THEN [p] ELSE flatten([CASE WHEN length(z) <= size THEN [z] ELSE
+  list_reduce([[w] FOR w IN string_split_regex(trim(z, {_WS}), '\s+')], lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= size THEN a[:-2] || [a[-1] || ' ' || x[1]] ELSE a || x END) END
+  FOR z IN string_split(regexp_replace(p, '([.;:!?])\s+', '\1' || chr(1), 'g'), chr(1))]) END FOR p IN paras]) AS us FROM para),
+fo AS (SELECT *, list_reduce([{{'out': []::VARCHAR[], 'cur': [u]}} FOR u IN us], lambda a, x: CASE
+  WHEN length(array_to_string(a.cur, chr(10))) + 1 + length(x.cur[1]) <= size THEN {{'out': a.out, 'cur': a.cur || x.cur}}
+  ELSE {{'out': a.out || [array_to_string(a.cur, chr(10))], 'cur': list_last_fitting(a.cur, x.cur, {overlap}, size)}} END) AS f FROM un WHERE len(us) > 0),
+p AS (SELECT doc_id, header, title, f.out || [array_to_string(f.cur, chr(10))] AS pieces FROM fo UNION ALL SELECT doc_id, header, title, [] FROM un WHERE len(us) = 0)"""
+
+
+def _fitting(sql: str) -> str:
+    """The last units that fit into the overlap, and the next one, if that fits too; else the next one alone."""
+    def use(m: re.Match) -> str:
+        cur, nxt, overlap, size = (x.strip() for x in m[1].split(","))
+        tail = f"{cur}[len({cur}) - k + 1:]"
+        most = f"coalesce(list_max([k FOR k IN range(1, len({cur}) + 1) IF length(array_to_string({tail}, chr(10))) <= {overlap}]), 0)"
+        kept = f"{cur}[len({cur}) - {most} + 1:]"
+        return f"CASE WHEN {most} > 0 AND length(array_to_string({kept}, chr(10))) + 1 + length({nxt}[1]) <= {size} THEN {kept} || {nxt} ELSE {nxt} END"
+
+    return re.sub(r"list_last_fitting\(([^()]*)\)", use, sql)
+
+
+_HEADER = "upper(lang) || ', Статья ' || doc_id || '. ' || source"
+
+
+def _chunks_sql(header: str, size: int, overlap: int) -> str:
+    body = _fitting(_pieces_sql(f"SELECT doc_id, {header} AS header, source AS title, coalesce(text, '') AS text, {size} AS size FROM documents", overlap))
+    return body + """, c AS (SELECT doc_id, header, title, unnest(CASE WHEN len(pieces) > 0 THEN pieces ELSE [header] END) AS body, unnest(range(greatest(len(pieces), 1))) AS position FROM p),
+k AS (SELECT doc_id || '#' || position AS chunk_id, *, header || chr(10) || body AS text FROM c)"""
+
+
+_PARTS = _fitting(_pieces_sql(f"""SELECT doc_id, {_HEADER} AS header, source AS title, coalesce(text, '') AS text,
+greatest(1, ceil(length(coalesce(text, '')) / ceil(length(coalesce(text, '')) / 4000.0)))::BIGINT + 200 AS size FROM documents""", 0))
+
+
+@query(_chunks_sql(_HEADER, 600, 90) + " SELECT chunk_id, doc_id, position, length(body)::BIGINT AS n_chars, md5(text) AS text_md5 FROM k")
 def chunk_documents(spark, sf):
     return chunking.chunks(_headed(spark, sf), F.col("header")).select("chunk_id", "doc_id", "position", F.length("body").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(_chunks_sql(f"substr({_HEADER}, strpos({_HEADER}, ', ') + 2)", 500, 75) + " SELECT chunk_id, doc_id, position, md5(text) AS text_md5 FROM k")
 def chunk_alt_view(spark, sf):
     return chunking.chunks(_headed(spark, sf), T.without_code(F.col("header")), 500, 75).select("chunk_id", "doc_id", "position", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(_PARTS + """, k AS (SELECT d.doc_id, CASE WHEN length(coalesce(text, '')) <= 4000 THEN [coalesce(text, '')] ELSE pieces END AS parts FROM p JOIN documents d ON d.doc_id = p.doc_id)
+SELECT doc_id || '|' || part AS key, doc_id, part, length(body)::BIGINT AS n_chars FROM (SELECT doc_id, unnest(parts) AS body, unnest(range(len(parts))) AS part FROM k)""")
 def article_parts(spark, sf):
     return generation.train_tasks(_headed(spark, sf)).select("key", "doc_id", "part", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+@query(_chunks_sql(_HEADER, 600, 90) + f""" SELECT 'title-' || doc_id AS qid, title AS text, 'title' AS qtype, doc_id, chunk_id AS pos_chunk_id, body AS pos_text FROM k
+WHERE position = 0 AND trim(body, {_WS}) <> '' AND body <> header""")
 def first_chunk_title_pairs(spark, sf):
     h = _headed(spark, sf)
     return chunking.title_pairs(chunking.chunks(h, F.col("header")), h)
 
 
-@query()
+@query(_PARTS + """, k AS (SELECT d.doc_id, p.header, CASE WHEN length(coalesce(text, '')) <= 4000 THEN [coalesce(text, '')] ELSE pieces END AS parts, lang FROM p JOIN documents d ON d.doc_id = p.doc_id),
+t AS (SELECT *, ['everyday', 'search', 'legal'][(row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, doc_id) - 1) % 3 + 1] AS qtype,
+  (42 + ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1000000) % len(parts) AS part FROM k)
+SELECT doc_id::VARCHAR AS key, part, qtype, md5(header || chr(10) || chr(10) || parts[part + 1] || chr(10) || chr(10) || qtype) AS prompt_md5 FROM t""")
 def generation_prompts(spark, sf):
     items = splits.balanced_types(_headed(spark, sf).select("doc_id", "lang"), ["lang"], "doc_id")
     tasks = generation.eval_tasks(items, _headed(spark, sf))
