@@ -837,6 +837,49 @@ def sectionize_lines(spark, sf):
     return cut.withColumn("text_md5", F.md5("text")).drop("text")
 
 
+#: Pages made of the documents' lines: chapters, articles, centred and repeal lines and a signature; English and German ones
+#: hold a whole law, the others an article each. What the parser has to find again follows from the lines alone.
+ARTICLES = r"""WITH l AS (SELECT doc_id, lang, [y FOR y IN [trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(coalesce(text, ''), chr(10))] IF y <> ''] AS ls FROM documents),
+j AS (SELECT doc_id, lang, unnest(ls) AS t, unnest(range(len(ls))) AS j FROM l), f AS (SELECT * FROM j WHERE lang IN ('en', 'de') AND j < 60),
+h AS (SELECT *, last_value(CASE WHEN j % 11 IN (1, 6) THEN j END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN j % 22 = 0 THEN j END IGNORE NULLS) OVER w AS c,
+  last_value(CASE WHEN j % 22 = 0 THEN t END IGNORE NULLS) OVER w AS ct FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+g AS (SELECT doc_id, lang, a, max(CASE WHEN j = a THEN CASE WHEN j % 11 = 6 AND doc_id % 5 = 0 THEN 'Утратил силу. ' ELSE '' END || t END) AS title, max(c) FILTER (j = a) AS c, max(ct) FILTER (j = a) AS ct,
+  coalesce(string_agg(CASE WHEN j % 11 = 3 THEN 'Утратил силу. ' ELSE '' END || t, chr(10) ORDER BY j) FILTER (j % 11 NOT IN (0, 1, 4, 6) AND (j % 11 <> 3 OR length(t) >= 286)), '') AS body FROM h WHERE a IS NOT NULL GROUP BY doc_id, lang, a),
+o AS (SELECT doc_id, lang, ls[1] AS title, coalesce(array_to_string([x FOR x IN ls[2:20]], chr(10)), '') AS body FROM l WHERE lang NOT IN ('en', 'de') AND len(ls) > 0),
+u AS (SELECT doc_id, lang AS code, a::VARCHAR AS number, trim(title) AS title, c::VARCHAR AS chapter, ct AS chapter_title, body FROM g UNION ALL
+  SELECT doc_id, lang, doc_id::VARCHAR, title, (doc_id % 7)::VARCHAR, CASE WHEN doc_id % 2 = 0 THEN 'Part' ELSE '' END, body FROM o)
+SELECT 'https://x/law/' || code || '/glava-' || (doc_id % 7) || '/' || doc_id AS url, code, upper(code) AS name, code || '-' || number AS doc_id, number, title, chapter, chapter_title, md5(body) AS text_md5,
+CASE WHEN title LIKE 'Утратил силу%' OR (body LIKE 'Утратил силу%' AND length(body) < 400) THEN 'repealed' WHEN body = '' THEN 'empty' ELSE 'active' END AS status FROM u"""
+
+
+def law_pages(spark, sf):
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    d = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("code"), F.transform(lines, lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))).alias("ls"))
+
+    def block(t, j):
+        gone = F.when((j % 11 == 6) & (F.col("doc_id") % 5 == 0), "Утратил силу. ").otherwise("")
+        said = F.when(j % 22 == 0, F.concat(F.lit("Глава "), j.cast("string"), F.lit(". "), t)).when((j % 11).isin(1, 6), F.concat(F.lit("Статья "), j.cast("string"), F.lit(". "), gone, t))
+        said = F.coalesce(said, F.when(j % 11 == 3, F.concat(F.lit("Утратил силу. "), t)).otherwise(t))
+        kind = F.when(j == 60, "pRight").when((j % 11 == 4) | ((j % 22 != 0) & (j % 11 == 0)), "pCenter").otherwise("own")
+        return F.concat(F.lit("<p class=\""), kind, F.lit("\">"), said, F.lit("</p>\n"))
+
+    whole = F.concat(F.lit("<p>out</p><div class=\"main-center-block\"><script>x</script>"), F.array_join(F.transform("ls", block), ""), F.lit("</div><p>out</p>"))
+    crumb = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<a>Глава "), (F.col("doc_id") % 7).cast("string"), F.lit(". Part</a>"))).otherwise("")
+    own = F.array_join(F.transform(F.slice("ls", 2, 19), lambda t: F.concat(F.lit("<p>"), t)), "")
+    one = F.concat(F.lit("<h1>Статья "), F.col("doc_id").cast("string"), F.lit(". <b>"), F.get("ls", F.lit(0)), F.lit("</b></h1><div class=\"main-center-block-crambs\"><a>Law</a>"), crumb, F.lit("</div><div class=\"main-center-block-article-text\">"), own, F.lit("<p class=\"pRight\">signed<p>after</div>"))
+    full = F.col("code").isin("en", "de")
+    url = F.concat(F.lit("https://x/law/"), "code", F.lit("/glava-"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+    return d.where(full | (F.size("ls") > 0)).select("code", url.alias("url"), F.when(full, whole).otherwise(one).alias("html"))
+
+
+@query(ARTICLES)
+def articles_by_layout(spark, sf):
+    made = law_pages(spark, sf)
+    laws = made.select("code").distinct().select("code", F.upper("code").alias("name"), F.when(F.col("code").isin("en", "de"), "full").otherwise("single").alias("layout"))
+    rows = pages.articles_of(made, laws)
+    return rows.select("url", "code", "name", "doc_id", "number", "title", "chapter", "chapter_title", F.md5("text").alias("text_md5"), "status")
+
+
 @query("""WITH h AS (SELECT page_id, unnest(l) AS href, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages))
 SELECT page_id, href, min(pos)::BIGINT AS pos FROM h WHERE regexp_matches(href, '^/[a-zA-Z]') GROUP BY 1, 2""")
 def toc_links(spark, sf):
