@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, ordered, pages, postings, ranking, reports, resampling, similarity, splits, training, vector_index
+from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, ordered, pages, postings, ranking, reports, resampling, similarity, sketches, splits, training, vector_index
 from lodestone.sources import tables
 
 Q: dict = {}
@@ -506,6 +506,33 @@ def latency_percentiles(spark, sf):
     return rounded(metrics.latency(read(spark, sf, "events"), ["event_type"], "value"), "p50", "p95", "queries_per_s")
 
 
+_QUANTILES = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query("SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 9) AS {n}" for n, q in _QUANTILES.items()) + " FROM events GROUP BY event_type")
+def quantiles_refined(spark, sf):
+    out = sketches.exact_quantiles(read(spark, sf, "events"), ["event_type"], "value", _QUANTILES)
+    return out.select("event_type", "n", *[F.round(n, 9).alias(n) for n in _QUANTILES])
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999 FROM lineitem GROUP BY ALL")
+def price_quantiles(spark, sf):
+    out = sketches.exact_quantiles(read(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p50": 0.5, "p999": 0.999})
+    return out.select("l_returnflag", "l_linestatus", "n", F.round("p50", 6).alias("p50"), F.round("p999", 6).alias("p999"))
+
+
+@query("SELECT event_type, count(*) AS n, true AS p50_near, true AS p95_near, true AS distinct_near FROM events GROUP BY event_type")
+def sketches_over_days(spark, sf):
+    """A sketch per day and type, merged over the days: whether ranks are within 2 % and distinct users within 3 % of the truth."""
+    e = read(spark, sf, "events")
+    days = sketches.sketched(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value", "user_id")
+    got = sketches.estimated(sketches.merged(days, ["event_type"]), {"p50": 0.5, "p95": 0.95})
+    share = lambda c: F.avg((F.col("value") <= F.col(c)).cast("double"))
+    true = e.join(F.broadcast(got), "event_type").groupBy("event_type").agg(F.first("n").alias("n"), share("p50").alias("a"), share("p95").alias("b"), F.first("n_distinct").alias("d"), F.countDistinct("user_id").alias("u"))
+    near = lambda x, y, by: F.abs(x - y) <= by
+    return true.select("event_type", "n", near(F.col("a"), 0.5, 0.02).alias("p50_near"), near(F.col("b"), 0.95, 0.02).alias("p95_near"), near(F.col("d"), F.col("u"), 0.03 * F.col("u")).alias("distinct_near"))
+
+
 @query("""WITH s AS (SELECT o_orderpriority AS stage, o_orderstatus AS name, round(avg(o_totalprice), 4) AS dev FROM orders GROUP BY 1, 2),
 b AS (SELECT stage, max(dev) AS best FROM s GROUP BY stage), c AS (SELECT stage, min(name) AS chosen, best FROM s JOIN b USING (stage) WHERE dev = best GROUP BY stage, best)
 SELECT stage, chosen, best, coalesce(best > max(best) OVER (ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS kept FROM c""")
