@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """The reliable folder of ``spark.checkpoint.dir``; a temp folder only on a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -21,7 +21,7 @@ def _folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint."""
-    _folder(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -31,6 +31,6 @@ def stored(df: DataFrame) -> DataFrame:
     A checkpoint keeps the size that the planner guessed for its plan, and a loop of joins
     multiplies these guesses; a table has the size of its files.
     """
-    path = f"{_folder(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

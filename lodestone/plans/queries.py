@@ -9,13 +9,16 @@ it is the query's own.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, ordered, pages, postings, ranking, reports, resampling, similarity, sketches, splits, training, vector_index
+from lodestone.functions.lineage import folder
 from lodestone.sources import tables
+from lodestone.streaming import events as streams
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -933,6 +936,39 @@ def status_by_law(spark, sf):
     return pages.status_counts(rows.withColumn("code", F.concat_ws("|", "code", "name"))).select(F.substring_index("code", "|", 1).alias("code"), F.substring_index("code", "|", -1).alias("name"), "status", "n")
 
 
+# ---------------------------------------------------------------- streams
+
+
+def event_stream(spark, sf, kind=None):
+    e = streams.read(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e if kind is None else e.where(F.col("event_type") == kind)
+
+
+@query("""WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTES, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e),
+g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS stop, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, s)
+SELECT user_id, start, n, total FROM g WHERE stop <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(spark, sf):
+    """Sessions that the watermark has passed at the end of what is available."""
+    out = streams.append_once(streams.sessions(event_stream(spark, sf), "ts", ["user_id"], total=F.round(F.sum("value"), 6)))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+
+@query("""SELECT a.user_id, a.event_id AS click_id, b.event_id AS view_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTES
+WHERE a.event_type = 'click' AND b.event_type = 'view'""")
+def stream_interval_join(spark, sf):
+    a = event_stream(spark, sf, "click").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    b = event_stream(spark, sf, "view").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    out = streams.append_once(streams.within(a, b, ["user_id"], "click_ts", "view_ts", "60 minutes"))
+    return out.select("user_id", "click_id", "view_id")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def stream_upserts(spark, sf):
+    rows = streams.read(spark, f"{sf}/events.parquet").select("user_id", "event_id", "event_type", "value")
+    return streams.Upserts(spark, f"{folder(spark)}/lodestone-upserts-{uuid.uuid4().hex}", "user_id", "event_id").run(rows)
+
+
 # ---------------------------------------------------------------- logs, golden sets, training rows, exports
 
 LATEST = "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS text_md5 FROM conversations GROUP BY conv_id"
