@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, ordered, pages, postings, ranking, reports, resampling, similarity, sketches, splits, training, vector_index
-from lodestone.functions.lineage import folder
-from lodestone.sources import tables
+from lodestone.functions.lineage import cut, folder
+from lodestone.sources import fetching, tables
 from lodestone.streaming import events as streams
 
 Q: dict = {}
@@ -902,6 +902,20 @@ def law_pages(spark, sf):
     return d.where(full | (F.size("ls") > 0)).select("code", url.alias("url"), F.when(full, whole).otherwise(one).alias("html"))
 
 
+@query("SELECT page_id::VARCHAR AS key, md5(html) AS html_md5, true AS kept_date FROM pages WHERE html IS NOT NULL")
+def fetched_pages(spark, sf):
+    """All pages fetched from a site that Spark has written, in two runs; the second one fetches the rest and changes no date."""
+    p = read(spark, sf, "pages").where("html is not null").select("page_id", F.concat_ws("#", "url", "page_id").alias("url"), "html")
+    at = f"{folder(spark)}/lodestone-web-{uuid.uuid4().hex}"
+    site = fetching.sited(p, f"{at}/site", 16)
+    tasks = p.select(F.col("page_id").cast("string").alias("key"), "url")
+    how = {"client": "lodestone.sources.fetching:site_client", "argument": site, "delay": 0.0, "slices": 2, "hosts_at_once": 8}
+    half = fetching.fetch(tasks, f"{at}/store", limit=p.count() // 2, **how).select("key", F.col("fetched_at").alias("first"))
+    half = cut(half)
+    rows = fetching.fetch(tasks, f"{at}/store", **how).join(half, "key", "left")
+    return rows.select("key", F.md5("html").alias("html_md5"), F.coalesce(F.col("first") == F.col("fetched_at"), F.lit(True)).alias("kept_date"))
+
+
 @query(ARTICLES)
 def articles_by_layout(spark, sf):
     made = law_pages(spark, sf)
