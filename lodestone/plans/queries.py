@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import table_functions
 from lodestone.functions import text as T
 from lodestone.operators import bm25, chunking, filters, generation, golden, metrics, mining, ordered, pages, postings, ranking, reports, resampling, similarity, sketches, splits, training, vector_index
 from lodestone.functions.lineage import cut, folder
@@ -723,6 +724,33 @@ def chunk_documents(spark, sf):
     return chunking.chunks(_headed(spark, sf), F.col("header")).select("chunk_id", "doc_id", "position", F.length("body").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query(_chunks_sql(_HEADER, 600, 90) + " SELECT doc_id, position, md5(body) AS body_md5 FROM k WHERE body <> header")
+def chunks_in_sql(spark, sf):
+    """The chunker as a table function of SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, CAST(c.position AS BIGINT) AS position, md5(c.body) AS body_md5 FROM {docs} d, LATERAL chunk_text(d.text, 600, 90) c", docs=read(spark, sf, "documents"))
+
+
+@query(r"""WITH l AS (SELECT doc_id AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+h AS (SELECT *, regexp_matches(t, '^(The|La|Der|De) ') AS head, count(*) FILTER (regexp_matches(t, '^(The|La|Der|De) ')) OVER (PARTITION BY page ORDER BY pos) AS seq FROM l)
+SELECT page, seq, max(t) FILTER (head) AS heading, md5(coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (NOT head AND t <> ''), '')) AS body_md5 FROM h WHERE seq > 0 GROUP BY page, seq""")
+def sections_in_sql(spark, sf):
+    """Sections by a table function over partitioned, ordered rows."""
+    table_functions.register(spark)
+    blocks = read(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "text"))
+    return spark.sql("SELECT page, seq, heading, md5(body) AS body_md5 FROM sectioned(TABLE({blocks}) PARTITION BY page ORDER BY pos, article => '^(The|La|Der|De) ')", blocks=blocks)
+
+
+@query(_PARTS + """, k AS (SELECT d.doc_id, p.header, CASE WHEN length(coalesce(text, '')) <= 4000 THEN [coalesce(text, '')] ELSE pieces END AS parts FROM p JOIN documents d ON d.doc_id = p.doc_id
+  WHERE length(text) >= 150 AND d.doc_id % 10 <> 3),
+t AS (SELECT *, (42 + ('0x' || substr(md5('tkhard' || doc_id), 1, 8))::BIGINT % 1000000) % len(parts) AS part, unnest(['everyday', 'search']) AS qtype FROM k)
+SELECT 'tkhard|' || doc_id || '|' || qtype AS key, CASE WHEN doc_id % 10 = 7 THEN 'unseen_articles' ELSE 'seen' END AS slice, 'tk_hard' AS split, part, md5(parts[part + 1]) AS text_md5 FROM t""")
+def hard_tasks(spark, sf):
+    d = _headed(spark, sf)
+    rows = generation.hard_tasks(d, d.where("doc_id % 10 = 3"), d.where("doc_id % 10 = 7"))
+    return rows.select("key", "slice", "split", "part", F.md5("text").alias("text_md5"))
+
+
 @query(_chunks_sql(f"substr({_HEADER}, strpos({_HEADER}, ', ') + 2)", 500, 75) + " SELECT chunk_id, doc_id, position, md5(text) AS text_md5 FROM k")
 def chunk_alt_view(spark, sf):
     return chunking.chunks(_headed(spark, sf), T.without_code(F.col("header")), 500, 75).select("chunk_id", "doc_id", "position", F.md5("text").alias("text_md5"))
