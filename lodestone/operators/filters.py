@@ -28,16 +28,17 @@ def copied_from_own(question: Column, source: Column, n: int = 6, token: str = T
 def copy_semi(docs: DataFrame, sources: DataFrame, text_col: str = "text", source_col: str = "text", n: int = 6, token: str = T.TOKEN, how: str = "left_semi") -> DataFrame:
     """Rows that do (``left_semi``) or don't (``left_anti``) share an n-gram with any source.
 
-    Rows' n-grams are looked up as 64-bit hashes, beside the row's number; the n-grams of the
-    few that are found are compared as texts. The sources' n-grams are made distinct first.
+    Rows' n-grams are looked up as 64-bit hashes, beside the md5 of the row's text; the n-grams of
+    the few that are found are compared as texts. The sources' n-grams are made distinct first.
+    Null texts share nothing. No text is written or shuffled but those of rows that may be found.
     """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = docs.withColumn("__m", F.md5(text_col))
     grams = T.ngrams(T.words(text_col, token), n)
     other = cut(sources.select(F.explode(T.ngrams(T.words(source_col, token), n)).alias("g")).distinct().withColumn("h", F.xxhash64("g")))
-    seen = rows.select("__row", F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("h"))
-    maybe = seen.join(other.select("h").distinct(), "h", "left_semi").select("__row").distinct()
-    sure = rows.join(maybe, "__row", "left_semi").select("__row", F.explode(grams).alias("g")).join(other, "g", "left_semi").select("__row").distinct()
-    return rows.join(sure, "__row", how).drop("__row")
+    seen = rows.select("__m", F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("h"))
+    maybe = cut(seen.join(other.select("h").distinct(), "h", "left_semi").select("__m").distinct())
+    sure = rows.join(maybe, "__m", "left_semi").select("__m", F.explode(grams).alias("g")).join(other, "g", "left_semi").select("__m").distinct()
+    return rows.join(sure, "__m", how).drop("__m")
 
 
 def exact_duplicates(df: DataFrame, order: str, text_col: str = "text", token: str = T.TOKEN) -> DataFrame:

@@ -52,18 +52,24 @@ def ablation(means: DataFrame, name: str, facet: str, full: str, metric: str = "
     return means.where(F.col(name) != full).join(whole, facet).select(name, facet, F.col(metric), "full", (F.col(metric) - F.col("full")).alias("delta"))
 
 
+# The words of a run's label, and the names of runs that repeat an experiment with a further seed.
+PREFIX, TEACHER, TEACHER_SAID = "^train_", "_teacher$", " + teacher"
+RANK_SAID, FORMAT_SAID = ", noise filter top-", ", format aug "
+REPEATS, REPEAT_OF = "_s4[34]$", "E3"
+
+
 def data_label(sources: Column, file: Column, versions: Column, rank: Column, augmented: Column) -> Column:
     """What a run was trained on: its sources joined by a plus, or its prepared file with the filters that were set."""
-    name = F.regexp_replace(F.regexp_replace(F.coalesce(file, F.lit("?")), "^train_", ""), "_teacher$", " + teacher")
+    name = F.regexp_replace(F.regexp_replace(F.coalesce(file, F.lit("?")), PREFIX, ""), TEACHER, TEACHER_SAID)
     more = [
         F.when(F.size(versions) > 0, F.concat(F.lit(" ("), F.array_join(versions, ","), F.lit(")"))),
-        F.when(rank > 0, F.concat(F.lit(", noise filter top-"), rank.cast("string"))),
-        F.when(augmented > 0, F.concat(F.lit(", format aug "), F.regexp_replace(augmented.cast("string"), r"\.0$", ""))),
+        F.when(rank > 0, F.concat(F.lit(RANK_SAID), rank.cast("string"))),
+        F.when(augmented > 0, F.concat(F.lit(FORMAT_SAID), F.regexp_replace(augmented.cast("string"), r"\.0$", ""))),
     ]
     return F.when(F.size(sources) > 0, F.array_join(sources, "+")).otherwise(reduce(F.concat, [F.coalesce(x, F.lit("")) for x in more], name))
 
 
-def train_runs(steps: DataFrame, runs: DataFrame, metric: str = "ndcg_10", repeats: str = "_s4[34]$", repeat_of: str = "E3") -> DataFrame:
+def train_runs(steps: DataFrame, runs: DataFrame, metric: str = "ndcg_10", repeats: str = REPEATS, repeat_of: str = REPEAT_OF) -> DataFrame:
     """One row per training run: its label, the base score (step 0), the best step, its epoch and score, and the minutes taken.
 
     ``steps``: run, step, metric; ``runs``: run, experiment, base_model, sources, train_file,

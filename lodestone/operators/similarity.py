@@ -2,7 +2,7 @@
 
 Scores are exact dot products in double precision. A query set is broadcast in blocks of a
 checked size and each task keeps, of the units it reads, only the best documents of each
-query: what is shuffled is k rows per query and batch, never a score per pair.
+query: what is shuffled is k rows per query and task, never a score per pair.
 """
 
 from __future__ import annotations
@@ -47,12 +47,20 @@ def _blocks(queries: DataFrame, qid: str, emb: str, *more: str) -> Iterator[tupl
         yield block()
 
 
+def carried(parts: list[pd.DataFrame], k: int, per: str = "doc") -> pd.DataFrame:
+    """Of rows ``qid, doc_id, unit_id, score`` each query's ``k`` best documents by their best unit, or its ``k`` best units."""
+    rows = pd.concat(parts, ignore_index=True).sort_values(["qid", "score", "unit_id"], ascending=[True, False, True], kind="stable")
+    if per == "doc":
+        rows = rows.drop_duplicates(["qid", "doc_id"]).sort_values(["qid", "score", "doc_id"], ascending=[True, False, True], kind="stable")
+    return rows.groupby("qid", sort=False).head(k)
+
+
 def maxp(queries: DataFrame, units: DataFrame, k: int = 100, qid: str = "qid", unit: str = "unit_id", doc: str = "doc_id", emb: str = "embedding", skip_self: bool = False, per: str = "doc") -> DataFrame:
     """The ``k`` best documents of each query by the best of their units: ``qid, doc_id, unit_id, score, rank``.
 
     ``per="unit"`` ranks units instead. Ties go to the smaller id. ``skip_self`` leaves out
     the unit whose id is the query's. A document of the global top k has its best unit in
-    some batch, where at most k - 1 documents are better: a batch's top k is enough.
+    some task, where at most k - 1 documents are better: a task's top k is enough.
     """
     spark = units.sparkSession
     out = None
@@ -62,12 +70,13 @@ def maxp(queries: DataFrame, units: DataFrame, k: int = 100, qid: str = "qid", u
 
         def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, q = held.value
+            # what a task sends is k rows per query, over all its batches
+            top, rows = [], 0
             for b in batches:
                 if not len(b):
                     continue
                 u, d = b["unit_id"].to_numpy(), b["doc_id"].to_numpy()
                 scores = q @ vectors(b["embedding"]).T
-                parts = []
                 for i, s in enumerate(scores):
                     own = np.flatnonzero(u != ids[i]) if skip_self else np.arange(len(u))
                     order = own[np.lexsort((u[own], -s[own]))]
@@ -76,8 +85,13 @@ def maxp(queries: DataFrame, units: DataFrame, k: int = 100, qid: str = "qid", u
                         order = order[np.sort(first)]
                         order = order[np.lexsort((d[order], -s[order]))]
                     order = order[:k]
-                    parts.append(pd.DataFrame({"qid": ids[i], "doc_id": d[order], "unit_id": u[order], "score": s[order]}))
-                yield pd.concat(parts)
+                    top.append(pd.DataFrame({"qid": ids[i], "doc_id": d[order], "unit_id": u[order], "score": s[order]}))
+                    rows += len(order)
+                if rows > 4 * k * len(ids):
+                    top = [carried(top, k, per)]
+                    rows = len(top[0])
+            if top:
+                yield carried(top, k, per)
 
         part = cols.mapInPandas(best, "qid long, doc_id long, unit_id long, score double")
         out = part if out is None else out.unionByName(part)

@@ -86,7 +86,11 @@ def remaining(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return tasks.join(done.select(key).distinct(), key, "left_anti")
 
 
-def external_queries(raw: DataFrame, code: str = "tk", slice_name: str = "tk_rf_rag") -> DataFrame:
+# The code and the slice of the external query set.
+EXTERNAL_CODE, EXTERNAL_SLICE = "tk", "tk_rf_rag"
+
+
+def external_queries(raw: DataFrame, code: str = EXTERNAL_CODE, slice_name: str = EXTERNAL_SLICE) -> DataFrame:
     """Questions with article numbers to evaluation queries; those without articles are left out."""
     docs = F.transform("articles", lambda a: F.concat(F.lit(f"{code}-"), a.cast("string")))
     rows = raw.where(F.size("articles") > 0).withColumn("__d", docs)
