@@ -31,6 +31,8 @@ BITS, DIM, ORDERS = 14, 16, (2, 3, 4)
 #: (beyond ``ROWS / PER_LANGUAGE`` labels each has fewer, at least one). A row takes at most 98 KB of the driver's
 #: memory, whatever the text's length, since there are ``2 ** BITS`` buckets.
 PER_LANGUAGE, ROWS = 400, 6400
+#: Most labels whose counts are broadcast.
+BROADCAST_LABELS = 100_000
 #: Calibrated probability of the label below which a text is rejected in any case.
 LEAST = 0.5
 UNDETERMINED = "und"
@@ -150,7 +152,10 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, part: s
     few = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.xxhash64(F.lit(part), F.col(id_col)).alias("o"))
     # a bound on the hash order, from counts, leaves about four times the rows wanted of each label; the window sees no more
     counts = few.groupBy("y").agg(F.count("*").alias("n"))
-    per_language = max(1, min(per_language, ROWS // max(1, counts.count())))
+    labels = counts.count()
+    per_language = max(1, min(per_language, ROWS // max(1, labels)))
+    # so that no row beyond the bound is shuffled to its label's window
+    counts = F.broadcast(counts) if labels <= BROADCAST_LABELS else counts
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
     few = few.join(counts, "y").where(F.col("o").cast("double") <= F.lit(-9.223372036854775e18) + share * F.lit(1.8446744073709552e19))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("o", "i"))).where(F.col("r") <= per_language)
