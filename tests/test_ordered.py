@@ -117,7 +117,8 @@ def test_postings_are_the_plain_search(spark, tmp_path):
         for fill in (False, True):
             want = {(r.qid, r["rank"]): (r.doc_id, round(r.score, 7)) for r in bm25.search(asked, units, 7, doc=doc, fill=fill).collect()}
             assert {(r.qid, r["rank"]): (r.doc_id, round(r.score, 7)) for r in postings.search(asked, index, 7, first=2, fill=fill).collect()} == want
-    assert 0 < postings.scored_share(asked, index, 7, 2) < 0.9
+    # the fewer documents are asked for, the more segments can't reach the score to beat
+    assert 0 < postings.scored_share(asked, index, 1, 2) < postings.scored_share(asked, index, 7, 2) < 1
     postings.saved(index, str(tmp_path / "index"))
     again = postings.loaded(spark, str(tmp_path / "index"))
     found = postings.search(asked, again, 7)
