@@ -14,9 +14,9 @@ def question_type(key: Column, types: tuple[str, ...] = ("everyday", "search", "
     return F.element_at(F.array(*[F.lit(t) for t in types]), (key % len(types) + 1).cast("int"))
 
 
-def first_reason(question: Column, qtype: Column, copied: Column | None = None, citations: tuple[str, ...] = (T.ARTICLE_REF, T.META_PHRASES), token: str = T.TOKEN) -> Column:
+def first_reason(question: Column, qtype: Column, copied: Column | None = None, citations: tuple[str, ...] = (T.ARTICLE_REF, T.META_PHRASES), token: str = T.TOKEN, space: str = r"\s") -> Column:
     """Why a question is dropped, null if it isn't: empty, then length, then citation, then copy."""
-    out = F.when(question.isNull() | (T.stripped(question) == ""), "empty").when(T.length_broken(question, qtype, token), "length").when(T.cites(question, citations), "article_ref")
+    out = F.when(question.isNull() | (T.stripped(question, space) == ""), "empty").when(T.length_broken(question, qtype, token, space), "length").when(T.cites(question, citations), "article_ref")
     return out if copied is None else out.when(copied, "copy_ngram")
 
 
