@@ -39,3 +39,15 @@ QUESTIONS = [
 def test_questions(spark, tmp_path, name):
     rows = [(3 * i, 0, "user", t) for i, t in enumerate(QUESTIONS)]
     assert differing(spark, tmp_path, name, conversations=(CONVERSATIONS, rows)) == ([], [])
+
+
+def test_editions(spark, tmp_path):
+    rows = [
+        "<h1>a token = &quot;7702&amp; &amp;lt; &lt;b&gt;</h1><h1>b</h1>",
+        "<h1 class=x>cut &amp</h1>",
+        "<h1>two\xa0words\n <b>and</b> more </h1>",
+        "<h1>never closed",
+        "no heading",
+        None,
+    ]
+    assert differing(spark, tmp_path, "page_editions", pages=("page_id long, html string", list(enumerate(rows)))) == ([], [])
