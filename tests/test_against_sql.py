@@ -51,3 +51,10 @@ def test_editions(spark, tmp_path):
         None,
     ]
     assert differing(spark, tmp_path, "page_editions", pages=("page_id long, html string", list(enumerate(rows)))) == ([], [])
+
+
+def test_encoded_texts(spark, tmp_path):
+    # float vectors gave 0.5414 for the first; the last shares are written with an exponent by a plain cast
+    counts = [(46, 149, 37, 12), (1, 0, 0, 0), (0, 0, 0, 0), (5000, 3, 1, 1), (32, 1, 0, 0), *[(a, a + 7, 3 * a % 31, 11) for a in range(400)]]
+    rows = [(i, "".join(c * n for c, n in zip("aein", x))) for i, x in enumerate(counts)] + [(-1, None)]
+    assert differing(spark, tmp_path, "encoded_texts", documents=("doc_id long, text string", rows)) == ([], [])
