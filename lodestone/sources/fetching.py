@@ -15,7 +15,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -109,9 +109,11 @@ def web_client(timeout: float = 30.0) -> Callable[[str], str]:
     return get
 
 
-def fetch(tasks: DataFrame, store: str, client: str = "lodestone.sources.fetching:web_client", argument: str = "", slices: int = 8, hosts_at_once: int = 64, limit: int | None = None, only: list[str] | None = None, delay: float = 1.0, tries: int = 3, wait: float = 3.0) -> DataFrame:
+def fetch(tasks: DataFrame, store: str, client: str = "lodestone.sources.fetching:web_client", argument: str = "", slices: int = 8, hosts_at_once: int = 64, limit: int | None = None, only: list[str] | None = None, delay: float = 1.0, tries: int = 3, wait: float = 3.0, order: Column | None = None) -> DataFrame:
     """Fetch what the store doesn't have yet and append it, slice by slice; the store comes back.
 
+    A host's pages are fetched by ``order``, an expression of ``url``, where one is set.
+
     ``tasks`` has ``key`` and ``url``; ``only`` names the keys that may be fetched, ``limit`` the
     most per run, in key order. What a slice has fetched stays when a later one fails, and the next
     run fetches the rest. Pages that failed are tried again by the next run and aren't stored. A
@@ -129,6 +131,8 @@ def fetch(tasks: DataFrame, store: str, client: str = "lodestone.sources.fetchin
     plan = f"{folder(spark)}/lodestone-urls-{uuid.uuid4().hex}"
     host = F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 0)
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")).repartition(hosts_at_once, "slice", host)
+    if order is not None:
+        dealt = dealt.sortWithinPartitions("slice", order)
     dealt.write.partitionBy("slice").parquet(plan)
     jvm = spark._jvm
     for i in range(slices):
@@ -151,13 +155,30 @@ def stored_pages(spark: SparkSession, store: str) -> DataFrame | None:
 # ---------------------------------------------------------------- a site that lies in tables
 
 
-def sited(pages: DataFrame, path: str, files: int = 64, url: str = "url", html: str = "html") -> str:
-    """Write pages as a site, dealt over files by the checksum of their address; returns the argument of :func:`site_client`."""
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), F.pmod(F.crc32(F.col(url)), F.lit(files)).cast("int").alias("bucket"))
-    rows.repartition(files, "bucket").write.partitionBy("bucket").parquet(path)
+#: Pages of a file of a site: a client reads a file for one of them.
+FILE_PAGES = 256
+
+
+def sited(pages: DataFrame, path: str, files: int | None = None, url: str = "url", html: str = "html") -> str:
+    """Write pages as a site, dealt over files by the checksum of their address; returns the argument of :func:`site_client`.
+
+    There are as many files as hold about ``FILE_PAGES`` pages each, unless ``files`` is set.
+    """
+    files = files or max(1, -(-pages.count() // FILE_PAGES))
+    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), _bucket(F.col(url), files).alias("bucket"))
+    rows.repartition(min(files, 256), "bucket").write.partitionBy("bucket").parquet(path)
     return f"{files} {path}"
 
 
+def _bucket(url: Column, files: int) -> Column:
+    return F.pmod(F.crc32(url), F.lit(files)).cast("int")
+
+
+def site_order(site: str) -> Column:
+    """The order of addresses in which a client of :func:`sited` pages reads each file once."""
+    return _bucket(F.col("url"), int(site.partition(" ")[0]))
+
+
 def site_client(site: str) -> Callable[[str], str]:
     """A client of the addresses of :func:`sited` pages; an address that the site doesn't have is an error."""
     import pyarrow.dataset as ds

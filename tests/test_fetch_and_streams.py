@@ -3,6 +3,7 @@
 import datetime
 import glob
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -134,3 +135,20 @@ def test_upserts_are_idempotent(spark, tmp_path):
     assert {(r.u, r.id) for r in up.table().collect()} == want
     again = up.run(events.read(spark, path), str(tmp_path / "new-progress"))
     assert {(r.u, r.id) for r in again.collect()} == want
+
+
+def test_files_of_a_site_are_bounded_and_read_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fetching, "FILE_PAGES", 4)
+    rows = [(f"http://h{i % 2}.x/{i}", f"<p>{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    site = fetching.sited(df, str(tmp_path / "site"))
+    files = int(site.split()[0])
+    assert files == 30
+    tasks = spark.createDataFrame([(str(i), u) for i, (u, _) in enumerate(rows)], "key string, url string")
+    got = fetching.fetch(tasks, str(tmp_path / "store"), "lodestone.sources.fetching:site_client", site, slices=2, hosts_at_once=2, delay=0.0, order=fetching.site_order(site)).collect()
+    assert {(r.url, r.html) for r in got} == set(rows)
+    # in the order in which the pages of a host in a slice came, no file is met again
+    slices = {r.key: r.s for r in spark.createDataFrame([(r.key,) for r in got], "key string").select("key", F.pmod(F.xxhash64("key"), F.lit(2)).alias("s")).collect()}
+    for part in {(r.url[:9], slices[r.key]) for r in got}:
+        own = [zlib.crc32(r.url.encode()) % files for r in sorted(got, key=lambda r: r.fetched_at) if (r.url[:9], slices[r.key]) == part]
+        assert own == sorted(own)
