@@ -134,3 +134,21 @@ def test_pages_of_unclosed_tags_take_linear_time():
         assert time.monotonic() - began < 5
     html = "<h1>T <b>x</b></h1><div class=main-center-block-crambs><a>one</a><a>two<a>three</a></div><div class=main-center-block><p class=pCenter>c<p>a<script>s</script>b</p>t<div class=pb-2></div></div><p>out"
     assert pages.read_page(html, "main-center-block") == ("T x", ["one", "two", "three"], [(0, "center", "c"), (1, "p", "a b"), (2, "stop", "")])
+
+
+def test_postings_shuffle_no_score_per_term_and_document(spark):
+    """Every query has a word that all documents have: what is shuffled stays within the documents' own words and results."""
+    rng = random.Random(6)
+    units = spark.createDataFrame([(i, "all " + " ".join(f"w{rng.randint(0, 50)}" for _ in range(5))) for i in range(2000)], "unit_id long, text string")
+    asked = spark.createDataFrame([(i, f"all w{i % 50}") for i in range(300)], "qid long, text string")
+    index = postings.build(units, segment=100)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        found = stages().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = shuffled()
+    got = {(r.qid, r["rank"]): r.doc_id for r in postings.search(asked, index, 3).collect()}
+    assert shuffled() - before < 300_000  # 300 queries times 2000 documents were 600000 before their terms
+    assert got == {(r.qid, r["rank"]): r.doc_id for r in bm25.search(asked, units, 3).collect()}
