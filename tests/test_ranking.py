@@ -271,3 +271,15 @@ def test_golden_sets(spark):
     assert got[4] == (None, "q4", {10: 1, 12: 1})
     r = golden.report(rows).first()
     assert (r["items"], r.annotated, r.golden_queries, r.share_gold_relevant) == (6, 5, 3, 0.5)
+
+
+def test_what_a_search_holds_is_bounded(spark, monkeypatch):
+    """A block has no more queries than their results may be held for; in blocks the result is the same."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(200, 4)).astype(np.float32)
+    u = spark.createDataFrame([(i, i % 9, v[i].tolist()) for i in range(200)], "unit_id long, doc_id long, embedding array<float>")
+    q = u.where("unit_id % 5 = 0").select(F.col("unit_id").alias("qid"), "embedding")
+    want = [similarity.maxp(q, u, 6, skip_self=True, per=p).orderBy("qid", "rank").collect() for p in ("doc", "unit")]
+    monkeypatch.setattr(similarity, "HELD_ROWS", 30)
+    assert max(len(b[0]) for b in similarity._blocks(q, "qid", "embedding", results=6)) == 5
+    assert [similarity.maxp(q, u, 6, skip_self=True, per=p).orderBy("qid", "rank").select(w[0].__fields__).collect() for p, w in zip(("doc", "unit"), want, strict=True)] == want
