@@ -273,6 +273,25 @@ def test_golden_sets(spark):
     assert (r["items"], r.annotated, r.golden_queries, r.share_gold_relevant) == (6, 5, 3, 0.5)
 
 
+def test_best_own_unit_makes_no_row_of_a_pair(spark, monkeypatch):
+    """In blocks of few queries the best unit by brute force, equal vectors included; no pair is joined."""
+    monkeypatch.setattr(similarity, "HELD_ROWS", 7)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    v[100:200] = v[:100]
+    u = spark.createDataFrame([(i, i % 3, v[i].tolist()) for i in range(300)], "unit_id long, doc_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, i % 3, v[i].tolist()) for i in range(0, 300, 10)] + [(1000, 77, v[0].tolist())], "qid long, doc_id long, embedding array<float>")
+    got = similarity.best_own_unit(q, u.repartition(5), skip_self=True)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    x = v.astype(float)
+    want = {}
+    for i in range(0, 300, 10):
+        own = [j for j in range(300) if j % 3 == i % 3 and j != i]
+        scores = [sum(a * b for a, b in zip(x[i], x[j], strict=True)) for j in own]
+        want[i] = (own[int(np.argmax(scores))], max(scores))
+    assert {r.qid: (r.unit_id, r.score) for r in got.collect()} == want
+
+
 def test_what_a_search_holds_is_bounded(spark, monkeypatch):
     """A block has no more queries than their results may be held for; in blocks the result is the same."""
     rng = np.random.default_rng(4)
