@@ -125,3 +125,16 @@ def test_unique_keys(spark):
     assert pages.assert_unique(df, "k") is df
     with pytest.raises(ValueError, match="1"):
         pages.assert_unique(df.unionByName(df), "k")
+
+
+def test_no_law_gathers_its_texts_in_one_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), "en", "t") for i in range(20)], "doc_id string, code string, text string")
+    laws = spark.createDataFrame([("en", "EN")], "code string, name string").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = pages.union_of([docs], laws)
+        assert "SortMergeJoin" not in both._jdf.queryExecution().toString()
+        assert both.where("name = 'EN'").count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
