@@ -55,6 +55,12 @@ def _blocks(weights: DataFrame) -> Iterator[tuple[np.ndarray, dict[str, int], np
         yield block()
 
 
+def ranked_whole(scores: DataFrame, k: int) -> DataFrame:
+    """Ranked by rounded scores; the scores themselves stay whole, so that they can be rounded to fewer digits."""
+    by = scores.withColumn("__whole", F.col("score")).withColumn("score", F.round("score", DIGITS))
+    return ranked(by, k).withColumn("score", F.col("__whole")).drop("__whole")
+
+
 def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5, b: float = 0.75, unit: str = "unit_id", doc: str | None = None, text: str = "text", token: str = T.TOKEN, stems=None, fill: bool = False) -> DataFrame:
     """The ``k`` best documents (or units) of each query: ``qid, doc_id, score, rank``.
 
@@ -88,7 +94,8 @@ def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5,
                         kinds, counts = np.unique([p for x in w if (p := places.get(x)) is not None], return_counts=True)
                         tf[i, kinds.astype(int)] = counts
                     part = tf / (tf + k1 * (1 - b + b * dl[:, None] / (avgdl or 1)) + (tf == 0))
-                    got = np.round(part @ matrix, DIGITS)
+                    whole = part @ matrix
+                    got = np.round(whole, DIGITS)
                     out = []
                     for j, s in enumerate(got.T):
                         hit = np.flatnonzero(s > 0)
@@ -96,7 +103,7 @@ def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5,
                         if doc is not None:
                             order = order[np.sort(np.unique(own[order], return_index=True)[1])]
                         order = order[:k]
-                        out.append(pd.DataFrame({"qid": ids[j], "doc_id": own[order], "score": s[order]}))
+                        out.append(pd.DataFrame({"qid": ids[j], "doc_id": own[order], "score": whole[order, j]}))
                     yield pd.concat(out)
 
         kind = weights.schema["qid"].dataType.simpleString()
@@ -104,10 +111,10 @@ def search(queries: DataFrame, units: DataFrame, k: int = 100, k1: float = 1.5,
         scores = part if scores is None else scores.unionByName(part)
     if scores is None:
         scores = queries.select("qid", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    scores = ranked(scores.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)
+    scores = ranked_whole(scores.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)
     if fill:
         # of each query at most k documents without a match can be reached: 2k smallest ids hold k unmatched or all
         ids = units.select(F.col(doc or unit).alias("doc_id")).distinct().orderBy("doc_id").limit(2 * k)
         rest = queries.select("qid").crossJoin(F.broadcast(ids)).join(scores.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-        scores = ranked(scores.drop("rank").unionByName(rest.withColumn("score", F.lit(0.0))), k)
+        scores = ranked_whole(scores.drop("rank").unionByName(rest.withColumn("score", F.lit(0.0))), k)
     return scores
