@@ -99,3 +99,31 @@ def test_odd_vectors(spark):
     index = vector_index.build(df, cells=8)
     got = vector_index.search(df.where("unit_id = 0").select(F.col("unit_id").alias("qid"), "embedding"), index, 9, 1, exact=True, per="unit")
     assert [(r.unit_id, r.score) for r in got.orderBy("rank").collect()] == [(0, 1.0), (3, 1.0), (3, 1.0), (2, 0.0)]
+
+
+def test_visits_go_to_regions_not_cells(spark, rows):
+    # where nothing can be pruned, each row went to half of the 300 cells
+    index = vector_index.build(vector_index._classes(rows, "embedding", "unit_id"), cells=300)
+    n, most = index.count.sum(), 2 * vector_index.REGIONS + 1
+    assert n < vector_index.visits_within(index, -1.0).count() <= n * most
+    starts = index.starts()
+    assert len(starts) - 1 <= most and starts[0] == 0 and starts[-1] == 300 and (np.diff(starts) > 0).all()
+
+
+@pytest.mark.parametrize("tile", [1 << 22, 100])
+def test_thresholds_of_one_pass(spark, monkeypatch, tile):
+    # small tiles: a task goes through its scores in many steps
+    monkeypatch.setattr(vector_index, "TILE", tile)
+    made = clustered(400, 20)
+    rows = [(None if i == 5 else i, d, v if i % 3 else made[-1 - i][2]) for i, d, v in made]
+    df = spark.createDataFrame(rows, SCHEMA)
+    at = [0.9, 0.2, 0.6]
+    x = np.array([v for _, _, v in rows], np.float32).astype(float)
+    for t in at:
+        like = x @ x.T >= t
+        want = {i for i, _, _ in rows if i is not None and any(j is not None and j < i and like[i, j] for j, _, _ in rows)}
+        got = [r for r in vector_index.near_dups_within(df, at, "unit_id").collect() if r.threshold == t]
+        assert len(got) == 400 and {r.unit_id for r in got if r.is_dup} == want
+        got = [r for r in vector_index.near_dups_against(df.where("unit_id >= 100"), df.where("unit_id < 100"), at).collect() if r.threshold == t]
+        want = {i for i, _, _ in rows if i is not None and i >= 100 and any(j is not None and j < 100 and like[i, j] for j, _, _ in rows)}
+        assert len(got) == 300 and {r.unit_id for r in got if r.is_dup} == want
