@@ -127,3 +127,13 @@ def test_thresholds_of_one_pass(spark, monkeypatch, tile):
         got = [r for r in vector_index.near_dups_against(df.where("unit_id >= 100"), df.where("unit_id < 100"), at).collect() if r.threshold == t]
         want = {i for i, _, _ in rows if i is not None and i >= 100 and any(j is not None and j < 100 and like[i, j] for j, _, _ in rows)}
         assert len(got) == 300 and {r.unit_id for r in got if r.is_dup} == want
+
+
+def test_a_query_of_two_thresholds_indexes_once(spark, monkeypatch):
+    from lodestone.plans import queries
+
+    built = []
+    build = vector_index.build
+    monkeypatch.setattr(vector_index, "build", lambda *a, **k: built.append(build(*a, **k)) or built[-1])
+    got = queries.near_dup_against_pruned(spark, SMALL)
+    assert len(built) == 1 and {r.threshold for r in got.select("threshold").distinct().collect()} == {0.3, 0.5}
