@@ -138,3 +138,12 @@ def test_no_law_gathers_its_texts_in_one_task(spark, monkeypatch):
         assert both.where("name = 'EN'").count() == 20
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pages_are_read_in_small_batches(spark):
+    # an Arrow batch was of 10,000 pages of any length
+    df = spark.range(1000).select(F.concat(F.lit("<p>a"), F.col("id"), F.lit("</p><p class=pCenter>b")).alias("html")).coalesce(1)
+    got = df.select(pages.page_parts(F.col("html"), None).alias("x"))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("x.blocks[1].kind = 'center' AND x.h1 IS NULL AND size(x.crumbs) = 0").count() == 1000
+    assert sorted(r[0] for r in got.select("x.blocks.text").limit(3).collect())[0] == ["a0", "b"]
