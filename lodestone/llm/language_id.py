@@ -208,6 +208,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         rows = [m.predict(t) for t in texts]
         return pd.DataFrame([(c, s, c == UNDETERMINED or s < m.threshold) for c, s in rows], columns=["lang_pred", "score", "rejected"])
 
+    # else a filter on its columns is pushed below it, and each text is judged twice, by two workers of a task
+    predicted = predicted.asNondeterministic()
     names = ["lang_pred", "score", "rejected"]
     rows, back = apart(docs.drop(*names), text_col)
     return back(rows.withColumn("__p", predicted(F.col(text_col))).select(*rows.columns, "__p.*"))

@@ -213,6 +213,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
         rows = [(None, 0, 0, 0) if t is None or a is None else without_blocks(t, zip(a, b, c, strict=True)) for t, a, b, c in zip(texts, at, n, moved, strict=True)]
         return pd.DataFrame(rows, columns=["text", "lines", "words", "moved"])
 
+    # else a filter on what is left is pushed below it, and each text is cut twice, by two workers of a task
+    cut = cut.asNondeterministic()
     # texts of documents that share nothing don't go to Python
     c = cut(F.when(F.col("__at").isNotNull(), F.col(text_col)), F.col("__at"), F.col("__n"), F.col("__m"))
     out = joined.withColumn("__c", c).withColumn(text_col, F.coalesce(F.col("__c.text"), F.col(text_col)))

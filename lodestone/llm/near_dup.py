@@ -39,6 +39,8 @@ BANDS, ROWS = 32, 5
 BATCH, MISS = 32, 1e-6
 #: Members of one side of a block of a bucket, and shingles of one side of a block of full sets (16 MB; a larger set is a block by itself).
 BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
+#: Words whose hashes a worker keeps (about 8 MB), and the bytes of the longest such word; others are hashed each time.
+KEPT_WORDS, KEPT_BYTES = 1 << 16, 32
 #: Rounds of :func:`components`; each halves what is left at least, so that more is an error.
 ROUNDS = 60
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,15 +57,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, the same in every process."""
+    """64-bit hashes of words, the same in every process; a worker keeps those of ``KEPT_WORDS`` short ones at most."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         out = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 

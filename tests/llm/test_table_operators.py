@@ -114,6 +114,19 @@ def test_signature_estimates_similarity():
     assert abs((near_dup.signature(a) == near_dup.signature(b)).mean() - true) < 0.12
 
 
+def test_a_worker_keeps_the_hashes_of_few_short_words():
+    from xxhash import xxh3_64_intdigest
+
+    held = near_dup._WordHashes()
+    for i in range(3 * near_dup.KEPT_WORDS):
+        word = b"w%d" % i
+        assert held[word] == xxh3_64_intdigest(word) == held[word]
+        assert len(held) <= near_dup.KEPT_WORDS
+    before = len(held)
+    long = b"x" * (near_dup.KEPT_BYTES + 1)
+    assert held[long] == xxh3_64_intdigest(long) and len(held) == before
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d E f"), (None, "a b c d e f"), (None, None), (3, "z " * 100_000), (4, "z " * 90_000), (5, None), (6, "")]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs(spark, rows), 2).collect()), key=repr)
@@ -616,6 +629,16 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in now.select("doc_id").collect()}
 
 
+def test_language_and_line_stages_send_a_text_to_python_once(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"words {i} and lines enough to keep here\nand {i} others", "en", 40) for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        plan = stage(spark, table, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall("ArrowEvalPython", plan)) == 1, (name, plan)
+
+
 def test_stages_with_inner_names_as_columns(spark):
     """Further columns of any name come back as they are; so do those of empty tables."""
     import corpus_pipeline as cp
